@@ -475,7 +475,7 @@ SELECT c_custkey AS text_id, CASE c_custkey % 10
 FROM {customer}""",
 }
 
-_INPUT = re.compile(r"\{(\w+)\}")
+_INPUT = re.compile(r"\{([a-z]\w*)\}")
 
 
 def inputs_of(sql: str) -> list[str]:
