@@ -71,8 +71,8 @@ def main() -> None:
         print(f"{state} {name}: {len(got)} / {len(want)} rows ({took:.1f}s, sql "
               f"{time.time() - start:.1f}s) {notes or ''}", flush=True)
         if not same:
-            only = [r for r in got if r not in set(want)][:3]
-            other = [r for r in want if r not in set(got)][:3]
+            left, right = set(got), set(want)
+            only, other = sorted(left - right, key=repr)[:3], sorted(right - left, key=repr)[:3]
             print("   spark:", repr(only)[:700], "\n   sql:  ", repr(other)[:700])
     print("bad:", bad)
 

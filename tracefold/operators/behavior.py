@@ -120,9 +120,8 @@ def behavior_chains(imports: DataFrame) -> DataFrame:
 
     def report(name: str, severity: str, chain: list[str]) -> Column:
         matched = present([F.col(step) for step in chain])
-        missing = present([
-            F.when(~F.exists(matched, lambda m, s=step: F.contains(m, F.lit(s))), F.lit(step))
-            for step in chain])
+        unmet = lambda step: ~F.exists(matched, lambda m: F.contains(m, F.lit(step)))
+        missing = present([F.when(unmet(step), F.lit(step)) for step in chain])
         share = F.size(matched) / F.lit(len(chain))
         return F.when(share >= rules.CHAIN_MIN_SHARE, F.struct(
             F.lit(name).alias("signature_name"), F.lit(severity).alias("severity"),
@@ -244,14 +243,15 @@ def code_patterns(code: DataFrame, cap: int = rules.OPCODE_CAP) -> DataFrame:
     calls first, then returns, near and short jumps.
     """
     size = F.octet_length("data")
-    hits = []
-    for byte, kind, width in rules.OPCODES:
-        found = opcode_positions("data", F.lit(byte))
-        if width:
-            found = F.filter(found, lambda p, w=width: p + w < size)
-        hits.append(F.transform(found, lambda p, k=kind, w=width: F.struct(
-            p.cast("bigint").alias("pos"), F.lit(k).alias("type"), F.lit(w).alias("width"),
-            F.hex(F.substring(F.col("data"), p + 2, F.lit(max(w, 1)))).alias("operand"))))
+
+    def found(byte: int, kind: str, width: int) -> Column:
+        inside = F.filter(opcode_positions("data", F.lit(byte)), lambda p: p + width < size)
+        return F.transform(inside, lambda p: F.struct(
+            p.cast("bigint").alias("pos"), F.lit(kind).alias("type"),
+            F.lit(width).alias("width"),
+            F.hex(F.substring(F.col("data"), p + 2, F.lit(max(width, 1)))).alias("operand")))
+
+    hits = [found(*opcode) for opcode in rules.OPCODES]
     rows = (code.where(size >= 2)
             .select("file_id", "seq", "base_addr",
                     F.explode(F.slice(F.concat(*hits), 1, cap)).alias("_h"))

@@ -118,6 +118,21 @@ def file_entropy(files: DataFrame) -> DataFrame:
             .drop("_size", "_entropy"))
 
 
+def one_decimal(value: Column) -> Column:
+    """Text with one decimal of a positive number, rounded by its exact binary value.
+
+    ``n / 20`` is the midpoint between the two candidates.  Its distance to the
+    value is computed without rounding error, and a true tie goes to even.
+    """
+    tenths = F.floor(value * 10)
+    n = (tenths * 2 + 1).cast("double")
+    below = (n - value * 16) - value * 4
+    up = F.when(below < 0, 1).when(below == 0, tenths % 2).otherwise(0)
+    tenths = tenths + up
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."),
+                    (tenths % 10).cast("string"))
+
+
 def section_flags(sections: DataFrame) -> DataFrame:
     flags = {name: has_bit(F.col("flags"), bit) for name, bit in rules.SECTION_BITS.items()}
     rwx = flags["readable"] & flags["writable"] & flags["executable"]
@@ -138,7 +153,7 @@ def section_red_flags(sections: DataFrame) -> DataFrame:
                          F.lit(" exceeds 7.2 — likely packed/encrypted"))),
         finding(both & (ratio > rules.SIZE_RATIO_LIMIT), "size_mismatch", "medium",
                 F.concat(quoted, F.lit(" virtual/raw size ratio "),
-                         F.format_string("%.1f", ratio), F.lit("x (virt="),
+                         one_decimal(ratio), F.lit("x (virt="),
                          virt.cast("string"), F.lit(", raw="), size.cast("string"), F.lit(")"))),
         finding(~both & (size == 0) & (virt > rules.LARGE_EMPTY_SECTION),
                 "size_mismatch", "medium",

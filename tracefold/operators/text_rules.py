@@ -48,15 +48,20 @@ def extract_strings_distinct(files: DataFrame,
 
 
 def string_categories(s: Column) -> Column:
-    """Categories of one trimmed string."""
+    """Categories of one trimmed string.
+
+    A plain search for a character that every match holds comes before the
+    costlier patterns.
+    """
     low = F.lower(s)
-    url = s.rlike(rules.RE_URL)
+    with_mark = lambda mark, pattern: F.contains(s, F.lit(mark)) & s.rlike(pattern)
+    url = with_mark("://", rules.RE_URL)
     tests = [
         ("urls", url),
-        ("ip_addresses", ~url & s.rlike(rules.RE_IP)),
-        ("file_paths", s.rlike(rules.RE_PATH)),
-        ("registry_keys", s.rlike(rules.RE_REGISTRY)),
-        ("emails", s.rlike(rules.RE_EMAIL)),
+        ("ip_addresses", ~url & with_mark(".", rules.RE_IP)),
+        ("file_paths", with_mark("\\", rules.RE_PATH)),
+        ("registry_keys", with_mark("\\", rules.RE_REGISTRY)),
+        ("emails", with_mark("@", rules.RE_EMAIL)),
         ("persistence_indicators", contains_any(low, rules.PERSISTENCE_WORDS)),
         ("ransomware_indicators", contains_any(low, rules.RANSOMWARE_WORDS)),
         ("commands", contains_any(low, rules.COMMAND_WORDS)),
