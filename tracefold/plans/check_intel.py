@@ -16,10 +16,10 @@ from tracefold.streaming import events as progress
 
 @query("store_analyses", """
 SELECT id, file_hash, file_name, verdict, risk_score FROM (
-  SELECT *, max(at) OVER (PARTITION BY id) AS id_at, max(at) OVER (PARTITION BY file_hash) AS hash_at
-  FROM (SELECT *, row_number() OVER (ORDER BY late, created_at, id, risk_score, file_hash) AS at FROM (
+  SELECT *, max(pos) OVER (PARTITION BY id) AS id_at, max(pos) OVER (PARTITION BY file_hash) AS hash_at
+  FROM (SELECT *, row_number() OVER (ORDER BY late, created_at, id, risk_score, file_hash) AS pos FROM (
     SELECT *, 0 AS late FROM {analyses} UNION ALL SELECT *, 1 FROM {incoming}) u) v) w
-WHERE at = id_at AND at = hash_at""")
+WHERE pos = id_at AND pos = hash_at""")
 def _(t):
     order = ["created_at", "id", "risk_score", "file_hash"]
     return store.upsert_analyses(t("analyses"), t("incoming"), order).select(
