@@ -132,7 +132,7 @@ def multi_hash(texts: DataFrame) -> DataFrame:
 
 def name_buckets(name: Column) -> Column:
     """Buckets of the 3-grams of a cleaned name; an empty name has none."""
-    grams = F.array_distinct(F.flatten(F.transform(name_ngrams(name), buckets_of)))
+    grams = F.array_distinct(F.flatten(F.transform(name_ngrams(name), lambda gram: buckets_of(gram))))
     return F.when(F.coalesce(name, F.lit("")) != "", grams).otherwise(
         F.array().cast("array<bigint>"))
 

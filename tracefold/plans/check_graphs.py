@@ -437,7 +437,7 @@ def _(t):
 
 
 BLOCK_METRICS = {"bm": """
-SELECT graph_id, id, least(-sum(n / t * log2(n / t)) / 4, 1) AS entropy,
+SELECT graph_id, id, least(abs(sum(n / t * log2(n / t))) / 4, 1) AS entropy,
        coalesce(sum(n) FILTER (WHERE key IN ('BRANCH', 'CBRANCH', 'RETURN')), 0) / any_value(t) AS jumps,
        coalesce(sum(n) FILTER (WHERE key IN ('LOAD', 'STORE')), 0) / any_value(t) AS memory,
        coalesce(sum(n) FILTER (WHERE key = 'CALL'), 0) / any_value(t) AS calls,

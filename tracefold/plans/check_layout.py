@@ -23,7 +23,7 @@ def any_contains(column: str, parts: list[str]) -> str:
 def entropy_sql(source: str, keys: str, content: str) -> str:
     """Entropy per key by counting hex pairs; empty content gives no row."""
     return f"""
-SELECT {keys}, -sum(c / n * log2(c / n)) AS entropy FROM (
+SELECT {keys}, abs(sum(c / n * log2(c / n))) AS entropy FROM (
   SELECT {keys}, b, CAST(count(*) AS DOUBLE) AS c, sum(count(*)) OVER (PARTITION BY {keys}) AS n
   FROM (SELECT {keys}, unnest(regexp_extract_all(hex({content}), '..')) AS b FROM {source}) u
   GROUP BY {keys}, b) v GROUP BY {keys}"""
@@ -255,7 +255,7 @@ SELECT f.file_id, coalesce(pe_end, 0) AS pe_end, octet_length(content) AS n,
 FROM {files} f LEFT JOIN (SELECT file_id, max(raw_ptr + raw_size) AS pe_end
     FROM {overlay_sections} GROUP BY file_id) s ON f.file_id = s.file_id"""
 TAIL_ENTROPY = """
-SELECT file_id, -sum(c / n * log2(c / n)) AS entropy FROM (
+SELECT file_id, abs(sum(c / n * log2(c / n))) AS entropy FROM (
   SELECT file_id, b, CAST(count(*) AS DOUBLE) AS c, sum(count(*)) OVER (PARTITION BY file_id) AS n
   FROM (SELECT file_id, unnest(regexp_extract_all(tail, '..')) AS b FROM o WHERE n - pe_end > 64) u
   GROUP BY file_id, b) v GROUP BY file_id"""

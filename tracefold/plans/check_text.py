@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tracefold import rules
 from tracefold.operators import text_rules, tokens
 from tracefold.plans.catalog import query
-from tracefold.plans.check_layout import any_contains, entropy_sql
+from tracefold.plans.check_files import BASE, ROUTES, SUFFIX, TEXTUAL
+from tracefold.plans.check_layout import ENTROPY_CLASS, any_contains, entropy_sql
+from tracefold.plans.triage import COUNTED, triage
 from tracefold.plans.views import literal, values
 
 
@@ -503,3 +505,31 @@ def _(t):
     ids = F.filter("api_tokens", lambda x: x != 0)
     return out.select("file_id", F.array_join(ids, ",").alias("ids"),
                       (F.size("api_tokens") - F.size(ids)).cast("bigint").alias("padding"))
+
+
+# --- flagship -------------------------------------------------------------------------------
+
+TRIAGE_SQL = {
+    **BASE, "routes": ROUTES, **RUNS,
+    "all_strings": "SELECT file_id, s FROM {runs} UNION ALL SELECT file_id, s FROM {wide}",
+    "cat": CATEGORIZED.replace("{strings}", "{all_strings}"),
+    "e": entropy_sql("{files}", "file_id", "content"),
+    "sg": """SELECT file_id, count(DISTINCT family) AS signatures FROM {files} JOIN {sigs}
+             ON regexp_matches(hex(content), '^(..)*' || pattern) GROUP BY file_id""",
+}
+TRIAGE_SQL = {"sigs": values("family, pattern", rules.BYTE_SIGNATURES)} | TRIAGE_SQL
+
+
+@query("triage", f"""
+SELECT i.file_id, coalesce(r.route, CASE WHEN {TEXTUAL} THEN 'script' ELSE 'unsupported' END) AS route,
+       CASE WHEN r.route IS NULL AND {TEXTUAL} THEN
+            coalesce(nullif(ltrim(lower({SUFFIX}), '.'), ''), 'text') ELSE file_type END AS file_type,
+       coalesce(round(entropy, 4), 0) AS file_entropy, {ENTROPY_CLASS} AS entropy_class,
+       coalesce(signatures, 0) AS signatures,
+       {', '.join(f"coalesce(count_{c}, 0) AS {c}" for c in COUNTED)}
+FROM {{ident}} i LEFT JOIN {{routes}} r ON i.file_type = r.kind LEFT JOIN {{e}} ON e.file_id = i.file_id
+LEFT JOIN {{sg}} ON sg.file_id = i.file_id LEFT JOIN (
+  SELECT file_id, {', '.join(f"count(*) FILTER (WHERE category = '{c}') AS count_{c}" for c in COUNTED)}
+  FROM {{cat}} GROUP BY file_id) c ON c.file_id = i.file_id""", TRIAGE_SQL)
+def _(t):
+    return triage(t("files"))

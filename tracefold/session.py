@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,10 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read on from there.
+    """Write ``df`` as a table in the checkpoint folder and read on from there.
 
     Results that must not change when a task is retried (partition ids, loop
-    frontiers) go through this, so that a lost executor costs one re-read.
+    frontiers) go through this, so a lost executor costs one re-read.  A written
+    table also has a known size, so later joins are planned on real numbers.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
