@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tracefold import rules
+from tracefold.functions.literals import let
 
 _CHARS = r"[\s\S]"
 
@@ -32,8 +33,8 @@ def buckets_of(text: Column, buckets: int = rules.HASH_BUCKETS) -> Column:
     """The up to three buckets (md5, sha1, polynomial) a text sets to one."""
     raw = F.encode(text, "UTF-8")
     return F.array_distinct(F.array(
-        digest_bucket(F.md5(raw), 4, buckets),
-        digest_bucket(F.sha1(raw), 5, buckets),
+        let(F.md5(raw), lambda digest: digest_bucket(digest, 4, buckets)),
+        let(F.sha1(raw), lambda digest: digest_bucket(digest, 5, buckets)),
         polynomial(text, 31, 0) % buckets))
 
 
@@ -49,8 +50,9 @@ def api_token(name: Column) -> Column:
 
 def name_ngrams(name: Column, size: int = 3) -> Column:
     """Distinct character n-grams of a cleaned name; a short name stays whole."""
-    clean = clean_api(name)
-    grams = F.transform(F.sequence(F.lit(1), F.length(clean) - (size - 1)),
-                        lambda i: F.substr(clean, i, F.lit(size)))
-    return F.when(F.length(clean) < size, F.array(clean)).otherwise(
-        F.array_distinct(grams))
+    def cut(clean: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(clean) - (size - 1)),
+                            lambda i: F.substr(clean, i, F.lit(size)))
+        return F.when(F.length(clean) < size, F.array(clean)).otherwise(
+            F.array_distinct(grams))
+    return let(clean_api(name), cut)

@@ -46,3 +46,12 @@ def contains_any_bytes(content: Column, hex_parts: Iterable[str]) -> Column:
 def present(entries: Iterable[Column]) -> Column:
     """Array of the non-null entries."""
     return F.array_compact(F.array(*entries))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda is otherwise evaluated for every element;
+    here it is bound to a lambda variable.
+    """
+    return F.element_at(F.transform(F.array(value), lambda bound: body(bound)), 1)

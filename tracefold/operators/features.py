@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracefold import rules
 from tracefold.functions.bytes import block_sums
 from tracefold.functions.hashing import buckets_of, clean_api, name_ngrams
-from tracefold.functions.literals import first_match, lookup
+from tracefold.functions.literals import first_match, let, lookup
 
 SCALE = 5.0
 
@@ -26,9 +26,9 @@ def collect_buckets(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 
 def multi_hot(buckets: Column, size: int = rules.HASH_BUCKETS) -> Column:
-    buckets = F.coalesce(buckets, F.array().cast("array<bigint>"))
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint")),
-                       lambda i: F.array_contains(buckets, i).cast("double"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))
+    return let(F.coalesce(buckets, F.array().cast("array<bigint>")), lambda held: F.transform(
+        places, lambda i: F.array_contains(held, i).cast("double")))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -202,8 +202,11 @@ def node_features(nodes: DataFrame, edges: DataFrame, graph_facts: DataFrame) ->
     metrics = method_metrics(nodes, flow).select(
         *key, "cyclomatic", "api_calls", "instructions", "blocks")
     print_ = suspicious_api_fingerprint(nodes, flow).withColumnRenamed("buckets", "_bad")
+    # Names repeat across graphs, so every distinct name is hashed once.
+    names = nodes.select("name").distinct().withColumn("_name", name_buckets(F.col("name")))
     wide = (nodes.join(degrees(flow), key, "left").join(metrics, key, "left")
-            .join(print_, key, "left").join(graph_facts, "graph_id", "left"))
+            .join(print_, key, "left").join(names, "name", "left")
+            .join(graph_facts, "graph_id", "left"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     is_block, is_method = F.col("type") == "BLOCK", F.col("type") == "METHOD"
     counts = F.coalesce("inst_counts", F.create_map().cast("map<string,bigint>"))
@@ -231,7 +234,7 @@ def node_features(nodes: DataFrame, edges: DataFrame, graph_facts: DataFrame) ->
         piece([F.coalesce("is_external", F.lit(False)),
                F.when(zero("line") > 0, F.least(F.col("line") / 1000.0, F.lit(1.0)))
                .otherwise(0.0)]),
-        multi_hot(name_buckets(F.col("name"))),
+        multi_hot(F.col("_name")),
         F.when(is_block, piece(composition[:32])).otherwise(piece([F.lit(0.0)] * 32)),
         F.when(is_method, piece(method_slots)).when(is_block, piece(block_slots))
         .otherwise(piece([F.lit(0.0)] * 10)),

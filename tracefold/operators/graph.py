@@ -172,7 +172,10 @@ def reaching_definitions(uses: DataFrame, preds: DataFrame,
     defs = uses.where("is_defined").select(*scope, F.col("block_id").alias("cur"), "var")
     exposed = (uses.where("is_exposed").select(*scope, "var", F.col("block_id").alias("use_id"))
                .join(defs.select(*scope, "var").distinct(), scope + ["var"], "left_semi"))
-    back = preds.select(*scope, F.col("block_id").alias("cur"), F.col("pred_id").alias("next"))
+    # Both sides are read in every round.
+    defs = cut(defs)
+    back = cut(preds.select(*scope, F.col("block_id").alias("cur"),
+                            F.col("pred_id").alias("next")))
     step = lambda rows: (rows.join(back, scope + ["cur"])
                          .select(*scope, "var", "use_id", F.col("next").alias("cur")).distinct())
     walk = step(exposed.withColumn("cur", F.col("use_id")))
@@ -323,6 +326,7 @@ def bfs_reach(edges: DataFrame, sources: DataFrame, etype: str | None = None,
     if not directed:
         links = links.unionByName(edges.select(
             "graph_id", F.col("dst").alias("id"), F.col("src").alias("next")))
+    links = cut(links)  # read in every round
     frontier = cut(sources.select("graph_id", "id").distinct()
                    .withColumn("distance", F.lit(0)))
     reached, distance, rows = frontier, 0, frontier.count()
@@ -348,6 +352,7 @@ def instruction_to_block(nodes: DataFrame, edges: DataFrame, rounds: int = 3) ->
     order of edges plays no role.
     """
     key = ["graph_id", "id"]
+    edges = cut(edges.select("graph_id", "src", "dst", "etype"))  # read in every round
     placed = nodes.where(F.col("type") == "BLOCK").select("graph_id", "id",
                                                           F.col("id").alias("block"))
     links = edges.select("graph_id", F.col("src").alias("id"), F.col("dst").alias("next"))

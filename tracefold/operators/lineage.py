@@ -20,6 +20,8 @@ def expand_containers(roots: DataFrame, members: DataFrame,
     from the queue, repeated hashes and items below ``max_depth`` included, and a
     level forwards no more than that, so the work of a root is bounded.
     """
+    members = cut(members.select("container_id", "member_seq", "item_id", "hash",
+                                 "is_container"))  # read on every level
     columns = ["root_id", "depth", "position", "item_id", "hash", "is_container"]
     queue = roots.select("root_id", "item_id", "hash", "is_container",
                          F.lit(0).cast("bigint").alias("_parent"),

@@ -47,18 +47,17 @@ def extract_strings_distinct(files: DataFrame,
         F.array_distinct(F.concat(ascii_runs, wide_runs))).alias("s"))
 
 
-def string_categories(s: Column) -> Column:
-    """Categories of one trimmed string.
+def string_categories(s: Column, low: Column) -> Column:
+    """Categories of one trimmed string, given with its lower-case form.
 
     A plain search for a character that every match holds comes before the
     costlier patterns.
     """
-    low = F.lower(s)
     with_mark = lambda mark, pattern: F.contains(s, F.lit(mark)) & s.rlike(pattern)
     url = with_mark("://", rules.RE_URL)
     tests = [
         ("urls", url),
-        ("ip_addresses", ~url & with_mark(".", rules.RE_IP)),
+        ("ip_addresses", ~url & s.rlike("[0-9][.][0-9]") & s.rlike(rules.RE_IP)),
         ("file_paths", with_mark("\\", rules.RE_PATH)),
         ("registry_keys", with_mark("\\", rules.RE_REGISTRY)),
         ("emails", with_mark("@", rules.RE_EMAIL)),
@@ -81,9 +80,11 @@ def categorize_strings(strings: DataFrame) -> DataFrame:
     Rules run on every row before the distinct: only strings with a category go
     into the shuffle.
     """
+    categories = string_categories(F.col("s"), F.col("_low"))
     return (strings.select("file_id", trimmed(F.col("s")).alias("s"))
             .where(F.col("s") != "")
-            .select("file_id", "s", F.explode(string_categories(F.col("s"))).alias("category"))
+            .withColumn("_low", F.lower("s"))
+            .select("file_id", "s", F.explode(categories).alias("category"))
             .distinct())
 
 
@@ -158,16 +159,21 @@ def match_offsets(text: Column, pattern: str) -> Column:
     Splitting on the pattern gives the gaps, extracting gives the matches; the
     lengths of both add up to the offsets.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.transform(all_matches(text, pattern), F.length)
-    offsets = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at")),
-        lambda acc, i: F.struct(
-            (acc["end"] + F.element_at(gaps, i) + F.element_at(found, i)).alias("end"),
-            F.array_append(acc["at"], acc["end"] + F.element_at(gaps, i)).alias("at")),
-        lambda acc: acc["at"])
-    return F.when(F.size(found) > 0, offsets).otherwise(F.array().cast("array<int>"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
+    found = F.transform(all_matches(text, pattern), lambda match: F.length(match))
+
+    def add_up(sizes: Column) -> Column:
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
+        return F.aggregate(
+            sizes, start,
+            lambda acc, e: F.struct(
+                (acc["end"] + e["gap"] + e["found"]).alias("end"),
+                F.array_append(acc["at"], acc["end"] + e["gap"]).alias("at")),
+            lambda acc: acc["at"])
+
+    # There is one gap more than matches; the pair without a match is left out.
+    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("found"))
+    return add_up(F.filter(pairs, lambda e: e["found"].isNotNull()))
 
 
 def script_functions(scripts: DataFrame) -> DataFrame:

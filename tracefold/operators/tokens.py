@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracefold import rules
 from tracefold.functions.hashing import api_token
-from tracefold.functions.literals import any_of, first_match
+from tracefold.functions.literals import any_of, first_match, let
 from tracefold.operators.ordering import first_rows
 from tracefold.session import cut
 
@@ -98,10 +98,9 @@ def semantic_id(nodes: DataFrame, repair_operators: bool = False) -> DataFrame:
 
 def split_identifier(text: Column) -> Column:
     """Lower-case parts of an identifier, split on underscores and camel case."""
-    runs = F.transform(F.split(text, "_+"), lambda part: F.when(
-        F.size(F.regexp_extract_all(part, F.lit(rules.RE_IDENTIFIER_RUN), F.lit(0))) > 0,
-        F.regexp_extract_all(part, F.lit(rules.RE_IDENTIFIER_RUN), F.lit(0)))
-        .otherwise(F.array(part)))
+    runs = F.transform(F.split(text, "_+"), lambda part: let(
+        F.regexp_extract_all(part, F.lit(rules.RE_IDENTIFIER_RUN), F.lit(0)),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(part))))
     return F.filter(F.transform(F.flatten(runs), F.lower), lambda part: part != "")
 
 
