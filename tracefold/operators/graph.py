@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tracefold import rules
 from tracefold.functions.literals import first_match
 from tracefold.operators.ordering import first_rows, number_rows, running_total
-from tracefold.session import cut
+from tracefold.session import cut, cut_counted
 
 BROADCAST_ROWS = 500_000  # a frontier of at most this many narrow rows is broadcast
 KEEP_PIECES = 8           # visited tables are compacted after this many rounds
@@ -184,15 +184,16 @@ def reaching_definitions(uses: DataFrame, preds: DataFrame,
         return rows.join(defs.withColumn("_d", F.lit(True)), scope + ["cur", "var"], "left") \
             .select(*scope, "var", "use_id", "cur", F.col("_d").isNotNull().alias("is_def"))
 
-    frontier = cut(split(walk))
+    open_ = ~F.col("is_def")
+    frontier, rows = cut_counted(split(walk), open_)
     seen, rounds = frontier, 0
     key = scope + ["var", "use_id", "cur"]
-    while not frontier.where(~F.col("is_def")).isEmpty():
+    while rows:
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"definitions still moving after {max_rounds} rounds")
-        moved = step(frontier.where(~F.col("is_def")).drop("is_def"))
-        frontier = cut(split(moved.join(seen, key, "left_anti")))
+        moved = step(small_side(frontier.where(open_).drop("is_def"), rows))
+        frontier, rows = cut_counted(split(moved.join(seen, key, "left_anti")), open_)
         seen = seen.unionByName(frontier)
         if rounds % KEEP_PIECES == 0:
             seen = cut(seen)
@@ -327,16 +328,15 @@ def bfs_reach(edges: DataFrame, sources: DataFrame, etype: str | None = None,
         links = links.unionByName(edges.select(
             "graph_id", F.col("dst").alias("id"), F.col("src").alias("next")))
     links = cut(links)  # read in every round
-    frontier = cut(sources.select("graph_id", "id").distinct()
-                   .withColumn("distance", F.lit(0)))
-    reached, distance, rows = frontier, 0, frontier.count()
+    frontier, rows = cut_counted(sources.select("graph_id", "id").distinct()
+                                 .withColumn("distance", F.lit(0)))
+    reached, distance = frontier, 0
     while rows and (max_rounds is None or distance < max_rounds):
         distance += 1
         step = (links.join(small_side(frontier, rows), ["graph_id", "id"], "left_semi")
                 .select("graph_id", F.col("next").alias("id")).distinct())
-        frontier = cut(step.join(reached, ["graph_id", "id"], "left_anti")
-                       .withColumn("distance", F.lit(distance)))
-        rows = frontier.count()
+        frontier, rows = cut_counted(step.join(reached, ["graph_id", "id"], "left_anti")
+                                     .withColumn("distance", F.lit(distance)))
         if rows:
             reached = reached.unionByName(frontier)
             if distance % KEEP_PIECES == 0:

@@ -12,10 +12,14 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tracefold import rules
+from tracefold.session import spread
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+# Tables whose rows are costly to work on, with the key to spread them by.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 _EXTRA_APIS = ["OpenProcess", "MiniDumpWriteDump", "FindFirstFileA", "FindNextFileW",
                "CreateWindowExA", "lstrcpyA", "MessageBoxW", "ExitProcess"]
 API_NAMES = list(dict.fromkeys(
@@ -506,7 +510,8 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(table, TEXT_TABLES[name]) if name in TEXT_TABLES else table
         sql = VIEWS[name]
         return self.spark.sql(for_spark(sql), **{n: self(n) for n in inputs_of(sql)})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,3 +60,21 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the rows (meeting ``condition``) counted during the write."""
+    seen = Observation()
+    rows = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    table = cut(df.observe(seen, rows.alias("rows")))
+    return table, seen.get["rows"]
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for costly row work on an input with few partitions.
+
+    A table of many files has more partitions than cores and stays as it is.
+    ``df`` has to be a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores, key)
