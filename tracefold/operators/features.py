@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracefold import rules
 from tracefold.functions.bytes import block_sums
-from tracefold.functions.hashing import buckets_of, clean_api, name_ngrams
+from tracefold.functions.hashing import bucket_columns, buckets_of, clean_api, name_ngrams
 from tracefold.functions.literals import first_match, let, lookup
 
 SCALE = 5.0
@@ -19,10 +19,23 @@ def log_scaled(count: Column, scale: float = SCALE) -> Column:
 def collect_buckets(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """Distinct hash buckets of a text over each key.
 
-    The set holds at most 68 numbers, so a hot key stays small.
+    The 68 buckets are bits of two numbers that are combined before the shuffle,
+    so a hot key costs no more than another.
     """
-    return (df.select(*keys, F.explode(buckets_of(text)).alias("bucket"))
-            .groupBy(*keys).agg(F.array_sort(F.collect_set("bucket")).alias("buckets")))
+    def mask(low: int) -> Column:
+        bits = [F.when(F.col(b).between(low, low + 63), F.expr(
+            f"shiftleft(1L, cast({b} - {low} as int))")).otherwise(0) for b in ("_b0", "_b1", "_b2")]
+        return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+    lows = range(0, rules.HASH_BUCKETS, 64)
+    masks = bucket_columns(df, keys, text).select(
+        *keys, *[mask(low).alias(f"_m{low}") for low in lows])
+    merged = masks.groupBy(*keys).agg(*[F.bit_or(f"_m{low}").alias(f"_m{low}") for low in lows])
+    held = F.concat(*[F.filter(
+        F.sequence(F.lit(low).cast("bigint"),
+                   F.lit(min(low + 63, rules.HASH_BUCKETS - 1)).cast("bigint")),
+        lambda i: F.getbit(F.col(f"_m{low}"), (i - low).cast("int")) == 1) for low in lows])
+    return merged.select(*keys, held.alias("buckets"))
 
 
 def multi_hot(buckets: Column, size: int = rules.HASH_BUCKETS) -> Column:

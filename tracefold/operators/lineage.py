@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tracefold import rules
@@ -27,7 +29,7 @@ def expand_containers(roots: DataFrame, members: DataFrame,
                          F.lit(0).cast("bigint").alias("_parent"),
                          F.lit(0).cast("bigint").alias("_seq"))
     used = roots.select("root_id", F.lit(0).cast("bigint").alias("_used"))
-    found = None
+    found, levels = None, []
     for depth in range(max_depth + 2):
         order = W.partitionBy("root_id").orderBy("_parent", "_seq", "item_id")
         level = (first_rows(queue, ["root_id"], ["_parent", "_seq", "item_id"], max_files)
@@ -37,15 +39,17 @@ def expand_containers(roots: DataFrame, members: DataFrame,
                  .where(F.col("position") <= max_files)
                  .withColumn("depth", F.lit(depth)))
         level = cut(level.select(*columns))
-        counts = level.groupBy("root_id").agg(F.count(F.lit(1)).alias("_n"))
-        used = cut(used.join(counts, "root_id", "left").select(
-            "root_id", (F.col("_used") + F.coalesce("_n", F.lit(0))).alias("_used")))
+        levels.append(level.select("root_id"))
+        # At most max_files rows per root exist in all levels together.
+        used = reduce(DataFrame.unionByName, levels).groupBy("root_id").agg(
+            F.count(F.lit(1)).alias("_used"))
         if depth > max_depth:
             break
         new = level if found is None else level.join(
             found.select("root_id", "hash"), ["root_id", "hash"], "left_anti")
         firsts = new.groupBy("root_id", "hash").agg(F.min("position").alias("position"))
-        new = cut(new.join(firsts, ["root_id", "hash", "position"]).select(*columns))
+        new = new.join(firsts, ["root_id", "hash", "position"]).select(*columns)
+        new = cut(new)
         found = new if found is None else found.unionByName(new)
         queue = (new.where("is_container")
                  .select("root_id", F.col("item_id").alias("container_id"),
