@@ -164,5 +164,7 @@ def fit_classifier(samples: DataFrame, columns: list[str], max_iter: int = 20):
 def predict(model, samples: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     scored = model.transform(samples)
-    return scored.withColumn("score", vector_to_array("probability")[1]).select(
+    # A training set of one class gives a model without a second probability.
+    second = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
+    return scored.withColumn("score", second).select(
         *samples.columns, "score", F.col("prediction").cast("int").alias("prediction"))
