@@ -16,7 +16,7 @@ from tracefold.operators.ordering import first_rows, number_rows, running_total
 from tracefold.session import cut, cut_counted
 
 BROADCAST_ROWS = 500_000  # a frontier of at most this many narrow rows is broadcast
-HOPS = 4                  # predecessor steps per round of reaching definitions
+HOPS = 2                  # predecessor steps per round of reaching definitions
 KEEP_PIECES = 8           # visited tables are compacted after this many rounds
 
 

@@ -472,10 +472,10 @@ def _(t):
 
 
 @query("pooled_name_vector", """
-SELECT text_id, i AS dim, round(avg(v), 6) AS value FROM (
+SELECT text_id, round(sum(m * (i + 1)), 4) AS checksum FROM (SELECT text_id, i, avg(v) AS m FROM (
   SELECT o_orderkey AS text_id, CAST(unnest(range(64)) AS INT) AS i, unnest(embedding) AS v
   FROM {orders} JOIN {embeddings} ON vec_id IN (o_orderkey % 500, o_custkey % 500)
-  WHERE o_orderkey % 500 <> o_custkey % 500) x GROUP BY text_id, i""")
+  WHERE o_orderkey % 500 <> o_custkey % 500) x GROUP BY text_id, i) y GROUP BY text_id""")
 def _(t):
     ids = t("orders").where(F.col("o_orderkey") % 500 != F.col("o_custkey") % 500).select(
         F.col("o_orderkey").alias("text_id"),
@@ -484,8 +484,9 @@ def _(t):
     vectors = t("embeddings").select(F.col("vec_id").cast("int").alias("token_id"),
                                      F.col("embedding").alias("vector"))
     pooled = tokens.pooled_name_vector(ids, vectors, 64)
-    return pooled.select("text_id", F.posexplode("vector").alias("dim", "value")).withColumn(
-        "value", F.round("value", 6))
+    weighted = F.transform("vector", lambda v, i: v * (i + 1))
+    return pooled.select("text_id", F.round(F.aggregate(
+        weighted, F.lit(0.0), lambda a, v: a + v), 4).alias("checksum"))
 
 
 API_IDS = """
