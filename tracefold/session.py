@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,11 +63,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
-    """:func:`cut`, and the rows (meeting ``condition``) counted during the write."""
-    seen = Observation()
-    rows = F.count(F.lit(1)) if condition is None else F.count_if(condition)
-    table = cut(df.observe(seen, rows.alias("rows")))
-    return table, seen.get["rows"]
+    """:func:`cut`, and the number of written rows (meeting ``condition``).
+
+    The count reads the written table, so nothing is computed twice.  (A metric
+    observed during the write would leave a manager in the session that the
+    models of ``pyspark.ml`` cannot be shipped with.)
+    """
+    table = cut(df)
+    return table, (table if condition is None else table.where(condition)).count()
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
