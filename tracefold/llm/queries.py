@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import decontaminate, line_dedup
+from tracefold.llm import bpe, decontaminate, line_dedup, orc_tokens, repeats
 from tracefold.llm.common import table
 
 
@@ -19,9 +19,24 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        table(spark, sf_dir, "benchmark"))
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.token_rows(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op5_bpe_codec": op5_bpe_codec,
+    "op8_orc_tokens": op8_orc_tokens,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
