@@ -11,16 +11,17 @@ so the tokens before it are emitted and forgotten; memory does not grow with the
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import hashlib
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from tracefold.llm.common import binary
 from tracefold.llm.pretokens import Encoder
 from tracefold.llm.textcore import slices
 
@@ -263,11 +264,6 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return binary(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def binary(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
-
-
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Number and SHA-256 of the ids of each text, and SHA-256 of what they decode to."""
     file = path or token_path(TOKENIZER)

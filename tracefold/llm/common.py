@@ -31,6 +31,12 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
 
 
+def binary(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): texts as bytes, null as empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
+
+
 def crc_fold(folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (the agreed hold-out rule)."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds

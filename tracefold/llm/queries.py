@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import bpe, decontaminate, line_dedup, orc_tokens, repeats
+from tracefold.llm import bpe, decontaminate, line_dedup, orc_tokens, repeats, toxicity
 from tracefold.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_rows(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op5_bpe_codec": op5_bpe_codec,
+    "op7_compression_toxicity": op7_compression_toxicity,
     "op8_orc_tokens": op8_orc_tokens,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -37,7 +37,9 @@ LENGTH = 50
 TRIGGER = 20
 PLACES = LENGTH - TRIGGER + 1
 #: Bytes of text whose occurrences are combined before they are sent.
-PART = 16 << 20
+PART = 8 << 20
+#: Bytes looked at in one numpy pass (about forty times as much memory).
+PASS = PIECE // 2
 WHOLE, ASK, WINDOW = 0, 1, 2  # entry removed whole; entry to look into; window removed
 
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("kind", pa.int8()),
@@ -53,16 +55,16 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
 
     A text longer than a piece is cut into overlapping slices, so memory stays bounded.
     """
-    for first, last in pieces(offsets):
+    for first, last in pieces(offsets, PASS):
         o = offsets[first:last + 1]
-        if o[-1] - o[0] <= 2 * PIECE:
+        if o[-1] - o[0] <= 2 * PASS:
             yield first, data[o[0]:o[-1]], o - o[0], 0, 0, int(o[-1] - o[0])
             continue
-        for s in range(0, int(o[-1] - o[0]) - LENGTH + 1, PIECE):
+        for s in range(0, int(o[-1] - o[0]) - LENGTH + 1, PASS):
             low = max(0, s - PLACES)
-            high = min(int(o[-1] - o[0]), s + PIECE + 2 * LENGTH)
+            high = min(int(o[-1] - o[0]), s + PASS + 2 * LENGTH)
             yield (first, data[o[0] + low:o[0] + high], np.array([0, high - low]), low,
-                   s - low, s - low + PIECE)
+                   s - low, s - low + PASS)
 
 
 def window_triggers(d: np.ndarray, o: np.ndarray, low: int, high: int):
@@ -265,7 +267,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
             yield from send(batch, *parse(batch.column("text")), labels, WHOLE)
 
     def second(batches):
-        for batch in in_parts(batches, "text", PART // 2):
+        for batch in in_parts(batches, "text", PART):
             asked = [np.array(sorted({p for one in lists_ for p in one}), dtype=np.int64)
                      for lists_ in batch.column("asked").to_pylist()]
             key, row, places = look_into(batch.column("text"), asked)

@@ -30,7 +30,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 … base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, PIECE + 4096)
+        size = max(n, PIECE // 2 + 4096)
         have = np.empty(size, dtype=np.uint64)
         have[0] = 1
         done = 1
