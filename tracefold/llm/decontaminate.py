@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracefold.llm.common import batch_of, cut, keyed, signed
-from tracefold.llm.textcore import U64, column_bytes, grams, lists, pieces, row_of, words
+from tracefold.llm.textcore import U64, column_bytes, grams, lists, mix, pieces, row_of, words
 
 SPAN = 10
 GRAM = 5
@@ -44,7 +44,7 @@ def winnow(hashes: np.ndarray, span: int, k: int) -> np.ndarray:
     best = np.full(n, ~U64(0))
     for j in range(w):  # the low bits make the last of equal k-grams win
         np.minimum(best, (small[j:j + n] & ~U64(63)) | U64(w - 1 - j), out=best)
-    return best & ~U64(63)
+    return mix(best & ~U64(63))  # minima are not even; slots and partitions should be
 
 
 def slot(prints: np.ndarray) -> np.ndarray:

@@ -97,7 +97,7 @@ def parse(text: pa.Array):
         row = np.searchsorted(o, at, "right") - 1
         left, right = np.maximum(o[row], at - PLACES + 1), np.minimum(o[row + 1], at + LENGTH)
         entry = slice_hash(sums, left, right) ^ ((at - left).astype(np.uint64) * U64(0xA24BAED4963EE407))
-        out.append((hashes[at], mix(entry), row + first, at - o[row] + shift))
+        out.append((mix(hashes[at]), mix(entry), row + first, at - o[row] + shift))  # minima are not even
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (
         np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
