@@ -288,3 +288,23 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     return binary(docs).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ids of every whole text and the text they decode to."""
+    file = path or token_path(TOKENIZER)
+
+    def run(batches):
+        _, encoder, decoder = load(file)
+        for batch in batches:
+            for first, last, ids, counts in encoder.encode(batch.column("text")):
+                ends = np.cumsum(counts)
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                decoded = ["".join(decoder.stream(ids[k:min(k + BLOCK, b)] for k in range(a, b, BLOCK)))
+                           for a, b in zip((ends - counts).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, last - first), pa.array(counts, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())),
+                     pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    return binary(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

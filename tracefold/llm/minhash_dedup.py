@@ -234,13 +234,13 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
 
 def minhash_dedup(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(doc_id, tag, class_id, kept): one row per document with the smallest doc_id of its group.
+    """(doc_id, tag, class_id, kept, grouped): one row per document with the smallest doc_id of its group.
 
     Links join documents of weighted Jaccard similarity ``threshold`` or more on shingles of
     five words; a text of fewer words is one shingle, texts without words link with nothing.
     A null doc_id counts as the smallest id but names no class of others' rows (class null).
     Exact copies are one node.  Of each group the smallest (doc_id, tag) stays; repeated equal
-    rows are answered alike.
+    rows are answered alike.  ``grouped`` tells whether the text has words.
     """
     groups = cut(near_groups(docs, threshold).distinct())
     best = groups.groupBy("group").agg(F.min(F.struct("id", "tag")).alias("best"))
@@ -250,4 +250,5 @@ def minhash_dedup(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                     F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(
                         F.when(F.col("best.id") != -(1 << 63), F.col("best.id"))).alias("class_id"),
                     (F.col("best").isNull() | ((F.col("best.id") == F.col("id"))
-                                               & (F.col("best.tag") == F.col("tag")))).alias("kept")))
+                                               & (F.col("best.tag") == F.col("tag")))).alias("kept"),
+                    F.col("best").isNotNull().alias("grouped")))
