@@ -5,8 +5,8 @@ ordinary texts.  The window is one word with a blank on both sides, the smallest
 an expression shows.  Every byte is widened to a four-byte code, so that zstandard's optimal
 parser can match single characters and the compressed length measures how few dictionary
 phrases a window is made of; a carrier that both dictionaries hold keeps each frame
-compressible.  A window speaks for toxicity by (length with the ordinary dictionary) -
-(length with the toxic one).  Thresholds on it are calibrated on labelled texts.
+compressible.  The two lengths of a window place it in a cell, whose log odds come from the
+labelled texts that hold such windows; thresholds on them and their weights are calibrated there too.
 
 Only the labels of a bounded sample are used to fit (``Settings.sample`` texts of each
 class, in hash order); word counts come from Spark and only the ranked words and a few
@@ -31,7 +31,9 @@ FOLDS, HELD_OUT = 5, 0
 WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 CARRIER = bytes((i * 37 + 11) % 200 + 40 for i in range(48))
 _CODE = np.random.default_rng(3).integers(0, 256, (256, 4), dtype=np.uint8)
-LIMITS = (3, 5, 6, 7, 8, 9, 10)
+#: Lengths told apart on each side, and thresholds on the log odds of a window.
+SIDE = 20
+LIMITS = (0.5, 1.0, 2.0, 3.0)
 #: Longest run of bytes taken as one window; longer ones are cut into such windows.
 WINDOW = 64
 KEPT = 1_000_000
@@ -44,7 +46,7 @@ class Settings:
     ordinary_words: int = 6000
     rate: float = 20.0        # how much likelier a toxic word is in toxic texts
     support: float = 0.004    # share of the toxic sample that holds it
-    level: int = 16           # zstandard level with an optimal parser
+    level: int = 15           # zstandard level with an optimal parser
 
 
 def wide(text: bytes) -> bytes:
@@ -61,32 +63,41 @@ def compressor(words: list[bytes], level: int) -> zstandard.ZstdCompressor:
 
 
 class Scorer:
-    """Distances of words (kept, up to a bound) and the features of a text."""
+    """Cells of words (kept, up to a bound): the two compressed lengths above those of the carrier."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes], level: int):
         self.toxic, self.ordinary = compressor(toxic, level), compressor(ordinary, level)
+        self.base = len(self.toxic.compress(CARRIER)), len(self.ordinary.compress(CARRIER))
         self.known: dict[bytes, int] = {}
 
-    def distance(self, word: bytes) -> int:
+    def cell(self, word: bytes) -> int:
         got = self.known.get(word)
         if got is None:
             if len(self.known) >= KEPT:
                 self.known.clear()
             frame = CARRIER + wide(b" " + word + b" ")
-            got = self.known[word] = len(self.ordinary.compress(frame)) - len(self.toxic.compress(frame))
+            near, far = len(self.toxic.compress(frame)) - self.base[0], len(self.ordinary.compress(frame)) - self.base[1]
+            got = self.known[word] = min(max(near, 0), SIDE - 1) * SIDE + min(max(far, 0), SIDE - 1)
         return got
 
-    def features(self, text: bytes) -> list[float]:
-        """Largest distances and how many windows reach each limit, alone and per window."""
-        counts = Counter(WORD.findall(text.lower()))
-        if counts and max(map(len, counts)) > WINDOW:
-            counts = Counter({w[i:i + WINDOW]: n for w, n in counts.items() for i in range(0, len(w), WINDOW)})
-        found = sorted(((self.distance(w), n) for w, n in counts.items()), reverse=True)
-        total = sum(n for _, n in found) + 1
-        top = [float(max(d, 0)) for d, _ in found[:2]] + [0.0] * (2 - len(found[:2]))
-        reach = [sum(n for d, n in found if d >= limit) for limit in LIMITS]
-        return [*(t / 10 for t in top), *(min(top[0], limit) / limit for limit in (6, 8)),
-                *(float(np.log1p(r)) for r in reach), *(r / total for r in reach), float(np.log(total)) / 10]
+    def cells(self, text: bytes) -> Counter:
+        """How many windows of a text lie in each cell."""
+        counts = Counter()
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            for i in range(0, len(word), WINDOW):
+                counts[self.cell(word[i:i + WINDOW])] += n
+        return counts
+
+
+def features(counts: Counter, odds: np.ndarray) -> list[float]:
+    """The strongest windows, how many pass each threshold, and the size of the text."""
+    total = sum(counts.values())
+    ranked = sorted(((float(odds[c]), n) for c, n in counts.items()), reverse=True)
+    top = [x for x, n in ranked[:3] for _ in range(min(n, 3))][:3]
+    top += [0.0] * (3 - len(top))
+    over = [sum(n for x, n in ranked if x >= limit) for limit in LIMITS]
+    return [*top, *(float(np.log1p(n)) for n in over), *(n / (total + 1) for n in over),
+            float(np.log1p(total)) / 10, top[0] * float(np.log1p(total)) / 10]
 
 
 def text_words(batches):
@@ -106,7 +117,8 @@ class Model:
     toxic: list[bytes]
     ordinary: list[bytes]
     level: int
-    weights: np.ndarray | None  # None without labels of both kinds: every score is 0
+    odds: np.ndarray | None = None     # of a window's cell
+    weights: np.ndarray | None = None  # None without labels of both kinds: every score is 0
 
     def scorer(self) -> Scorer:
         return Scorer(self.toxic, self.ordinary, self.level)
@@ -127,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_toxic, n_ordinary = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_ordinary:
-        return Model([], [], settings.level, None)
+        return Model([], [], settings.level)
     counts = (texts.mapInArrow(text_words, "word binary, toxic long, ordinary long")
               .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     rate = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("ordinary") + 0.5) / (n_ordinary + 1))
@@ -137,17 +149,26 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
              .select("word").collect())
     ordinary = (counts.where("NOT speaks AND ordinary >= 2").orderBy(F.desc("ordinary"), "word")
                 .limit(settings.ordinary_words).select("word").collect())
-    model = Model([bytes(r[0]) for r in toxic], [bytes(r[0]) for r in ordinary], settings.level, None)
+    model = Model([bytes(r[0]) for r in toxic], [bytes(r[0]) for r in ordinary], settings.level)
 
-    def features(batches):
+    def cells(batches):
         scorer = model.scorer()
         for batch in batches:
+            found = [scorer.cells(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([scorer.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())),
-                 batch.column("toxic")], names=["x", "toxic"])
-
-    rows = texts.mapInArrow(features, "x array<double>, toxic int").collect()  # a few numbers per text
-    x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows])
+                [pa.array([list(f) for f in found], pa.list_(pa.int32())),
+                 pa.array([list(f.values()) for f in found], pa.list_(pa.int32())), batch.column("toxic")],
+                names=["cells", "counts", "toxic"])
+
+    # SIDE * SIDE small numbers per sampled text at most
+    rows = texts.mapInArrow(cells, "cells array<int>, counts array<int>, toxic int").collect()
+    found, y = [Counter(dict(zip(r["cells"], r["counts"]))) for r in rows], np.array([r["toxic"] for r in rows])
+    holds = np.zeros((2, SIDE * SIDE))
+    for counts, label in zip(found, y):
+        holds[label, list(counts)] += 1
+    rates = (holds + 0.5) / (np.array([[n_ordinary], [n_toxic]]) + 1)
+    model.odds = np.log(rates[1] / rates[0])
+    x = np.array([features(f, model.odds) for f in found])
     prior = labels.where((crc_fold(FOLDS) != HELD_OUT) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
     share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))  # classes as they are in the table
     model.weights = fit_logistic(x, y, share)
@@ -169,7 +190,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
                 scores = np.zeros(batch.num_rows)
             else:
                 scores = probability(model.weights, np.array(
-                    [scorer.features(t) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, -1))
+                    [features(scorer.cells(t), model.odds) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, -1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())],
                                              names=["doc_id", "score"])
 
