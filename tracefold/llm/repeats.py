@@ -256,6 +256,25 @@ def exchange_labels(docs: DataFrame, count: int) -> np.ndarray:
     return np.array(sorted(r["n"] for r in found), dtype=np.int64)
 
 
+def packed(text: DataFrame) -> DataFrame:
+    """Texts compressed one by one: they are shuffled twice, and this halves what that writes."""
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array([pack(t) for t in batch.column("text").to_pylist()], pa.binary()))
+
+    return text.mapInArrow(run, text.schema)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        for batch in in_parts(iter([whole]), "text", PART // 4):
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array([unpack(t) for t in batch.column("text").to_pylist()], pa.binary()))
+
+
 def repeated_places(docs: DataFrame) -> DataFrame:
     """(id, tag, whole, window): triggers and windows to remove in each document that has any."""
     text = keyed(docs).select("id", F.shiftright("tag", 32).cast("int").alias("tag"), "text")
@@ -267,7 +286,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
             yield from send(batch, *parse(batch.column("text")), labels, WHOLE)
 
     def second(batches):
-        for batch in in_parts(batches, "text", PART):
+        for batch in in_parts(unpacked(batches), "text", PART):
             asked = [np.array(sorted({p for one in lists_ for p in one}), dtype=np.int64)
                      for lists_ in batch.column("asked").to_pylist()]
             key, row, places = look_into(batch.column("text"), asked)
@@ -277,7 +296,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
                  .mapInArrow(settle(True), FOUND_DDL))
     asked = (parsed.where(F.col("kind") == ASK).groupBy("id", "tag")
              .agg(F.collect_list("places").alias("asked")))
-    windows = cut(text.join(asked.hint("shuffle_hash"), ["id", "tag"])
+    windows = cut(packed(text).join(asked.hint("shuffle_hash"), ["id", "tag"])
                   .mapInArrow(second, SENT_DDL).repartition(count, "bucket")
                   .mapInArrow(settle(False), FOUND_DDL))
     found = parsed.where(F.col("kind") == WHOLE).unionByName(windows)
@@ -318,7 +337,7 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     last = "kept_sha256 string" if digest else "text binary"
 
     def answer(batches):
-        for batch in batches:
+        for batch in unpacked(batches):
             got = []
             for text, whole, window in zip(*(batch.column(c).to_pylist() for c in ("text", "whole", "window"))):
                 runs = removed_runs(len(text), whole, window)
@@ -331,5 +350,5 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0]])
 
     text = keyed(docs).withColumn("tag", F.shiftright("tag", 32).cast("int"))
-    return (text.join(repeated_places(docs).hint("shuffle_hash"), ["id", "tag"], "left")
+    return (packed(text).join(repeated_places(docs).hint("shuffle_hash"), ["id", "tag"], "left")
             .mapInArrow(answer, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}"))
