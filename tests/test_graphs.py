@@ -66,28 +66,28 @@ def test_block_zero_counts_as_absent(spark):
     assert (count(True), count(False)) == (1, 2)
 
 
-def test_sample_keeps_small_graphs_and_starts(spark):
+def test_every_node_is_ranked(spark):
     nodes = [(1, i, "METHOD" if i < 2 else "BLOCK", "") for i in range(20)]
     nodes += [(2, i, "BLOCK", "") for i in range(3)]
     edges = [(1, 0, 19, rules.EDGE_CFG), (1, 19, 18, rules.EDGE_CFG)]
-    kept, left = graph.sample_graph(spark.createDataFrame(nodes, NODES),
-                                    spark.createDataFrame(edges, EDGES), 5)
-    assert {(r["graph_id"], r["id"]) for r in kept.collect()} == {
-        (1, 0), (1, 1), (1, 19), (1, 18), (1, 2), (2, 0), (2, 1), (2, 2)}
-    assert left.count() == 2
+    got = {(r["graph_id"], r["id"]): r["place"] for r in graph.rank_nodes(
+        spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)).collect()}
+    assert len(got) == 23
+    assert [k for k in sorted(got, key=lambda k: (k[0], got[k]))][:5] == [
+        (1, 0), (1, 1), (1, 19), (1, 18), (1, 2)]
 
 
-def brute_expand(roots, members, depth_cap, cap):
+def brute_expand(roots, members):
     children = {}
     for container, seq, item, digest, is_container in sorted(members, key=lambda m: m[1]):
         children.setdefault(container, []).append((item, digest, is_container))
     out = {}
     for root, item, digest, is_container in roots:
         queue, seen, taken = deque([(item, digest, is_container, 0)]), set(), 0
-        while queue and taken < cap:
+        while queue:
             item, digest, is_container, depth = queue.popleft()
             taken += 1
-            if depth > depth_cap or digest in seen:
+            if digest in seen:
                 continue
             seen.add(digest)
             out.setdefault(root, []).append((item, depth))
@@ -108,13 +108,13 @@ def test_expand_containers(spark, seed):
         spark.createDataFrame(roots, "root_id bigint, item_id bigint, hash string, "
                                      "is_container boolean"),
         spark.createDataFrame(members, "container_id bigint, member_seq bigint, item_id bigint, "
-                                       "hash string, is_container boolean"), 5, 60).collect()
+                                       "hash string, is_container boolean")).collect()
     for r in sorted(rows, key=lambda r: (r["root_id"], r["position"])):
         got.setdefault(r["root_id"], []).append((r["item_id"], r["depth"]))
     for root in got:
         total = {r["total_processed"] for r in rows if r["root_id"] == root}
         got[root].append(("taken", total.pop()))
-    assert got == brute_expand(roots, members, 5, 60)
+    assert got == brute_expand(roots, members)
 
 
 def test_upsert_replays_inserts(spark):
@@ -193,17 +193,15 @@ def test_bpe_round_trip(spark):
 
 
 def test_api_hash_of_empty_name(spark):
-    files = spark.createDataFrame([(1,), (2,)], "file_id bigint")
     imports = spark.createDataFrame([(1, 0, "k.dll!"), (1, 1, "K!Ab"), (1, 2, "")],
                                     "file_id bigint, seq bigint, func string")
-    got = {r["file_id"]: r["api_tokens"]
-           for r in tokens.hash_api_tokens(files, imports, 4).collect()}
+    got = {(r["file_id"], r["pos"]): r["id"] for r in tokens.hash_api_tokens(imports).collect()}
     def token(name):
         h = 5381
         for c in name:
             h = (h * 33 + ord(c)) % 2**32
         return h % 4095 + 1
-    assert got == {1: [token(""), token("ab"), 0, 0], 2: [0, 0, 0, 0]}
+    assert got == {(1, 0): token(""), (1, 1): token("ab")}
 
 
 def test_graph_documents_round_trip(spark, tmp_path):

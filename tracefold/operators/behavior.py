@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracefold import rules
-from tracefold.functions.bytes import (head, hex_address, little_endian_signed,
+from tracefold.functions.bytes import (hex_address, little_endian_signed,
                                        opcode_positions)
 from tracefold.functions.literals import lookup, present
 from tracefold.operators.layout import explode_findings, finding
@@ -209,7 +209,7 @@ def evasion_score(files: DataFrame, imports: DataFrame,
         F.bool_or(F.col("mnemonic") == "rdtsc").alias("_rdtsc"),
         F.bool_or(F.col("mnemonic") == "cpuid").alias("_cpuid"))
     # Bytes above 0x7F keep their value, ASCII letters fold: the same markers match.
-    probe = F.lower(F.decode(head(F.col("content"), rules.VM_PROBE_BYTES), "ISO-8859-1"))
+    probe = F.lower(F.decode(F.col("content"), "ISO-8859-1"))
     markers = present([F.when(F.contains("_probe", F.lit(m)), F.lit(f"string_marker:{m}"))
                        for m in rules.VM_MARKERS])
     base = (files.select("file_id", probe.alias("_probe"))
@@ -235,12 +235,11 @@ def evasion_score(files: DataFrame, imports: DataFrame,
                        F.least(score, F.lit(100)).alias("evasion_score"))
 
 
-def code_patterns(code: DataFrame, cap: int = rules.OPCODE_CAP) -> DataFrame:
+def code_patterns(code: DataFrame) -> DataFrame:
     """Call, return and branch opcodes at every position, with their targets.
 
     Positions come from one vectorised pass; operands are cut out before the
-    rows are exploded, so content is never copied per match.  The cap keeps
-    calls first, then returns, near and short jumps.
+    rows are exploded, so content is never copied per match.
     """
     size = F.octet_length("data")
 
@@ -254,7 +253,7 @@ def code_patterns(code: DataFrame, cap: int = rules.OPCODE_CAP) -> DataFrame:
     hits = [found(*opcode) for opcode in rules.OPCODES]
     rows = (code.where(size >= 2)
             .select("file_id", "seq", "base_addr",
-                    F.explode(F.slice(F.concat(*hits), 1, cap)).alias("_h"))
+                    F.explode(F.concat(*hits)).alias("_h"))
             .select("file_id", "seq", (F.col("base_addr") + F.col("_h.pos")).alias("address"),
                     "_h.type", "_h.width", "_h.operand"))
     offset = (F.when(F.col("width") == 4, little_endian_signed(F.col("operand"), 4))

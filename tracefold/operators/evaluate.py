@@ -27,7 +27,9 @@ def stratified_split(samples: DataFrame, val: float = 0.1, test: float = 0.1,
     n_test, n_val = F.round(F.col("_n") * test), F.round(F.col("_n") * val)
     part = F.when(F.col("_pos") < n_test, "test").when(
         F.col("_pos") < n_test + n_val, "val").otherwise("train")
-    return placed.join(sizes, "label").withColumn("split", part).drop("_h", "_pos", "_n")
+    sizes = sizes.withColumnRenamed("label", "_label")
+    return (placed.join(sizes, placed["label"].eqNullSafe(sizes["_label"]))
+            .withColumn("split", part).drop("_h", "_pos", "_n", "_label"))
 
 
 def class_distribution(samples: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def global_features(files: DataFrame, items: DataFrame) -> DataFrame:
     bag = collect_buckets(items.where((F.col("kind") == "imports") & (clean != "")),
                           ["file_id"], clean)
     counts = items.groupBy("file_id").agg(*[
-        F.count_if(F.col("kind") == kind).alias(f"_{kind}") for kind in rules.METADATA_CAPS])
+        F.count_if(F.col("kind") == kind).alias(f"_{kind}") for kind in rules.METADATA_KINDS])
     arch = F.lower(F.coalesce("arch", F.lit("")))
     arch_code = first_match([
         (F.contains(arch, F.lit("x86")) | (arch == "i386"), F.lit(1.0)),
@@ -259,16 +259,14 @@ def node_features(nodes: DataFrame, edges: DataFrame, graph_facts: DataFrame) ->
 # --- bytes ------------------------------------------------------------------------------
 
 def byte_chunk_means(files: DataFrame) -> DataFrame:
-    """Means of overlapping 512-byte windows, scaled to [0, 1] and zero padded.
+    """Means of all overlapping 512-byte windows, scaled to [0, 1]: (file, pos, mean) rows.
 
-    Only the bytes of the kept windows reach the block sums; each window is two
-    neighbouring 256-byte blocks, so no window is read twice.
+    Each window is two neighbouring 256-byte blocks, so no window is read twice.
     """
-    stride, keep = rules.CHUNK_STRIDE, rules.CHUNK_COUNT
-    used = F.substring("content", 1, (keep + 1) * stride)
-    sums = files.select("file_id", F.coalesce(F.octet_length(used), F.lit(0)).alias("_n"),
-                        block_sums(used, F.lit(stride)).alias("_s"))
-    windows = F.least(F.ceil(F.col("_n") / stride), F.lit(keep)).cast("int")
+    stride = rules.CHUNK_STRIDE
+    sums = files.select("file_id", F.coalesce(F.octet_length("content"), F.lit(0)).alias("_n"),
+                        block_sums(F.col("content"), F.lit(stride)).alias("_s"))
+    windows = F.ceil(F.col("_n") / stride).cast("int")
 
     def mean(i: Column) -> Column:
         total = F.element_at("_s", i) + F.coalesce(F.try_element_at("_s", i + 1), F.lit(0))
@@ -277,8 +275,7 @@ def byte_chunk_means(files: DataFrame) -> DataFrame:
 
     means = F.when(windows > 0, F.transform(F.sequence(F.lit(1), windows), mean)).otherwise(
         F.array().cast("array<double>"))
-    return sums.select("file_id", windows.alias("n_windows"), F.slice(
-        F.concat(means, F.array_repeat(F.lit(0.0), keep)), 1, keep).alias("byte_means"))
+    return sums.select("file_id", F.posexplode(means).alias("pos", "mean"))
 
 
 def byteplot_geometry(files: DataFrame) -> DataFrame:
@@ -316,13 +313,18 @@ def dedupe_content(files: DataFrame, known: DataFrame | None = None,
                    scope: list[str] | None = None, order: str = "file_id") -> DataFrame:
     """First file of each content hash (per ``scope``), without known hashes.
 
-    Content stays where it is: only hashes and keys are shuffled.
+    Content stays where it is: only hashes and keys are shuffled.  Files without
+    content have no hash and stay.
     """
     scope = scope or []
     hashed = files.withColumn("sha256", content_hash(F.col("content"))).drop("content")
-    firsts = hashed.groupBy(*scope, "sha256").agg(F.min(order).alias("_first"))
-    kept = (hashed.join(firsts, scope + ["sha256"]).where(F.col(order) == F.col("_first"))
-            .drop("_first"))
+    keys = scope + ["sha256"]
+    firsts = hashed.where("sha256 IS NOT NULL").groupBy(*keys).agg(F.min(order).alias("_first"))
+    firsts = firsts.select("_first", *[F.col(k).alias(f"_k_{k}") for k in keys])
+    met = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    kept = (hashed.join(firsts, met, "left")
+            .where(F.col("sha256").isNull() | (F.col(order) == F.col("_first")))
+            .drop("_first", *[f"_k_{k}" for k in keys]))
     if known is not None:
         kept = kept.join(known.select("sha256").distinct(), "sha256", "left_anti")
     return kept

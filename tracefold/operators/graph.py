@@ -12,19 +12,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tracefold import rules
 from tracefold.functions.literals import first_match
-from tracefold.operators.ordering import first_rows, number_rows, running_total
+from tracefold.operators.ordering import number_rows, running_total
 from tracefold.session import cut, cut_counted
 
-BROADCAST_ROWS = 500_000  # a frontier of at most this many narrow rows is broadcast
 HOPS = 2                  # predecessor steps per round of reaching definitions
 KEEP_PIECES = 8           # visited tables are compacted after this many rounds
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a counted frontier; a larger one joins by shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 # --- building --------------------------------------------------------------------------
 
 def build_nodes(functions: DataFrame, blocks: DataFrame, instructions: DataFrame) -> DataFrame:
@@ -205,7 +199,7 @@ def reaching_definitions(uses: DataFrame, preds: DataFrame,
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"definitions still moving after {max_rounds} rounds")
-        moved = advance(small_side(frontier.where(last).select(*key), rows))
+        moved = advance(frontier.where(last).select(*key))
         frontier, rows = cut_counted(moved.join(seen, key, "left_anti"), last)
         seen = seen.unionByName(frontier)
         if rounds % KEEP_PIECES == 0:
@@ -213,13 +207,9 @@ def reaching_definitions(uses: DataFrame, preds: DataFrame,
     return seen.where("is_def").select(*scope, "var", F.col("cur").alias("def_id"), "use_id")
 
 
-def metadata_caps(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
-    """First items of each kind kept per file (imports, exports, strings)."""
-    caps = caps or rules.METADATA_CAPS
-    top = first_rows(items, ["file_id", "kind"], ["pos"], max(caps.values()))
-    rank = F.row_number().over(W.partitionBy("file_id", "kind").orderBy("pos"))
-    limit = first_match([(F.col("kind") == k, F.lit(n)) for k, n in caps.items()], F.lit(0))
-    return top.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
+def metadata_items(items: DataFrame) -> DataFrame:
+    """Every import, export and string with its place in its kind and file."""
+    return number_rows(items, ["pos", "value"], ["file_id", "kind"], "place")
 
 
 # --- checks, filters, neighbours ------------------------------------------------------------
@@ -331,8 +321,7 @@ def bfs_reach(edges: DataFrame, sources: DataFrame, etype: str | None = None,
     """Nodes reachable from the sources with their distance.
 
     All graphs advance together; the loop ends with an empty frontier.  Each
-    round joins the frontier to the edges and removes visited nodes; the
-    frontier is broadcast only while its counted size is small.
+    round joins the frontier to the edges and removes visited nodes.
     """
     if etype:
         edges = edges.where(F.col("etype") == etype)
@@ -346,7 +335,7 @@ def bfs_reach(edges: DataFrame, sources: DataFrame, etype: str | None = None,
     reached, distance = frontier, 0
     while rows and (max_rounds is None or distance < max_rounds):
         distance += 1
-        step = (links.join(small_side(frontier, rows), ["graph_id", "id"], "left_semi")
+        step = (links.join(frontier, ["graph_id", "id"], "left_semi")
                 .select("graph_id", F.col("next").alias("id")).distinct())
         frontier, rows = cut_counted(step.join(reached, ["graph_id", "id"], "left_anti")
                                      .withColumn("distance", F.lit(distance)))
@@ -357,27 +346,37 @@ def bfs_reach(edges: DataFrame, sources: DataFrame, etype: str | None = None,
     return reached
 
 
-def instruction_to_block(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Block of every node that can be placed: (graph_id, id, block).
+def instruction_to_block(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Block of every node that can be reached from one: (graph_id, id, block).
 
-    Blocks hold themselves, then AST children of blocks, then ``rounds`` rounds
-    over all edges in both directions.  On ties the smallest block wins; the
-    order of edges plays no role.
+    Blocks hold themselves, then AST children of blocks, then neighbours over all
+    edges in both directions until nothing is added.  On ties the smallest block
+    wins; the order of edges plays no role.
     """
     key = ["graph_id", "id"]
     edges = cut(edges.select("graph_id", "src", "dst", "etype"))  # read in every round
-    placed = nodes.where(F.col("type") == "BLOCK").select("graph_id", "id",
-                                                          F.col("id").alias("block"))
+    frontier = nodes.where(F.col("type") == "BLOCK").select("graph_id", "id",
+                                                            F.col("id").alias("block"))
     links = edges.select("graph_id", F.col("src").alias("id"), F.col("dst").alias("next"))
     both = links.unionByName(edges.select("graph_id", F.col("dst").alias("id"),
                                           F.col("src").alias("next")))
     children = edges.where(F.col("etype") == rules.EDGE_AST).select(
         "graph_id", F.col("src").alias("id"), F.col("dst").alias("next"))
-    for links_now in [children] + [both] * rounds:
-        found = (links_now.join(placed, key)
-                 .groupBy("graph_id", F.col("next").alias("id"))
+
+    def step(over: DataFrame, start: DataFrame, placed: DataFrame) -> tuple[DataFrame, int]:
+        found = (over.join(start, key).groupBy("graph_id", F.col("next").alias("id"))
                  .agg(F.min("block").alias("block")))
-        placed = cut(placed.unionByName(found.join(placed, key, "left_anti")))
+        return cut_counted(found.join(placed, key, "left_anti"))
+
+    new, _ = step(children, frontier, frontier)
+    placed = frontier.unionByName(new)
+    frontier, rows, rounds = placed, 1, 0  # the first full round starts from all placed nodes
+    while rows:
+        rounds += 1
+        frontier, rows = step(both, frontier, placed)
+        placed = placed.unionByName(frontier)
+        if rounds % KEEP_PIECES == 0:
+            placed = cut(placed)
     return placed
 
 
@@ -421,28 +420,18 @@ def block_composition(nodes: DataFrame, placed: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def sample_graph(nodes: DataFrame, edges: DataFrame,
-                 max_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """Shrink graphs over ``max_nodes`` to the nodes nearest to their methods.
+def rank_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every node with its distance to a method and its place by it.
 
-    Distances are undirected; unreached nodes fill up in id order.  All start
-    nodes stay even when they alone exceed the limit.
+    Distances are undirected; a graph without methods starts from its first node,
+    and unreached nodes follow in id order.
     """
-    sizes = nodes.groupBy("graph_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("id").alias("_first"),
-        F.bool_or(F.col("type") == "METHOD").alias("_has"))
-    large = cut(sizes.where(F.col("_n") > max_nodes))
-    starts = (nodes.join(large, "graph_id")
+    starts = nodes.groupBy("graph_id").agg(
+        F.min("id").alias("_first"), F.bool_or(F.col("type") == "METHOD").alias("_has"))
+    starts = (nodes.join(starts, "graph_id")
               .where(F.when(F.col("_has"), F.col("type") == "METHOD")
                      .otherwise(F.col("id") == F.col("_first"))).select("graph_id", "id"))
-    scope = edges.join(large.select("graph_id"), "graph_id", "left_semi")
-    distance = bfs_reach(scope, starts, directed=False)
-    ranked = (nodes.join(large.select("graph_id"), "graph_id", "left_semi")
-              .select("graph_id", "id").join(distance, ["graph_id", "id"], "left")
-              .select("graph_id", "id",
-                      F.coalesce("distance", F.lit(2147483647)).alias("distance")))
-    near = first_rows(ranked, ["graph_id"], ["distance", "id"], max_nodes)
-    kept = (near.unionByName(ranked.where(F.col("distance") == 0)).select("graph_id", "id")
-            .unionByName(nodes.join(large.select("graph_id"), "graph_id", "left_anti")
-                         .select("graph_id", "id")).distinct())
-    return subgraph(nodes, edges, kept)
+    distance = bfs_reach(edges, starts, directed=False)
+    ranked = nodes.select("graph_id", "id").join(distance, ["graph_id", "id"], "left").select(
+        "graph_id", "id", F.coalesce("distance", F.lit(2147483647)).alias("distance"))
+    return number_rows(ranked, ["distance", "id"], ["graph_id"], "place")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracefold import rules
-from tracefold.functions.bytes import head
 from tracefold.functions.literals import any_of, first_match, lookup, raw
-from tracefold.operators.ordering import first_rows
 
 
 def suffix(name: Column) -> Column:
@@ -135,8 +133,7 @@ def type_flags(files: DataFrame) -> DataFrame:
 
 def route(files: DataFrame) -> DataFrame:
     """Analysis route of identified files, with the text fallback."""
-    probe = head(F.col("content"), rules.TEXT_PROBE_BYTES)
-    text = (F.octet_length(probe) > 0) & ~F.contains(probe, raw("00"))
+    text = (F.octet_length("content") > 0) & ~F.contains("content", raw("00"))
     ext = F.lower(F.regexp_replace(suffix(F.col("name")), r"^\.+", ""))
     known = first_match([(F.col("file_type").isin(types), F.lit(name))
                          for name, types in rules.ROUTE_TYPES.items()])
@@ -168,11 +165,10 @@ def normal_path(path: Column) -> Column:
     return F.when(joined == "", ".").otherwise(joined)
 
 
-def safe_member_path(members: DataFrame, max_files: int = rules.MAX_EXTRACTED) -> DataFrame:
-    """Cap the member list, skip directories and drop escaping paths."""
-    capped = first_rows(members, ["container_id"], ["member_seq"], max_files)
+def safe_member_path(members: DataFrame) -> DataFrame:
+    """Skip directories and drop escaping paths."""
     bare = F.regexp_replace("member_path", r"^[/\\]+", "")
-    return (capped.where(~F.endswith("member_path", F.lit("/")))
+    return (members.where(~F.endswith("member_path", F.lit("/")))
             .withColumn("safe_path", normal_path(bare))
             .where(~F.startswith("safe_path", F.lit(".."))))
 
@@ -187,7 +183,7 @@ def safe_disk_path(directory: Column, name: Column) -> Column:
 
 
 def safe_file_name(name: Column) -> Column:
-    clean = F.substring(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), 1, 200)
+    clean = F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_")
     return F.when(clean == "", "unnamed").otherwise(clean)
 
 
@@ -196,8 +192,7 @@ def upload_file_name(name: Column) -> Column:
 
 
 def looks_like_script(content: Column) -> Column:
-    probe = head(content, 1024)
-    return any_of(F.contains(probe, raw(m.encode().hex())) for m in rules.SCRIPT_MARKERS)
+    return any_of(F.contains(content, raw(m.encode().hex())) for m in rules.SCRIPT_MARKERS)
 
 
 def file_info(files: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracefold import rules
-from tracefold.functions.bytes import (byte_entropy, entropy_class, head, hex_address,
+from tracefold.functions.bytes import (byte_entropy, entropy_class, hex_address,
                                        hex_padded)
 from tracefold.functions.literals import (contains_any, contains_any_bytes,
                                           first_match, lookup, present, raw)
-from tracefold.operators.ordering import first_rows
+from tracefold.operators.ordering import number_rows
 
 
 def finding(condition: Column, kind: str, severity: str, detail: Column) -> Column:
@@ -229,7 +229,7 @@ def packer_fingerprint(sections: DataFrame) -> DataFrame:
 
 def compiler_fingerprint(headers: DataFrame, sections: DataFrame,
                          files: DataFrame | None = None) -> DataFrame:
-    """Compiler by section names, rich header and a marker in the first 8 KB."""
+    """Compiler by section names, rich header and a marker in the content."""
     name = F.lower("name")
     tests = {
         "go": name.isin(".gopclntab", "go.buildid") | F.startswith(name, F.lit(".go")),
@@ -243,9 +243,8 @@ def compiler_fingerprint(headers: DataFrame, sections: DataFrame,
     if files is None:
         base = base.withColumn("_rust", F.lit(False))
     else:
-        probe = head(F.col("content"), rules.RUST_PROBE_BYTES)
         marks = [m.encode().hex() for m in rules.RUST_MARKERS]
-        base = base.join(files.select("file_id", contains_any_bytes(probe, marks)
+        base = base.join(files.select("file_id", contains_any_bytes(F.col("content"), marks)
                                       .alias("_rust")), "file_id", "left")
     has = lambda key: F.coalesce(F.col(f"_{key}"), F.lit(False))
     compiler = first_match([
@@ -296,8 +295,7 @@ def overlay(files: DataFrame, sections: DataFrame) -> DataFrame:
     archive = first_match([(F.startswith(data, raw(p)), F.lit(k))
                            for p, k in rules.OVERLAY_ARCHIVES], F.lit("none"))
     embedded = (F.startswith(data, raw("4D5A"))
-                | F.contains(head(data, rules.EMBEDDED_PROBE_BYTES),
-                             raw(rules.EMBEDDED_PE_MARK)))
+                | F.contains(data, raw(rules.EMBEDDED_PE_MARK)))
     found = data.isNotNull()
     return (files.select("file_id", "content").join(ends, "file_id", "left")
             .withColumn("overlay_offset", end)
@@ -343,12 +341,12 @@ def tls_callbacks(pointers: DataFrame) -> DataFrame:
 
 def is_embedded_pe(data: Column) -> Column:
     return (F.startswith(data, raw("4D5A"))
-            | F.contains(head(data, rules.EMBEDDED_PROBE_BYTES), raw(rules.EMBEDDED_PE_MARK)))
+            | F.contains(data, raw(rules.EMBEDDED_PE_MARK)))
 
 
-def resource_tree(resources: DataFrame, cap: int = rules.RESOURCE_TREE_CAP) -> DataFrame:
-    """First resources of each file; totals come from :func:`embedded_resources`."""
-    return first_rows(resources, ["file_id"], ["seq"], cap)
+def resource_tree(resources: DataFrame) -> DataFrame:
+    """Every resource with its place in its file."""
+    return number_rows(resources, ["seq"], ["file_id"], "place")
 
 
 def embedded_resources(resources: DataFrame) -> DataFrame:

@@ -1,26 +1,23 @@
-"""Nested containers: breadth-first expansion with depth, count and hash limits."""
+"""Nested containers: breadth-first expansion until no new content is found."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tracefold import rules
-from tracefold.operators.ordering import first_rows
-from tracefold.session import cut
+from tracefold.operators.ordering import number_rows
+from tracefold.session import cut, cut_counted
 
 
-def expand_containers(roots: DataFrame, members: DataFrame,
-                      max_depth: int = rules.MAX_DEPTH,
-                      max_files: int = rules.MAX_EXTRACTED) -> DataFrame:
+def expand_containers(roots: DataFrame, members: DataFrame) -> DataFrame:
     """Files found below each root: (root_id, position, depth, item_id, hash, ...).
 
     ``roots`` is (root_id, item_id, hash, is_container); ``members`` is
     (container_id, member_seq, item_id, hash, is_container).  One round per level
-    takes items in queue order.  At most ``max_files`` items per root are taken
-    from the queue, repeated hashes and items below ``max_depth`` included, and a
-    level forwards no more than that, so the work of a root is bounded.
+    takes items in queue order; content that a root has met before is counted but
+    not opened again, so the loop ends, also when containers hold each other.
+    Positions come from a distributed count: no task holds the queue of a root.
     """
     members = cut(members.select("container_id", "member_seq", "item_id", "hash",
                                  "is_container"))  # read on every level
@@ -29,27 +26,21 @@ def expand_containers(roots: DataFrame, members: DataFrame,
                          F.lit(0).cast("bigint").alias("_parent"),
                          F.lit(0).cast("bigint").alias("_seq"))
     used = roots.select("root_id", F.lit(0).cast("bigint").alias("_used"))
-    found, levels = None, []
-    for depth in range(max_depth + 2):
-        order = W.partitionBy("root_id").orderBy("_parent", "_seq", "item_id")
-        level = (first_rows(queue, ["root_id"], ["_parent", "_seq", "item_id"], max_files)
-                 .withColumn("_row", F.row_number().over(order))
+    found, levels, depth, rows = None, [], 0, 1
+    while rows:
+        level = (number_rows(queue, ["_parent", "_seq", "item_id"], ["root_id"], "_row")
                  .join(used, "root_id")
-                 .withColumn("position", F.col("_row") + F.col("_used"))
-                 .where(F.col("position") <= max_files)
+                 .withColumn("position", F.col("_row") + F.col("_used") + 1)
                  .withColumn("depth", F.lit(depth)))
         level = cut(level.select(*columns))
         levels.append(level.select("root_id"))
-        # At most max_files rows per root exist in all levels together.
         used = reduce(DataFrame.unionByName, levels).groupBy("root_id").agg(
             F.count(F.lit(1)).alias("_used"))
-        if depth > max_depth:
-            break
         new = level if found is None else level.join(
             found.select("root_id", "hash"), ["root_id", "hash"], "left_anti")
         firsts = new.groupBy("root_id", "hash").agg(F.min("position").alias("position"))
         new = new.join(firsts, ["root_id", "hash", "position"]).select(*columns)
-        new = cut(new)
+        new, rows = cut_counted(new, F.col("is_container"))
         found = new if found is None else found.unionByName(new)
         queue = (new.where("is_container")
                  .select("root_id", F.col("item_id").alias("container_id"),
@@ -57,31 +48,29 @@ def expand_containers(roots: DataFrame, members: DataFrame,
                  .join(members, "container_id")
                  .select("root_id", "item_id", "hash", "is_container", "_parent",
                          F.col("member_seq").cast("bigint").alias("_seq")))
+        depth += 1
     taken = used.withColumnRenamed("_used", "total_processed")
     return found.join(taken, "root_id")
 
 
-def container_summary(expanded: DataFrame, errors: DataFrame | None = None,
-                      cap: int = rules.MAX_LEAVES) -> DataFrame:
-    """Leaf count, kept leaves and success per root.
+def leaves(expanded: DataFrame) -> DataFrame:
+    """One row per file that is no container, in queue order by ``position``."""
+    return expanded.where(~F.col("is_container")).select("root_id", "position", "item_id")
+
+
+def container_summary(expanded: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Leaf count and success per root; :func:`leaves` has the leaves.
 
     A root succeeds when it had no error or gave any leaf.
     """
-    leaf = ~F.col("is_container")
-    facts = expanded.groupBy("root_id").agg(
-        F.count_if(leaf).alias("contained_files"), F.max("total_processed")
-        .alias("total_processed"))
-    kept = (first_rows(expanded.where(leaf), ["root_id"], ["position"], cap)
-            .groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct(
-                "position", "item_id"))).alias("_kept")))
-    out = facts.join(kept, "root_id", "left")
+    out = expanded.groupBy("root_id").agg(
+        F.count_if(~F.col("is_container")).alias("contained_files"),
+        F.max("total_processed").alias("total_processed"))
     if errors is None:
         out = out.withColumn("_errors", F.lit(0))
     else:
         out = out.join(errors.groupBy("root_id").agg(F.count(F.lit(1)).alias("_errors")),
                        "root_id", "left")
-    ids = F.transform(F.coalesce("_kept", F.array().cast(
-        "array<struct<position:bigint,item_id:bigint>>")), lambda e: e["item_id"])
-    return out.select("root_id", "contained_files", "total_processed", ids.alias("leaves"),
+    return out.select("root_id", "contained_files", "total_processed",
                       ((F.coalesce("_errors", F.lit(0)) == 0) | (F.col("contained_files") > 0))
                       .alias("success"))

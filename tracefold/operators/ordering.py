@@ -34,11 +34,12 @@ def running_total(df: DataFrame, order: list[str], group: list[str] | None = Non
     pieces = pieces.select(*group, "_piece", *[
         F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}")
         for n in weights])
-    inside = W.partitionBy(*group, "_piece").orderBy(*order).rowsBetween(
-        W.unboundedPreceding, -1)
-    joined = staged.join(pieces, group + ["_piece"])
-    return joined.select(*df.columns, *[
-        (F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)) + F.col(f"_b_{n}"))
+    met = [staged[c].eqNullSafe(pieces[c]) for c in group + ["_piece"]]  # null is a group too
+    inside = W.partitionBy(*[staged[c] for c in group], staged["_piece"]).orderBy(
+        *[staged[c] for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    joined = staged.join(pieces, met)
+    return joined.select(*[staged[c] for c in df.columns], *[
+        (F.coalesce(F.sum(staged[f"_w_{n}"]).over(inside), F.lit(0)) + F.col(f"_b_{n}"))
         .alias(n) for n in weights])
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracefold import rules
 from tracefold.functions.bytes import byte_entropy, latin1
 from tracefold.functions.literals import (contains_any, contains_any_bytes, first_match,
                                           present, raw)
-from tracefold.operators.ordering import first_rows
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -88,9 +87,10 @@ def categorize_strings(strings: DataFrame) -> DataFrame:
             .distinct())
 
 
-def cap_categories(categorized: DataFrame, cap: int = rules.CATEGORY_CAP) -> DataFrame:
-    """First strings of every category, sorted."""
-    return first_rows(categorized, ["file_id", "category"], ["s"], cap)
+def rank_categories(categorized: DataFrame) -> DataFrame:
+    """Every string with its place in the sorted category of its file."""
+    order = W.partitionBy("file_id", "category").orderBy("s")
+    return categorized.withColumn("rank", F.row_number().over(order))
 
 
 # --- signatures ---------------------------------------------------------------------
@@ -212,18 +212,20 @@ def script_calls(scripts: DataFrame) -> DataFrame:
 
 
 def script_imports(scripts: DataFrame) -> DataFrame:
+    """Modules of import statements: every one of a list, none for bare dots."""
     code = F.when(F.col("lang") == "py", F.col("code"))
-    return scripts.select("file_id", F.posexplode(
-        all_matches(code, rules.RE_PY_IMPORT, 1)).alias("pos", "module"))
+    lists = F.transform(all_matches(code, rules.RE_PY_IMPORT, 1), lambda names: F.transform(
+        F.split(names, ","), lambda one: F.regexp_extract(one, rules.RE_PY_MODULE, 1)))
+    modules = F.filter(F.flatten(lists), lambda m: m.rlike(r"[^.]"))
+    return scripts.select("file_id", F.posexplode(modules).alias("pos", "module"))
 
 
-def script_literals(scripts: DataFrame, cap: int = rules.LITERAL_CAP) -> DataFrame:
-    """First string constants of more than three characters."""
+def script_literals(scripts: DataFrame) -> DataFrame:
+    """String constants of more than three characters."""
     code = F.when(F.col("lang") == "py", F.col("code"))
     quoted = F.transform(all_matches(code, rules.RE_PY_LITERAL, 0),
                          lambda s: F.substr(s, F.lit(2), F.length(s) - 2))
-    return scripts.select("file_id", F.posexplode(F.slice(quoted, 1, cap))
-                          .alias("pos", "literal"))
+    return scripts.select("file_id", F.posexplode(quoted).alias("pos", "literal"))
 
 
 # --- documents --------------------------------------------------------------------------
@@ -233,8 +235,7 @@ def vba_rules(macros: DataFrame) -> DataFrame:
     code = F.col("code")
     return macros.select(
         "file_id", all_matches(code, rules.RE_VBA_NAME, 1).alias("functions"),
-        F.slice(all_matches(code, rules.RE_VBA_STRING, 1), 1, rules.LITERAL_CAP)
-        .alias("strings"),
+        all_matches(code, rules.RE_VBA_STRING, 1).alias("strings"),
         present([F.when(code.rlike(p), F.lit(n)) for n, p in rules.VBA_SUSPICIOUS])
         .alias("suspicious"),
         code.rlike(rules.RE_VBA_AUTO).alias("auto_exec"))
@@ -327,7 +328,7 @@ def verdict_parse(reports: DataFrame) -> DataFrame:
     script = first_match([
         (says(report, "MALWARE"), bad),
         (says(report, "BENIGN"), result("BENIGN", 15.0, 90.0)),
-        (F.contains(F.substring(report, 1, 1500), F.lit("MALWARE")),
+        (F.contains(report, F.lit("MALWARE")),
          result("MALWARE", 70.0, 80.0))], result("BENIGN", 20.0, 80.0))
     is_pe = F.col("kind") == "pe"
     text = F.when(is_pe, F.concat(other, F.lit("\n"), report)).otherwise(report)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracefold import rules
 from tracefold.functions.hashing import api_token
 from tracefold.functions.literals import any_of, first_match, let
-from tracefold.operators.ordering import first_rows
+from tracefold.operators.ordering import number_rows
 from tracefold.session import cut
 
 MAX_MERGES = 50_000  # size bound of the merge list and vocabulary that are broadcast
@@ -205,11 +205,9 @@ def bpe_decode(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
         F.replace(text, F.lit("</w>"), F.lit(" ")), F.lit(" "), F.lit("")).alias("text"))
 
 
-def pooled_name_vector(encoded: DataFrame, vectors: DataFrame, dim: int,
-                       limit: int = 8) -> DataFrame:
-    """Mean of the vectors of the first ``limit`` sub-words; zeros when none."""
-    parts = (encoded.select("text_id", F.explode(F.slice("token_ids", 1, limit))
-                            .alias("token_id"))
+def pooled_name_vector(encoded: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """Mean of the vectors of all sub-words; zeros when none."""
+    parts = (encoded.select("text_id", F.explode("token_ids").alias("token_id"))
              .join(vectors.select("token_id", "vector"), "token_id")
              .select("text_id", F.posexplode("vector").alias("dim", "value"))
              .groupBy("text_id", "dim").agg(F.avg("value").alias("value"))
@@ -221,15 +219,8 @@ def pooled_name_vector(encoded: DataFrame, vectors: DataFrame, dim: int,
                     .alias("vector")))
 
 
-def hash_api_tokens(files: DataFrame, imports: DataFrame,
-                    size: int = rules.API_TOKENS) -> DataFrame:
-    """Padded token ids of the first named imports of each file."""
+def hash_api_tokens(imports: DataFrame) -> DataFrame:
+    """Token id of every named import with its place in the file: (file_id, pos, id)."""
     named = imports.where(F.coalesce("func", F.lit("")) != "")
-    first = first_rows(named.select("file_id", "seq", "func"), ["file_id"], ["seq"], size)
-    lists = first.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(
-        "seq", api_token(F.col("func")).alias("id")))).alias("ids"))
-    ids = F.transform(F.coalesce("ids", F.array().cast("array<struct<seq:bigint,id:int>>")),
-                      lambda e: e["id"])
-    return (files.select("file_id").join(lists, "file_id", "left")
-            .select("file_id", F.slice(F.concat(ids, F.array_repeat(F.lit(0), size)), 1, size)
-                    .alias("api_tokens")))
+    placed = number_rows(named.select("file_id", "seq", "func"), ["seq", "func"], ["file_id"], "pos")
+    return placed.select("file_id", "pos", api_token(F.col("func")).alias("id"))

@@ -172,7 +172,7 @@ def _(t):
 
 
 ROUTES = values("kind, route", [(k, r) for r, kinds in rules.ROUTE_TYPES.items() for k in kinds])
-TEXTUAL = "octet_length(content) > 0 AND NOT regexp_matches(left(hex(content), 16000), '^(..)*00')"
+TEXTUAL = "octet_length(content) > 0 AND NOT regexp_matches(hex(content), '^(..)*00')"
 
 
 @query("route", f"""
@@ -194,16 +194,15 @@ def _(t):
 SELECT container_id, member_seq, CASE member_path
     WHEN '/abs/./x/../y' THEN 'abs/y' WHEN 'docs/' THEN 'docs' ELSE
     CASE WHEN member_path LIKE '%/./x/../y/..' THEN 'abs' ELSE member_path END END AS safe_path
-FROM (SELECT *, row_number() OVER (PARTITION BY container_id ORDER BY member_seq) AS rn
-      FROM {zip_members}) m
-WHERE rn <= 4 AND member_path NOT LIKE '%/' AND ltrim(member_path, '/') NOT LIKE '..%'""")
+FROM {zip_members}
+WHERE member_path NOT LIKE '%/' AND ltrim(member_path, '/') NOT LIKE '..%'""")
 def _(t):
-    return identity.safe_member_path(t("zip_members"), 4).select(
+    return identity.safe_member_path(t("zip_members")).select(
         "container_id", "member_seq", "safe_path")
 
 
 @query("safe_file_name", r"""
-SELECT page_id, coalesce(nullif(substr(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), 1, 200), ''),
+SELECT page_id, coalesce(nullif(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ''),
        'unnamed') AS safe, regexp_replace(url, '[^\pL\pN._-]', '', 'g') AS upload FROM {pages}""")
 def _(t):
     return t("pages").select("page_id", identity.safe_file_name(F.col("url")).alias("safe"),
@@ -213,7 +212,7 @@ def _(t):
 @query("looks_like_script", f"""
 SELECT file_id, list_bool_or(list_transform([{sql_list(
     [m.encode().hex().upper() for m in rules.SCRIPT_MARKERS])}],
-    lambda m: regexp_matches(left(hex(content), 2048), '^(..)*' || m))) AS is_script
+    lambda m: regexp_matches(hex(content), '^(..)*' || m))) AS is_script
 FROM (SELECT page_id AS file_id, encode(html) AS content FROM {{pages}}
       UNION ALL SELECT file_id, encode(code) AS content FROM {{macros}}) x""")
 def _(t):

@@ -116,10 +116,10 @@ def _(t):
 
 
 @query("metadata_caps", """
-SELECT file_id, kind, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY file_id, kind ORDER BY pos)
-       AS rn FROM {items}) x WHERE rn <= CASE kind WHEN 'strings' THEN 20 ELSE 5 END""")
+SELECT file_id, kind, pos, value, row_number() OVER (PARTITION BY file_id, kind ORDER BY pos, value) - 1 AS place
+FROM {items}""")
 def _(t):
-    return graph.metadata_caps(t("items"), {"imports": 5, "exports": 5, "strings": 20})
+    return graph.metadata_items(t("items"))
 
 
 # --- checks and neighbours ---------------------------------------------------------------
@@ -227,9 +227,9 @@ UNION SELECT r.graph_id, e.next, r.distance + 1 FROM reach r JOIN ({edges}) e
 
 @query("bfs_reach", "SELECT graph_id, id, min(distance) AS distance FROM {reach} GROUP BY graph_id, id", {
     "reach": reach_sql("SELECT DISTINCT graph_id, src AS id, dst AS next FROM {edges}",
-                       "SELECT graph_id, id FROM {nodes} WHERE type = 'METHOD' AND id % 55 = 0")})
+                       "SELECT graph_id, id FROM {nodes} WHERE type = 'METHOD'")})
 def _(t):
-    sources = t("nodes").where("type = 'METHOD' AND id % 55 = 0")
+    sources = t("nodes").where("type = 'METHOD'")
     return graph.bfs_reach(t("edges"), sources)
 
 
@@ -254,7 +254,7 @@ BOTH = ("SELECT graph_id, src AS id, dst AS next FROM {edges} UNION ALL "
 PLACED = {
     "p0": "SELECT graph_id, id, id AS block FROM {nodes} WHERE type = 'BLOCK'",
     "p1": _round("p0", "SELECT graph_id, src AS id, dst AS next FROM {edges} WHERE etype = 'IS_AST_PARENT'"),
-    "p2": _round("p1", BOTH), "p3": _round("p2", BOTH), "placed": _round("p3", BOTH)}
+    **{f"p{i}": _round(f"p{i - 1}", BOTH) for i in range(2, 9)}, "placed": _round("p8", BOTH)}
 
 
 @query("instruction_to_block", "SELECT * FROM {placed}", PLACED)
@@ -290,15 +290,14 @@ def _(t):
 
 
 @query("sample_graph", """
-SELECT graph_id, id FROM (
-  SELECT n.graph_id, n.id, row_number() OVER (PARTITION BY n.graph_id ORDER BY coalesce(d, 2147483647), n.id) AS rn,
-         coalesce(d, -1) = 0 AS start
-  FROM {nodes} n LEFT JOIN (SELECT graph_id, id, min(distance) AS d FROM {reach} GROUP BY graph_id, id) r
-       ON r.graph_id = n.graph_id AND r.id = n.id) x WHERE rn <= 60 OR start""", {
+SELECT n.graph_id, n.id, coalesce(d, 2147483647) AS distance,
+       row_number() OVER (PARTITION BY n.graph_id ORDER BY coalesce(d, 2147483647), n.id) - 1 AS place
+FROM {nodes} n LEFT JOIN (SELECT graph_id, id, min(distance) AS d FROM {reach} GROUP BY graph_id, id) r
+     ON r.graph_id = n.graph_id AND r.id = n.id""", {
     "reach": reach_sql("SELECT DISTINCT graph_id, id, next FROM (" + BOTH + ") b",
-                       "SELECT graph_id, id FROM {nodes} WHERE type = 'METHOD'", 8)})
+                       "SELECT graph_id, id FROM {nodes} WHERE type = 'METHOD'", 14)})
 def _(t):
-    return graph.sample_graph(t("nodes"), t("edges"), 60)[0].select("graph_id", "id")
+    return graph.rank_nodes(t("nodes"), t("edges"))
 
 
 # --- graph documents ----------------------------------------------------------------------------
@@ -570,12 +569,9 @@ SELECT file_id, CAST(floor(i / 256) AS BIGINT) AS blk, CAST(sum(b) AS BIGINT) AS
 @query("byte_chunk_means", """
 SELECT file_id, CAST(blk AS INT) AS pos, round((s + coalesce(s2, 0)) / (c + coalesce(c2, 0)) / 255e0, 9) AS mean
 FROM (SELECT *, lead(s) OVER (PARTITION BY file_id ORDER BY blk) AS s2,
-             lead(c) OVER (PARTITION BY file_id ORDER BY blk) AS c2 FROM {bs}) x WHERE blk < 1024""",
-       {"bs": BLOCK_SUMS})
+             lead(c) OVER (PARTITION BY file_id ORDER BY blk) AS c2 FROM {bs}) x""", {"bs": BLOCK_SUMS})
 def _(t):
-    out = features.byte_chunk_means(t("files"))
-    return out.select("file_id", F.posexplode(F.slice("byte_means", F.lit(1), F.col("n_windows")))
-                      .alias("pos", "mean")).withColumn("mean", F.round("mean", 9))
+    return features.byte_chunk_means(t("files")).withColumn("mean", F.round("mean", 9))
 
 
 WIDTH = "CASE " + " ".join(f"WHEN n < {a} THEN {w}" for a, w in rules.PLOT_WIDTHS) + " ELSE 1024 END"
@@ -618,10 +614,11 @@ def _(t):
 @query("weighted_pool", """
 SELECT c_nationkey AS graph_id, i AS dim, round(sum(w * v), 5) AS value FROM (
   SELECT c_nationkey, c_custkey % 7 / 7e0 AS w, CAST(unnest(range(64)) AS INT) AS i,
-         CAST(unnest(embedding) AS DOUBLE) AS v FROM {customer} JOIN {embeddings} ON vec_id = c_custkey % 500) x
+         CAST(unnest(embedding) AS DOUBLE) AS v FROM {customer} JOIN {embeddings} ON vec_id = c_custkey % (SELECT count(*) FROM {embeddings})) x
 GROUP BY c_nationkey, i""")
 def _(t):
-    rows = t("customer").join(t("embeddings"), F.col("vec_id") == F.col("c_custkey") % 500).select(
+    n = t("embeddings").count()
+    rows = t("customer").join(t("embeddings"), F.col("vec_id") == F.col("c_custkey") % n).select(
         F.col("c_nationkey").alias("graph_id"), (F.col("c_custkey") % 7 / F.lit(7.0)).alias("weight"),
         F.col("embedding").cast("array<double>").alias("vector"))
     return features.weighted_pool(rows, ["graph_id"]).withColumn("value", F.round("value", 5))
@@ -644,8 +641,8 @@ def _(t):
 
 # --- containers -----------------------------------------------------------------------------------------
 
-def expansion_sql(levels: int = 7, cap: int = 1000) -> dict[str, str]:
-    """Levels of the queue as chained tables; level 6 only counts."""
+def expansion_sql(levels: int = 12) -> dict[str, str]:
+    """Levels of the queue as chained tables; there are more than the deepest one needs."""
     seen, out = [], {}
     for i in range(levels):
         if i == 0:
@@ -657,13 +654,13 @@ def expansion_sql(levels: int = 7, cap: int = 1000) -> dict[str, str]:
             f"SELECT count(*) AS c FROM {{l{j}}} b WHERE b.root_id = q.root_id" for j in range(i)) + ")), 0)")
         out[f"l{i}"] = f"""SELECT * FROM (SELECT root_id, item_id, hash, is_container, {i} AS depth,
             row_number() OVER (PARTITION BY root_id ORDER BY par, seq, item_id) + {before} AS position
-            FROM ({queue}) q) x WHERE position <= {cap}"""
+            FROM ({queue}) q) x"""
         known = "".join(f" AND NOT EXISTS (SELECT 1 FROM {{n{j}}} o WHERE o.root_id = l.root_id AND o.hash = l.hash)"
                         for j in seen)
         out[f"n{i}"] = f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
             PARTITION BY root_id, hash ORDER BY position) AS rn FROM {{l{i}}} l WHERE TRUE{known}) y WHERE rn = 1"""
         seen.append(i)
-    out["found"] = " UNION ALL ".join(f"SELECT * FROM {{n{i}}}" for i in range(levels - 1))
+    out["found"] = " UNION ALL ".join(f"SELECT * FROM {{n{i}}}" for i in range(levels))
     out["used"] = "SELECT root_id, count(*) AS total FROM (" + " UNION ALL ".join(
         f"SELECT root_id FROM {{l{i}}}" for i in range(levels)) + ") z GROUP BY root_id"
     return out
@@ -678,12 +675,12 @@ def _(t):
 
 @query("container_summary", """
 SELECT f.root_id, count(*) FILTER (WHERE NOT is_container) AS contained_files, any_value(total) AS total_processed,
-       coalesce(list_reduce(list_concat([0::BIGINT], array_agg(item_id) FILTER (WHERE NOT is_container AND rn <= 50)),
+       coalesce(list_reduce(list_concat([0::BIGINT], array_agg(item_id) FILTER (WHERE NOT is_container)),
                 lambda a, b: a + b), 0) AS leaf_sum
-FROM (SELECT *, row_number() OVER (PARTITION BY root_id, is_container ORDER BY position) AS rn FROM {found}) f
-JOIN {used} u ON f.root_id = u.root_id GROUP BY f.root_id""", expansion_sql())
+FROM {found} f JOIN {used} u ON f.root_id = u.root_id GROUP BY f.root_id""", expansion_sql())
 def _(t):
     expanded = lineage.expand_containers(t("roots"), t("members"))
-    return lineage.container_summary(expanded).select(
-        "root_id", "contained_files", "total_processed",
-        F.aggregate("leaves", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("leaf_sum"))
+    summary = lineage.container_summary(expanded).select("root_id", "contained_files", "total_processed")
+    leaves = lineage.leaves(expanded).groupBy("root_id").agg(F.sum("item_id").alias("_sum"))
+    return summary.join(leaves, "root_id", "left").select(
+        "root_id", "contained_files", "total_processed", F.coalesce("_sum", F.lit(0)).alias("leaf_sum"))

@@ -346,8 +346,7 @@ def _(t):
 def _(t):
     """Train on the training split of labelled documents, score the others."""
     from tracefold.functions.bytes import byte_entropy
-    means = features.byte_chunk_means(t("files")).select("file_id", F.aggregate(
-        F.slice("byte_means", 1, 16), F.lit(0.0), lambda a, v: a + v).alias("byte_sum"))
+    means = features.byte_chunk_means(t("files")).groupBy("file_id").agg(F.sum("mean").alias("byte_sum"))
     facts = t("files").select("file_id", byte_entropy("content").alias("entropy"),
                               F.octet_length("content").cast("double").alias("length"))
     samples = evaluate.stratified_split(t("samples")).join(facts, "file_id").join(means, "file_id")
@@ -389,11 +388,11 @@ def _(t):
 
 
 @query("event_history", """
-SELECT analysis_id, seq, event_type FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY seq)
-    AS rn FROM {analysis_events}) x WHERE rn <= 20""")
+SELECT analysis_id, seq, event_type, row_number() OVER (PARTITION BY analysis_id ORDER BY seq, event_type) - 1 AS place
+FROM {analysis_events}""")
 def _(t):
-    return progress.event_history(t("analysis_events"), 20).select(
-        "analysis_id", "seq", "event_type")
+    return progress.event_history(t("analysis_events")).select(
+        "analysis_id", "seq", "event_type", "place")
 
 
 @query("subscribe", "SELECT seq, event_type FROM {analysis_events} WHERE analysis_id = 'a7'")

@@ -209,7 +209,7 @@ SELECT h.file_id, rich_present, h.timestamp, CASE
          THEN 'Standard C/C++ (MSVC or compatible)'
     WHEN any_value(rust) THEN 'Rust' ELSE 'unknown' END AS compiler
 FROM {headers} h LEFT JOIN {compiler_sections} s ON h.file_id = s.file_id
-LEFT JOIN (SELECT file_id, regexp_matches(left(hex(content), 16384),
+LEFT JOIN (SELECT file_id, regexp_matches(hex(content),
     '^(..)*(727573745F70616E6963|7374643A3A70616E69636B696E67)') AS rust FROM {files}) r
      ON h.file_id = r.file_id
 GROUP BY h.file_id, rich_present, rich_attr, h.timestamp"""
@@ -266,7 +266,7 @@ SELECT o.file_id, n - pe_end > 64 AS has_overlay,
        CASE WHEN n - pe_end > 64 THEN n - pe_end ELSE 0 END AS overlay_size,
        CASE WHEN n - pe_end > 64 THEN pe_end ELSE 0 END AS overlay_offset,
        coalesce(round(entropy, 4), 0) AS overlay_entropy,
-       n - pe_end > 64 AND (tail LIKE '4D5A%' OR regexp_matches(left(tail, 2048), '^(..)*50450000'))
+       n - pe_end > 64 AND (tail LIKE '4D5A%' OR regexp_matches(tail, '^(..)*50450000'))
            AS embedded_pe,
        CASE WHEN n - pe_end <= 64 THEN 'none' WHEN tail LIKE '504B0304%' THEN 'ZIP'
             WHEN tail LIKE '526172211A07%' THEN 'RAR' WHEN tail LIKE '377ABCAF271C%' THEN '7z'
@@ -305,18 +305,18 @@ def _(t):
 
 
 @query("resource_tree", """
-SELECT file_id, seq, res_type, res_name FROM (
-  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS rn FROM {resources}) r
-WHERE rn <= 100""")
+SELECT file_id, seq, res_type, res_name,
+       row_number() OVER (PARTITION BY file_id ORDER BY seq) - 1 AS place FROM {resources}""")
 def _(t):
-    return layout.resource_tree(t("resources")).select("file_id", "seq", "res_type", "res_name")
+    return layout.resource_tree(t("resources")).select(
+        "file_id", "seq", "res_type", "res_name", "place")
 
 
 @query("embedded_resources", """
 SELECT file_id, seq, 'embedded_pe_in_resource' AS type, 'high' AS severity,
        'Embedded PE file found in resource ' || res_type || '/' || res_name || ' (' || size ||
        ' bytes)' AS detail
-FROM {resources} WHERE hex(data) LIKE '4D5A%' OR regexp_matches(left(hex(data), 2048), '^(..)*50450000')""")
+FROM {resources} WHERE hex(data) LIKE '4D5A%' OR regexp_matches(hex(data), '^(..)*50450000')""")
 def _(t):
     return layout.embedded_resources(t("resources"))
 
@@ -505,7 +505,7 @@ EVASION_APIS = {"ev": values("api, list, w", [
     "found": """
 SELECT DISTINCT file_id, list, func AS item, w FROM {imports} JOIN {ev} ON func = api WHERE NOT delayed
 UNION SELECT file_id, 'vm_detection', 'string_marker:' || mark, 15 FROM {files} JOIN {marks}
-      ON regexp_matches(left(hex(content), 131072), '(?i)^(..)*(' || array_to_string(list_transform(
+      ON regexp_matches(hex(content), '(?i)^(..)*(' || array_to_string(list_transform(
          regexp_extract_all(mark, '.'), lambda c: '(' || hex(encode(c)) || '|' ||
          hex(encode(upper(c))) || ')'), '') || ')')
 UNION SELECT DISTINCT file_id, 'timing_checks', 'rdtsc', 15 FROM {instructions} WHERE mnemonic = 'rdtsc'

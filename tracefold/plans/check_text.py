@@ -89,10 +89,10 @@ def _(t):
 
 
 @query("cap_categories", """
-SELECT file_id, category, s FROM (SELECT *, row_number() OVER (
-    PARTITION BY file_id, category ORDER BY s) AS rn FROM {c}) x WHERE rn <= 1""", {"c": CATEGORIZED})
+SELECT file_id, category, s, CAST(row_number() OVER (
+    PARTITION BY file_id, category ORDER BY s) AS INT) AS rank FROM {c}""", {"c": CATEGORIZED})
 def _(t):
-    return text_rules.cap_categories(text_rules.categorize_strings(t("strings")), 1)
+    return text_rules.rank_categories(text_rules.categorize_strings(t("strings")))
 
 
 @query("iocs_from_strings", """
@@ -102,8 +102,7 @@ SELECT file_id, CASE category WHEN 'urls' THEN 'url' ELSE 'ip' END AS ioc_type,
 FROM {c} WHERE category IN ('urls', 'ip_addresses')""", {"c": CATEGORIZED})
 def _(t):
     from tracefold.operators.intel import iocs_from_strings
-    capped = text_rules.cap_categories(text_rules.categorize_strings(t("strings")))
-    return iocs_from_strings(capped)
+    return iocs_from_strings(text_rules.categorize_strings(t("strings")))
 
 
 # --- signatures ------------------------------------------------------------------------
@@ -186,15 +185,17 @@ def _(t):
 
 @query("script_imports", f"""
 SELECT file_id, CAST(unnest(range(len(m))) AS INT) AS pos, unnest(m) AS module
-FROM (SELECT file_id, regexp_extract_all(code, {re2(rules.RE_PY_IMPORT)}, 1) AS m
+FROM (SELECT file_id, list_filter(list_transform(flatten(list_transform(
+        regexp_extract_all(code, {re2(rules.RE_PY_IMPORT)}, 1), lambda names: string_split(names, ','))),
+        lambda one: regexp_extract(one, {re2(rules.RE_PY_MODULE)}, 1)), lambda m: regexp_matches(m, '[^.]')) AS m
       FROM {{scripts}} WHERE lang = 'py') x""")
 def _(t):
     return text_rules.script_imports(t("scripts"))
 
 
 @query("script_literals", f"""
-SELECT file_id, CAST(unnest(range(least(len(m), 500))) AS INT) AS pos,
-       unnest(list_transform(m[1:500], lambda s: s[2:-2])) AS literal
+SELECT file_id, CAST(unnest(range(len(m))) AS INT) AS pos,
+       unnest(list_transform(m, lambda s: s[2:-2])) AS literal
 FROM (SELECT file_id, regexp_extract_all(code, {re2(rules.RE_PY_LITERAL)}) AS m
       FROM {{scripts}} WHERE lang = 'py') x""")
 def _(t):
@@ -331,7 +332,7 @@ FROM (SELECT *, CASE WHEN kind = 'pe' THEN c || chr(10) || r ELSE r END AS txt,
        ELSE ['MALWARE', '75', '85'] END
   ELSE CASE WHEN {_says('r', 'MALWARE')} THEN ['MALWARE', '75', '85']
        WHEN {_says('r', 'BENIGN')} THEN ['BENIGN', '15', '90']
-       WHEN contains(left(r, 1500), 'MALWARE') THEN ['MALWARE', '70', '80']
+       WHEN contains(r, 'MALWARE') THEN ['MALWARE', '70', '80']
        ELSE ['BENIGN', '20', '80'] END END AS v
   FROM (SELECT analysis_id, kind, upper(report_markdown) AS r, upper(comparator_text) AS c
         FROM {{reports}}) a) b""")
@@ -474,12 +475,14 @@ def _(t):
 @query("pooled_name_vector", """
 SELECT text_id, round(sum(m * (i + 1)), 4) AS checksum FROM (SELECT text_id, i, avg(v) AS m FROM (
   SELECT o_orderkey AS text_id, CAST(unnest(range(64)) AS INT) AS i, unnest(embedding) AS v
-  FROM {orders} JOIN {embeddings} ON vec_id IN (o_orderkey % 500, o_custkey % 500)
-  WHERE o_orderkey % 500 <> o_custkey % 500) x GROUP BY text_id, i) y GROUP BY text_id""")
+  FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) c
+  JOIN {embeddings} ON vec_id IN (o_orderkey % n, o_custkey % n)
+  WHERE o_orderkey % n <> o_custkey % n) x GROUP BY text_id, i) y GROUP BY text_id""")
 def _(t):
-    ids = t("orders").where(F.col("o_orderkey") % 500 != F.col("o_custkey") % 500).select(
+    n = t("embeddings").count()
+    ids = t("orders").where(F.col("o_orderkey") % n != F.col("o_custkey") % n).select(
         F.col("o_orderkey").alias("text_id"),
-        F.array((F.col("o_orderkey") % 500).cast("int"), (F.col("o_custkey") % 500).cast("int"))
+        F.array((F.col("o_orderkey") % n).cast("int"), (F.col("o_custkey") % n).cast("int"))
         .alias("token_ids"))
     vectors = t("embeddings").select(F.col("vec_id").cast("int").alias("token_id"),
                                      F.col("embedding").alias("vector"))
@@ -498,14 +501,9 @@ FROM {imports} WHERE func IS NOT NULL"""
 
 
 @query("hash_api_tokens", """
-SELECT k.file_id, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn), '') AS ids,
-       256 - count(id) AS padding
-FROM {file_keys} k LEFT JOIN {a} ON a.file_id = k.file_id GROUP BY k.file_id""", {"a": API_IDS})
-def _(t):
-    out = tokens.hash_api_tokens(t("file_keys"), t("imports"))
-    ids = F.filter("api_tokens", lambda x: x != 0)
-    return out.select("file_id", F.array_join(ids, ",").alias("ids"),
-                      (F.size("api_tokens") - F.size(ids)).cast("bigint").alias("padding"))
+SELECT file_id, rn - 1 AS pos, CAST(id AS INT) AS id FROM {a}""", {"a": API_IDS})
+def _(t):
+    return tokens.hash_api_tokens(t("imports"))
 
 
 # --- flagship -------------------------------------------------------------------------------

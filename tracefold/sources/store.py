@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tracefold import rules
+from tracefold.session import cut
 
 ANALYSIS_SCHEMA = ("id string, file_hash string, file_name string, file_type string, "
                    "verdict string, confidence double, risk_score double, "
@@ -20,17 +21,21 @@ def upsert_analyses(stored: DataFrame, incoming: DataFrame,
     """State after inserting ``incoming`` in order, each replacing clashing rows.
 
     A row is replaced by any later row with its id or its file hash, so it stays
-    exactly when it is the last of both.  Both tests are small aggregates joined
-    back, without gathering the rows of a key.
+    exactly when it is the last of both.  Equal order values are told apart by a
+    written arrival number; rows without a hash clash by id only.  Both tests are
+    small aggregates joined back, without gathering the rows of a key.
     """
     order = order or ["created_at", "id"]
-    rows = stored.withColumn("_late", F.lit(0)).unionByName(
-        incoming.withColumn("_late", F.lit(1))).withColumn(
-        "_at", F.struct("_late", *order))
-    by_id = rows.groupBy("id").agg(F.max("_at").alias("_id_at"))
-    by_hash = rows.groupBy("file_hash").agg(F.max("_at").alias("_hash_at"))
-    return (rows.join(by_id, "id").where(F.col("_at") == F.col("_id_at"))
-            .join(by_hash, "file_hash").where(F.col("_at") == F.col("_hash_at"))
+    rows = cut(stored.withColumn("_late", F.lit(0)).unionByName(
+        incoming.withColumn("_late", F.lit(1)))
+        .withColumn("_n", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_at", F.struct("_late", *order, "_n"))
+    last = lambda key, name: (rows.where(F.col(key).isNotNull()).groupBy(key)
+                              .agg(F.max("_at").alias(name)))
+    return (rows.join(last("id", "_id_at"), "id", "left")
+            .join(last("file_hash", "_hash_at"), "file_hash", "left")
+            .where((F.col("_id_at").isNull() | (F.col("_at") == F.col("_id_at")))
+                   & (F.col("_hash_at").isNull() | (F.col("_at") == F.col("_hash_at"))))
             .select(*stored.columns))
 
 

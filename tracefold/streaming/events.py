@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracefold import rules
 from tracefold.functions.literals import first_match
-from tracefold.operators.ordering import first_rows
+from tracefold.operators.ordering import number_rows
 
 EVENT_SCHEMA = ("analysis_id string, seq bigint, ts timestamp, event_type string, step string, "
                 "agent string, progress double, message string, file_type string, "
@@ -65,26 +65,9 @@ def agent_activity(events: DataFrame) -> DataFrame:
             .groupBy("analysis_id", "agent").agg(F.max_by("_s", "seq").alias("status")))
 
 
-def event_history(events: DataFrame, cap: int = rules.EVENT_HISTORY_CAP) -> DataFrame:
-    """First events of each analysis; later ones are not kept."""
-    return first_rows(events, ["analysis_id"], ["seq"], cap)
-
-
-def stream_event_history(events: DataFrame, cap: int = rules.EVENT_HISTORY_CAP) -> DataFrame:
-    """The same on a stream, in arrival order, with a counter per analysis."""
-    columns = [f.name for f in events.schema.fields]
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame],
-             state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get[0] if state.exists else 0
-        for batch in batches:
-            room = batch.sort_values("seq").head(max(cap - kept, 0))
-            kept += len(room)
-            yield room[columns]
-        state.update((kept,))
-
-    return events.groupBy("analysis_id").applyInPandasWithState(
-        keep, events.schema, "kept long", "append", GroupStateTimeout.NoTimeout)
+def event_history(events: DataFrame) -> DataFrame:
+    """Every event with its place in its analysis."""
+    return number_rows(events, ["seq", "event_type"], ["analysis_id"], "place")
 
 
 def subscribe(events: DataFrame, analysis_id: str | None = None) -> DataFrame:

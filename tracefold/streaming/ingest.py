@@ -13,7 +13,7 @@ from tracefold.sources.files import file_name, wanted
 
 INGEST_SCHEMA = ("sha256 string, path string, name string, size bigint, file_type string, "
                  "category string, route string, entropy double, status string, "
-                 "batch_id bigint")
+                 "stream string, batch_id bigint")
 
 
 def read_upload_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,16 +27,19 @@ def read_upload_stream(spark: SparkSession, folder: str) -> DataFrame:
 def analyse_new(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Identified rows of a batch whose content is not in the store.
 
-    Only hashes meet the store; a file without content is recorded as failed.
+    Only hashes meet the store; a file without content, null or empty, is recorded as
+    failed.  Everything read from the content is found before the hashes are joined, so
+    the content itself stays where it is.
     """
-    hashed = batch.withColumn("sha256", content_hash(F.col("content")))
-    firsts = hashed.groupBy("sha256").agg(F.min("path").alias("path"))
-    new = hashed.join(firsts.join(known.select("sha256").distinct(), "sha256", "left_anti"),
-                      ["sha256", "path"], "left_semi")
-    routed = route(identify(new))
+    routed = (route(identify(batch.withColumn("sha256", content_hash(F.col("content")))))
+              .withColumn("entropy", F.round(byte_entropy("content"), 4)).drop("content"))
+    firsts = (routed.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("path").alias("path"))
+              .join(known.select("sha256").distinct(), "sha256", "left_anti"))
+    routed = routed.join(firsts, ["sha256", "path"], "left_semi").unionByName(
+        routed.where("sha256 IS NULL"))
     return routed.select(
         "sha256", "path", "name", "size", "file_type", "category", "route",
-        F.round(byte_entropy("content"), 4).alias("entropy"),
+        "entropy",
         F.when(F.coalesce("size", F.lit(0)) == 0, "failed").otherwise("completed")
         .alias("status"))
 
@@ -45,14 +48,17 @@ def ingest_stream(uploads: DataFrame, store: str, checkpoint: str,
                   available_now: bool = True) -> StreamingQuery:
     """Store every new upload once.
 
-    Each micro-batch owns the folder of its batch id and overwrites it, so a
-    repeated batch writes the same rows again instead of doubling them.
+    Each micro-batch owns the folder of its stream and batch id and overwrites it, so
+    a repeated batch writes the same rows again instead of doubling them.  The stream is
+    known by the id that Spark keeps in the checkpoint: a new checkpoint never writes
+    into the folders of an earlier one.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = read_store(spark, store).where(F.col("batch_id") < batch_id)
-        rows = analyse_new(batch, known)
-        rows.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        stream = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        again = (F.col("stream") == stream) & (F.col("batch_id") >= batch_id)
+        rows = analyse_new(batch, read_store(spark, store).where(~again))
+        rows.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch_id={batch_id}")
 
     writer = uploads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
