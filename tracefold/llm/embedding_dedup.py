@@ -70,7 +70,9 @@ def classes(vectors: DataFrame) -> DataFrame:
     def pack(batches):
         for batch in batches:
             rows = [np.asarray(v, np.float64) + 0.0 for v in batch.column("embedding").to_pylist()]
-            raw = [r.tobytes() for r in rows]
+            with np.errstate(over="ignore"):
+                raw = [(f if (f := r.astype(np.float32)).astype(np.float64).tobytes() == r.tobytes() else r).tobytes()
+                       for r in rows]  # four bytes where they hold the value exactly
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array([len(r) for r in rows], pa.int32()),
                  pa.array([xxhash.xxh3_128_digest(b) for b in raw], pa.binary()), pa.array(raw, pa.binary())],
@@ -81,32 +83,37 @@ def classes(vectors: DataFrame) -> DataFrame:
             .where(valid).mapInArrow(pack, "vec_id long, dim int, key binary, vec binary"))
 
 
-def entry_rows(bits: int, tables: int):
-    """One row per vector and table: entry, block and what the pair step needs."""
+def unit(raw: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64) for r in raw], np.float64)
+    x = x.reshape(len(raw), dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def code_rows(bits: int, tables: int):
+    """(dim, node, n, vec, codes): the sides of every table as one block of numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             raw = batch.column("vec").to_pylist()
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(len(rows), dim)
-                scale = np.abs(x).max(axis=1, keepdims=True)
-                x = x / scale
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                side = (x @ directions(dim, bits * tables, 1) > 0).reshape(len(rows), tables, bits)
-                codes = (side << np.arange(bits)).sum(axis=2).astype(np.int64)
-                unit = [v.tobytes() for v in x]
-                packed = [c.astype(np.int32).tobytes() for c in codes]
-                node, n = batch.column("node").to_numpy()[rows], batch.column("n").to_numpy()[rows]
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((np.int64(dim) << 48) + (np.int64(t) << 32) + codes[:, t], pa.int64()),
-                         pa.array(np.full(len(rows), t, np.int32)), pa.array(node, pa.int64()),
-                         pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(unit, pa.binary())],
-                        names=["entry", "t", "node", "n", "codes", "vec"])
+                side = (unit([raw[i] for i in rows], dim) @ directions(dim, bits * tables, 1) > 0)
+                codes = (side.reshape(len(rows), tables, bits) << np.arange(bits)).sum(axis=2)
+                part = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("dim", "node", "n", "vec")),
+                     pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32()))],
+                    names=["dim", "node", "n", "vec", "codes"])
     return run
 
 
+def entry(t):
+    """Key of a table entry: vectors of one length that lie on the same sides."""
+    return F.shiftleft(F.col("dim").cast("long"), 48) + F.shiftleft(t.cast("long"), 32) + F.col("code").cast("long")
+
+
 class Found:
     """Link sums and local components of one entry (or of two of its blocks)."""
 
@@ -173,11 +180,11 @@ def pairs_of(window: float, need: int, cosine: float):
             size = rows.num_rows
             if size > 1:
                 column = lambda c: rows.column(c).combine_chunks()
-                raw = lambda c, kind: np.frombuffer(
-                    b"".join(column(c).to_pylist()), kind).reshape(size, -1)
+                codes = np.array(column("codes").to_pylist(), np.int32).reshape(size, -1)
                 out = solve(int(rows.column("t")[0].as_py()), rows.column("node").to_numpy(),
-                            rows.column("n").to_numpy(), raw("codes", np.int32),
-                            raw("vec", np.float64), rows.column("side").to_numpy())
+                            rows.column("n").to_numpy(), codes,
+                            unit(column("vec").to_pylist(), int(rows.column("dim")[0].as_py())),
+                            rows.column("side").to_numpy())
                 if out is not None:
                     yield out
 
@@ -210,22 +217,27 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float =
     count = groups.count()
     bits, tables = plan(count, cosine, recall)
     window, need = needed_count(cosine, recall)
-    rows = groups.select("dim", "node", "n", "vec").mapInArrow(
-        entry_rows(bits, tables), "entry long, t int, node long, n long, codes binary, vec binary")
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(1 << 20)))
-    sizes = (groups.select("dim", "node", "n", "vec")
-             .mapInArrow(entry_rows(bits, tables), "entry long, t int, node long, n long, codes binary, vec binary")
-             .groupBy("entry").count().where(F.col("count") > BLOCK)
+    coded = cut(groups.select("dim", "node", "n", "vec").mapInArrow(
+        code_rows(bits, tables), "dim int, node long, n long, vec binary, codes array<int>"))
+    # Only keys are counted; the entries that need blocks go back to their vectors by table.
+    narrow = coded.select("dim", "node", F.posexplode("codes").alias("t", "code")).select(
+        "node", "t", entry(F.col("t")).alias("entry"))
+    large = (narrow.groupBy("entry").count().where(F.col("count") > BLOCK)
              .select("entry", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    sized = keyed.join(sizes.hint("shuffle_hash"), "entry", "left").withColumn(
-        "block", F.when(F.col("blocks").isNotNull(), F.pmod("block", "blocks")).otherwise(0).cast("int"))
+    split = narrow.join(large.hint("shuffle_hash"), "entry").groupBy("node").agg(
+        F.map_from_entries(F.collect_list(F.struct("t", "blocks"))).alias("split"))  # one per table at most
+    sized = (coded.join(split.hint("shuffle_hash"), "node", "left")
+             .select("dim", "node", "n", "vec", "codes", "split", F.posexplode("codes").alias("t", "code"))
+             .withColumn("blocks", F.try_element_at("split", F.col("t"))).withColumn("entry", entry(F.col("t")))
+             .withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), "blocks"))
+                         .otherwise(0).cast("int")))
     # A block meets itself (side 0) and, in an entry of several, each other block once.
     others = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.struct(
             F.least("block", o).alias("one"), F.greatest("block", o).alias("two"),
             F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side"))))
     met = (sized.withColumn("m", F.explode(others))
-           .select("entry", "t", "node", "n", "codes", "vec", "m.one", "m.two", "m.side")
+           .select("entry", "dim", "t", "node", "n", "codes", "vec", "m.one", "m.two", "m.side")
            .repartition("entry", "one", "two").sortWithinPartitions("entry", "one", "two"))
     partial = cut(met.mapInArrow(pairs_of(window, need, cosine), "node long, links long, root long"))
     sums = partial.groupBy("node").agg(F.sum("links").alias("links"))
