@@ -8,10 +8,12 @@ documents, so it means the same at every size.
 
 ICWS draws ``BANDS * ROWS`` samples per document; two documents agree on one with the
 probability of their weighted Jaccard similarity.  Documents that share a band are compared
-with one leader of the band by their exact weighted Jaccard.  Its complement is a metric, so
-two members whose distances to the leader differ by more than the limit cannot be linked;
-members that ended in different components and pass this test are compared as well.  No link
-between documents that share a band is lost, and no group is paired with itself.
+by their exact weighted Jaccard with a few leaders of the band; in each round those that are
+not in one component yet meet new leaders, so a group of any size costs a few comparisons
+per member.  When rounds stop joining members, what is left is compared with the whole band,
+except where the metric excludes a link (1 - similarity is one: two members whose distances
+to a leader differ by more than the limit are too far apart).  No link between documents
+that share a band is lost, and no group is paired with itself.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tracefold.llm.components import components
 from tracefold.llm.textcore import U64, column_bytes, grams, lists, mix, pieces, row_of, words
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Leaders that a member of a band meets in one round.
+LEADERS = 4
 BANDS, ROWS = 16, 4
 CELLS, RARE, IDF = 20, 1e-3, 0.25
 CELL_BLOCK = 1 << 12
@@ -52,8 +56,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray):
     h, r = grown[inside], row[:len(grown)][inside]
     at = bounds[:-1]
     place = (np.arange(len(hashes)) - at[row]).astype(np.uint64)
-    total = np.concatenate([[0], np.cumsum(mix(hashes + place * U64(0x9E3779B97F4A7C15)))]).astype(np.uint64)
-    other = np.concatenate([[0], np.cumsum(mix(hashes ^ mix(place + U64(77))))]).astype(np.uint64)
+    total, other = np.zeros((2, len(hashes) + 1), np.uint64)
+    np.cumsum(mix(hashes + place * U64(0x9E3779B97F4A7C15)), out=total[1:])
+    np.cumsum(mix(hashes ^ mix(place + U64(77))), out=other[1:])
     digest = (mix(total[bounds[1:]] - total[at] + count.astype(np.uint64)), mix(other[bounds[1:]] - other[at]))
     short = np.flatnonzero((count > 0) & (count < SHINGLE))
     h, r = np.concatenate([h, digest[0][short]]), np.concatenate([r, short])
@@ -193,6 +198,18 @@ def compared(pairs: DataFrame, texts: DataFrame, idf: bytes) -> DataFrame:
                .mapInArrow(similarity(idf), "a long, b long, similarity double"))
 
 
+def smallest(members: DataFrame, turn: int) -> DataFrame:
+    """(band, leader): LEADERS members of each band, others in every round.
+
+    The smallest of LEADERS hash classes, one aggregate that combines before the shuffle.
+    """
+    order = F.xxhash64(F.lit(turn), F.col("node"))
+    pick = [F.min_by("node", F.when(F.pmod(order, F.lit(LEADERS)) == k, order)).alias(f"l{k}") for k in range(LEADERS)]
+    return (members.groupBy("band").agg(*pick)
+            .select("band", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("leader"))
+            .where("leader IS NOT NULL"))
+
+
 def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(id, tag, group): documents with shingles and a number of their group."""
     text = keyed(docs)
@@ -202,33 +219,51 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         F.min(F.struct("id", "tag")).alias("of"), F.first("bands").alias("bands"))
         .select("node", "of.id", "of.tag", "bands"))
     entries = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = entries.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    in_band = cut(entries.join(leaders.select("band", "leader"), "band").select("band", "node", "leader"))
-    first = cut(in_band.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    involved = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    shared = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    in_band = cut(entries.join(shared, "band"))
+    involved = in_band.select("node").distinct()
     texts = cut(text.join(nodes.join(involved, "node").select("id", "tag", "node").hint("shuffle_hash"), ["id", "tag"])
                 .select("node", "text").dropDuplicates(["node"]))
-    with_leader = compared(first, texts, idf)
-    links = with_leader.where(F.col("similarity") >= threshold).select("a", "b")
-    roots = components(links)
-
-    # Members of a band that are not in one component yet, and that the metric lets be close.
-    reached = (in_band.join(with_leader.select(F.col("a").alias("node"), F.col("b").alias("leader"),
-                                               (1 - F.col("similarity")).alias("far")), ["node", "leader"], "left")
-               .join(roots, "node", "left")
-               .select("band", "node", F.coalesce("far", F.lit(0.0)).alias("far"),
-                       F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("leader")).alias("leads")))
-    split = reached.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_bands = cut(reached.join(split, "band").where("NOT leads"))
-    limit = 1 - threshold
-    apart = open_bands.where(F.col("far") > limit)  # not linked to the leader; the others are, with it
-    x = apart.select("band", F.col("node").alias("a"), F.col("far").alias("fa"), F.col("root").alias("ra"))
-    y = open_bands.select("band", F.col("node").alias("b"), F.col("far").alias("fb"), F.col("root").alias("rb"))
-    second = (x.join(y, "band").where((F.col("ra") != F.col("rb")) & (F.abs(F.col("fa") - F.col("fb")) <= limit + 1e-9)
-                                      & ((F.col("fb") <= limit) | (F.col("a") < F.col("b"))))
-              .select("a", "b").distinct())
-    more = compared(cut(second), texts, idf).where(F.col("similarity") >= threshold).select("a", "b")
-    roots = components(links.unionByName(more))
+    scores, roots, open_rows, turn = None, None, in_band, 0
+    before = None
+    while True:
+        turn += 1
+        leaders = (in_band.join(open_rows.select("band").distinct(), "band") if turn > 1 else in_band)
+        leaders = smallest(leaders, turn)
+        pairs = (open_rows.join(leaders, "band").where("node <> leader").select(
+            F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
+        if roots is not None:
+            pairs = (pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+                     .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+                     .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+                     .join(scores, ["a", "b"], "left_anti"))
+        found = compared(cut(pairs), texts, idf)
+        scores = found if scores is None else cut(scores.unionByName(found))
+        roots = components(scores.where(F.col("similarity") >= threshold).select("a", "b"))
+        placed = in_band.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        main = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(
+            F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        open_rows = cut(placed.join(main, "band").where(F.col("root") != F.col("main")).select("band", "node", "root"))
+        left = open_rows.count()
+        if not left or (before is not None and left > 0.7 * before):
+            break
+        before = left
+    if left:
+        members = placed.join(open_rows.select("band").distinct(), "band")
+        limit = 1 - threshold
+        x = open_rows.select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
+        y = members.select("band", F.col("node").alias("y"), F.col("root").alias("ry"))
+        pairs = (x.join(y, "band").where("rx <> ry")
+                 .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+                 .join(scores, ["a", "b"], "left_anti"))
+        # A leader that both were compared with can exclude the pair.
+        far = scores.select(F.col("a").alias("m"), F.col("b").alias("p"), (1 - F.col("similarity")).alias("d")).unionByName(
+            scores.select(F.col("b").alias("m"), F.col("a").alias("p"), (1 - F.col("similarity")).alias("d")))
+        apart = (pairs.join(far.select(F.col("m").alias("a"), "p", F.col("d").alias("da")), "a")
+                 .join(far.select(F.col("m").alias("b"), "p", F.col("d").alias("db")), ["b", "p"])
+                 .where(F.abs(F.col("da") - F.col("db")) > limit + 1e-9).select("a", "b").distinct())
+        found = compared(cut(pairs.join(apart, ["a", "b"], "left_anti")), texts, idf)
+        roots = components(scores.unionByName(found).where(F.col("similarity") >= threshold).select("a", "b"))
     return (signed_docs.where(F.size("bands") > 0).select("id", "tag", "node")
             .join(roots, "node", "left").select("id", "tag", F.coalesce("root", "node").alias("group")))
 
