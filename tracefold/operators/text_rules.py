@@ -69,6 +69,13 @@ def string_categories(s: Column, low: Column) -> Column:
     return present([F.when(test, F.lit(name)) for name, test in tests])
 
 
+def string_facts(content: Column) -> Column:
+    """Categories of the distinct trimmed strings of one content, one entry per string and category."""
+    runs = F.array_distinct(F.transform(F.concat(*string_runs(content)), trimmed))
+    return F.flatten(F.transform(F.filter(runs, lambda s: s != ""),
+                                 lambda s: string_categories(s, F.lower(s))))
+
+
 def trimmed(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
@@ -95,12 +102,11 @@ def rank_categories(categorized: DataFrame) -> DataFrame:
 
 # --- signatures ---------------------------------------------------------------------
 
-def scan_signatures(files: DataFrame) -> DataFrame:
-    """Families whose byte patterns occur in the content; first pattern reported."""
+def signature_hits(content: Column) -> Column:
+    """Families whose byte patterns occur in the content, as an array of structs."""
     families: dict[str, list[str]] = {}
     for family, pattern in rules.BYTE_SIGNATURES:
         families.setdefault(family, []).append(pattern)
-    content = F.col("content")
 
     def shown(pattern: str) -> str:
         data = bytes.fromhex(pattern)
@@ -116,7 +122,12 @@ def scan_signatures(files: DataFrame) -> DataFrame:
         entries.append(F.when(first.isNotNull(), F.struct(
             F.lit(family).alias("name"), first.alias("pattern_matched"),
             F.lit(kind).alias("kind"))))
-    return (files.select("file_id", F.explode(present(entries)).alias("_s"))
+    return present(entries)
+
+
+def scan_signatures(files: DataFrame) -> DataFrame:
+    """Families whose byte patterns occur in the content; first pattern reported."""
+    return (files.select("file_id", F.explode(signature_hits(F.col("content"))).alias("_s"))
             .select("file_id", "_s.*"))
 
 

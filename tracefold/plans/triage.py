@@ -13,15 +13,16 @@ COUNTED = ["urls", "ip_addresses", "emails", "commands", "ransomware_indicators"
 def triage(files: DataFrame) -> DataFrame:
     """One row per file: route, entropy, category counts and signature hits.
 
-    Content is read by narrow steps only; what is shuffled are categorised
-    strings and one row per file.
+    All of it lies inside one file, so the plan is one scan and one projection:
+    nothing is shuffled and content is read once.
     """
-    facts = identity.route(identity.identify(files)).select("file_id", "route", "file_type")
-    entropy = layout.file_entropy(files).select("file_id", "file_entropy", "entropy_class")
-    strings = text_rules.categorize_strings(text_rules.extract_strings(files))
-    counts = strings.groupBy("file_id").agg(*[
-        F.count_if(F.col("category") == c).alias(c) for c in COUNTED])
-    hits = text_rules.scan_signatures(files).groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("signatures"))
-    return (facts.join(entropy, "file_id").join(counts, "file_id", "left")
-            .join(hits, "file_id", "left").fillna(0, COUNTED + ["signatures"]))
+    content = F.col("content")
+    read = layout.file_entropy(
+        identity.route(identity.identify(files)).withColumns({
+            "_facts": text_rules.string_facts(content),
+            "signatures": F.coalesce(F.size(text_rules.signature_hits(content)).cast("bigint"), F.lit(0))}))
+    number = lambda name: F.coalesce(
+        F.size(F.filter("_facts", lambda x: x == name)).cast("bigint"), F.lit(0))
+    counts = [number(name).alias(name) for name in COUNTED]
+    return read.select("file_id", "route", "file_type", "file_entropy", "entropy_class",
+                       *counts, "signatures")
