@@ -189,11 +189,9 @@ def cfg_findings(instructions: DataFrame) -> DataFrame:
     jumps = F.col("indirect_jumps").cast("string")
     return explode_findings(cfg_metrics(instructions), ["file_id"], [
         finding(F.col("high_indirect_jumps"), "high_indirect_jumps", "medium",
-                F.concat(F.lit("High number of indirect jumps ("), jumps,
-                         F.lit(") — indicator of control flow flattening or VM protection"))),
+                F.concat(F.lit("indirect jumps: "), jumps)),
         finding(F.col("stripped_prologues"), "stripped_prologues", "medium",
-                F.lit("Large code block with no standard function prologues detected — likely "
-                      "obfuscated, hand-crafted assembly or shellcode"))])
+                F.lit("many blocks without a known function start"))])
 
 
 def evasion_score(files: DataFrame, imports: DataFrame,

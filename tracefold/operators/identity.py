@@ -61,12 +61,13 @@ def refine_pe(files: DataFrame, headers: DataFrame) -> DataFrame:
         [(is_dll, F.lit("dll")), (F.col("subsystem") == 1, F.lit("sys")),
          (F.col("ext_type").isin(rules.PE_HINT_TYPES), F.col("ext_type"))],
         F.lit("exe"))
+    # Tested before the join: content that nobody reads later is not shuffled.
     starts = F.startswith(F.col("content"), raw("4D5A"))
-    return (files.join(facts, "file_id", "left")
-            .withColumn("file_type", F.when((F.col("file_type") == "exe") & starts, refined)
+    return (files.withColumn("_starts", starts).join(facts, "file_id", "left")
+            .withColumn("file_type", F.when((F.col("file_type") == "exe") & F.col("_starts"), refined)
                         .otherwise(F.col("file_type")))
             .withColumn("category", category_of(F.col("file_type")))
-            .drop("characteristics", "subsystem"))
+            .drop("characteristics", "subsystem", "_starts"))
 
 
 def refine_zip(files: DataFrame, members: DataFrame) -> DataFrame:
@@ -111,11 +112,11 @@ def refine_ole(files: DataFrame, streams: DataFrame) -> DataFrame:
          (hint.isin(rules.OLE_HINT_TYPES), hint)],
         F.lit("doc"))
     starts = F.startswith(F.col("content"), raw("D0CF11E0"))
-    return (files.join(facts, "file_id", "left")
-            .withColumn("file_type", F.when((F.col("file_type") == "doc") & starts, refined)
+    return (files.withColumn("_starts", starts).join(facts, "file_id", "left")
+            .withColumn("file_type", F.when((F.col("file_type") == "doc") & F.col("_starts"), refined)
                         .otherwise(F.col("file_type")))
             .withColumn("category", category_of(F.col("file_type")))
-            .drop("_msi", "_doc", "_xls", "_ppt"))
+            .drop("_msi", "_doc", "_xls", "_ppt", "_starts"))
 
 
 def is_container(category: Column) -> Column:

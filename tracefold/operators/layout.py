@@ -71,16 +71,16 @@ def header_anomalies(headers: DataFrame, now: Column) -> DataFrame:
         finding(ts > now, "future_timestamp", "high",
                 text("TimeDateStamp ", iso_time(ts), " is in the future")),
         finding(ts == 0, "zero_timestamp", "medium",
-                F.lit("TimeDateStamp is zero — likely tampered or generated")),
+                F.lit("link time is empty")),
         finding(stored == 0, "missing_checksum", "medium",
-                F.lit("PE Checksum is zero — common in unsigned binaries")),
+                F.lit("no checksum stored")),
         finding((stored != 0) & (computed != stored), "checksum_mismatch", "high",
                 text("Stored checksum ", hex_address(stored), " != computed ",
                      hex_address(computed))),
         finding(~has_bit(chars, rules.SECURITY_BITS["aslr"]), "aslr_disabled", "medium",
-                F.lit("ASLR (DYNAMIC_BASE) is not enabled")),
+                F.lit("no address randomisation")),
         finding(~has_bit(chars, rules.SECURITY_BITS["dep"]), "dep_disabled", "medium",
-                F.lit("DEP / NX is not enabled"))])
+                F.lit("data pages may execute"))])
 
 
 def entry_point_outside(headers: DataFrame, sections: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def entry_point_outside(headers: DataFrame, sections: DataFrame) -> DataFrame:
             .select("file_id", F.lit("suspicious_entry_point").alias("type"),
                     F.lit("high").alias("severity"),
                     F.concat(F.lit("Entry point "), hex_address(ep),
-                             F.lit(" is outside all section boundaries")).alias("detail")))
+                             F.lit(" lies in no section")).alias("detail")))
 
 
 # --- entropy and packing ----------------------------------------------------------
@@ -147,10 +147,10 @@ def section_red_flags(sections: DataFrame) -> DataFrame:
     both = (size > 0) & (virt > 0)
     entries = [
         finding(F.col("rwx"), "rwx_section", "high",
-                F.concat(quoted, F.lit(" has Read+Write+Execute permissions"))),
+                F.concat(quoted, F.lit(" can be read, written and executed"))),
         finding(entropy > rules.HIGH_SECTION_ENTROPY, "high_entropy", "high",
                 F.concat(quoted, F.lit(" entropy "), F.format_string("%.4f", entropy),
-                         F.lit(" exceeds 7.2 — likely packed/encrypted"))),
+                         F.lit(" is above 7.2"))),
         finding(both & (ratio > rules.SIZE_RATIO_LIMIT), "size_mismatch", "medium",
                 F.concat(quoted, F.lit(" virtual/raw size ratio "),
                          one_decimal(ratio), F.lit("x (virt="),
@@ -160,7 +160,7 @@ def section_red_flags(sections: DataFrame) -> DataFrame:
                 F.concat(quoted, F.lit(" has zero raw size but large virtual size ("),
                          virt.cast("string"), F.lit(")"))),
         finding((name != "") & ~name.isin(rules.KNOWN_SECTIONS), "unusual_section_name", "low",
-                F.concat(F.lit("Non-standard section name '"), name, F.lit("'"))),
+                F.concat(F.lit("unknown section name '"), name, F.lit("'"))),
     ]
     return explode_findings(section_flags(sections), ["file_id", "seq", "name"], entries)
 
@@ -272,13 +272,11 @@ def linker_anomalies(headers: DataFrame, compilers: DataFrame,
     rich, packer = F.col("rich_present"), F.col("packer")
     return explode_findings(base, ["file_id"], [
         finding(~packer.isin("none", "UPX") & ~rich, "packed_binary", "medium",
-                F.concat(F.lit("File is packed using "), packer)),
+                F.concat(F.lit("packer found: "), packer)),
         finding((F.col("compiler") == rules.COMPILER_MSVC) & ~rich, "missing_rich_header",
-                "low", F.lit("MSVC compiler indicators present but Rich Header is missing "
-                             "or stripped")),
+                "low", F.lit("compiled by MSVC without a rich header")),
         finding(F.col("timestamp") < rules.YEAR_2000_EPOCH, "pre_2000_timestamp", "medium",
-                F.lit("Linker timestamp is extremely old (pre-2000), common in "
-                      "evasion/spoofing"))])
+                F.lit("link time before 2000"))])
 
 
 # --- overlay, memory, resources -----------------------------------------------------
@@ -354,7 +352,7 @@ def embedded_resources(resources: DataFrame) -> DataFrame:
     return (resources.where(is_embedded_pe(F.col("data")))
             .select("file_id", "seq", F.lit("embedded_pe_in_resource").alias("type"),
                     F.lit("high").alias("severity"),
-                    F.concat(F.lit("Embedded PE file found in resource "), "res_type",
+                    F.concat(F.lit("executable inside resource "), "res_type",
                              F.lit("/"), "res_name", F.lit(" ("),
                              F.col("size").cast("string"), F.lit(" bytes)")).alias("detail")))
 
@@ -370,8 +368,8 @@ def version_spoofing(version_info: DataFrame) -> DataFrame:
     entries = [
         finding(F.contains(company, F.lit(typo)) & (company != right),
                 "company_name_spoofing", "high",
-                F.concat(F.lit("Suspicious CompanyName '"), shown("company"),
-                         F.lit(f"' resembles '{right}'")))
+                F.concat(F.lit("company '"), shown("company"),
+                         F.lit(f"' looks like '{right}'")))
         for right, typos in rules.COMPANY_LOOKALIKES for typo in typos]
     entries.append(finding(
         F.contains(company, F.lit("microsoft")) & (product != "")

@@ -71,15 +71,15 @@ UNION ALL SELECT file_id, 'future_timestamp', 'high', 'TimeDateStamp ' ||
        strftime(make_timestamp(CAST(timestamp AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S')
        || '+00:00 is in the future' FROM {{headers}} WHERE timestamp > {NOW}
 UNION ALL SELECT file_id, 'zero_timestamp', 'medium',
-       'TimeDateStamp is zero — likely tampered or generated' FROM {{headers}} WHERE timestamp = 0
+       'link time is empty' FROM {{headers}} WHERE timestamp = 0
 UNION ALL SELECT file_id, 'missing_checksum', 'medium',
-       'PE Checksum is zero — common in unsigned binaries' FROM {{headers}} WHERE checksum = 0
+       'no checksum stored' FROM {{headers}} WHERE checksum = 0
 UNION ALL SELECT file_id, 'checksum_mismatch', 'high', 'Stored checksum 0x' || lower(hex(checksum))
        || ' != computed 0x' || lower(hex(checksum_computed)) FROM {{headers}}
        WHERE checksum <> 0 AND checksum <> checksum_computed
-UNION ALL SELECT file_id, 'aslr_disabled', 'medium', 'ASLR (DYNAMIC_BASE) is not enabled'
+UNION ALL SELECT file_id, 'aslr_disabled', 'medium', 'no address randomisation'
        FROM {{headers}} WHERE dll_chars & 64 = 0
-UNION ALL SELECT file_id, 'dep_disabled', 'medium', 'DEP / NX is not enabled'
+UNION ALL SELECT file_id, 'dep_disabled', 'medium', 'data pages may execute'
        FROM {{headers}} WHERE dll_chars & 256 = 0""")
 def _(t):
     return layout.header_anomalies(t("headers"), F.lit(NOW))
@@ -87,7 +87,7 @@ def _(t):
 
 @query("entry_point_outside", """
 SELECT file_id, 'suspicious_entry_point' AS type, 'high' AS severity, 'Entry point 0x' ||
-       lower(hex(ep_rva)) || ' is outside all section boundaries' AS detail
+       lower(hex(ep_rva)) || ' lies in no section' AS detail
 FROM {headers} h WHERE ep_rva <> 0 AND NOT EXISTS (
   SELECT 1 FROM {sections} s WHERE s.file_id = h.file_id AND ep_rva >= va
   AND ep_rva < va + greatest(virtual_size, raw_size))""")
@@ -127,10 +127,10 @@ def _(t):
 
 @query("section_red_flags", f"""
 SELECT file_id, seq, name, 'rwx_section' AS type, 'high' AS severity,
-       'Section ''' || name || ''' has Read+Write+Execute permissions' AS detail
+       'Section ''' || name || ''' can be read, written and executed' AS detail
 FROM {{sections}} WHERE flags & 3758096384 = 3758096384
 UNION ALL SELECT file_id, seq, name, 'high_entropy', 'high', 'Section ''' || name || ''' entropy ' ||
-       printf('%.4f', entropy) || ' exceeds 7.2 — likely packed/encrypted'
+       printf('%.4f', entropy) || ' is above 7.2'
 FROM {{sections}} WHERE entropy > 7.2
 UNION ALL SELECT file_id, seq, name, 'size_mismatch', 'medium', 'Section ''' || name ||
        ''' virtual/raw size ratio ' || printf('%.1f', greatest(virtual_size, raw_size) /
@@ -141,7 +141,7 @@ UNION ALL SELECT file_id, seq, name, 'size_mismatch', 'medium', 'Section ''' ||
        ''' has zero raw size but large virtual size (' || virtual_size || ')'
 FROM {{sections}} WHERE raw_size = 0 AND virtual_size > 4096
 UNION ALL SELECT file_id, seq, name, 'unusual_section_name', 'low',
-       'Non-standard section name ''' || name || ''''
+       'unknown section name ''' || name || ''''
 FROM {{sections}} WHERE name <> '' AND name NOT IN ({sql_list(rules.KNOWN_SECTIONS)})""")
 def _(t):
     return layout.section_red_flags(t("sections"))
@@ -228,13 +228,13 @@ def _(t):
 
 @query("linker_anomalies", f"""
 SELECT c.file_id, 'packed_binary' AS type, 'medium' AS severity,
-       'File is packed using ' || packer AS detail
+       'packer found: ' || packer AS detail
 FROM {{c}} JOIN {{p}} ON c.file_id = p.file_id WHERE packer NOT IN ('none', 'UPX') AND NOT rich_present
 UNION ALL SELECT file_id, 'missing_rich_header', 'low',
-       'MSVC compiler indicators present but Rich Header is missing or stripped'
+       'compiled by MSVC without a rich header'
 FROM {{c}} WHERE compiler = 'Microsoft Visual C++ (MSVC)' AND NOT rich_present
 UNION ALL SELECT file_id, 'pre_2000_timestamp', 'medium',
-       'Linker timestamp is extremely old (pre-2000), common in evasion/spoofing'
+       'link time before 2000'
 FROM {{c}} WHERE timestamp < 946684800""", {"c": COMPILERS, "p": f"""
 SELECT file_id, CASE {' '.join(
     f"WHEN bool_or({any_contains('lower(name)', parts)}) THEN {literal(p)}"
@@ -314,7 +314,7 @@ def _(t):
 
 @query("embedded_resources", """
 SELECT file_id, seq, 'embedded_pe_in_resource' AS type, 'high' AS severity,
-       'Embedded PE file found in resource ' || res_type || '/' || res_name || ' (' || size ||
+       'executable inside resource ' || res_type || '/' || res_name || ' (' || size ||
        ' bytes)' AS detail
 FROM {resources} WHERE hex(data) LIKE '4D5A%' OR regexp_matches(hex(data), '^(..)*50450000')""")
 def _(t):
@@ -331,7 +331,7 @@ FROM {version_info} GROUP BY file_id"""
 
 @query("version_spoofing", """
 SELECT file_id, 'company_name_spoofing' AS type, 'high' AS severity,
-       'Suspicious CompanyName ''' || company || ''' resembles ''' || goal || '''' AS detail
+       'company ''' || company || ''' looks like ''' || goal || '''' AS detail
 FROM {w} JOIN {lookalikes} ON contains(c, typo) AND c <> goal
 UNION ALL SELECT file_id, 'suspicious_metadata_alignment', 'medium',
        'Company is ''' || company || ''' but product is ''' || product || ''''
@@ -564,11 +564,11 @@ def _(t):
 
 @query("cfg_findings", """
 SELECT file_id, 'high_indirect_jumps' AS type, 'medium' AS severity,
-       'High number of indirect jumps (' || n || ') — indicator of control flow flattening or VM protection'
+       'indirect jumps: ' || n
        AS detail
 FROM (SELECT file_id, count(*) AS n FROM {instructions}
       WHERE mnemonic = 'jmp' AND op_str NOT LIKE '0x%' GROUP BY file_id) x WHERE n > 25
-UNION ALL SELECT file_id, 'stripped_prologues', 'medium', 'Large code block with no standard function prologues detected — likely obfuscated, hand-crafted assembly or shellcode'
+UNION ALL SELECT file_id, 'stripped_prologues', 'medium', 'many blocks without a known function start'
 FROM (SELECT file_id FROM {instructions} GROUP BY file_id HAVING
       count(*) FILTER (WHERE mnemonic LIKE 'j%' OR mnemonic IN ('call', 'ret')) > 50 AND
       count(*) FILTER (WHERE mnemonic = 'push' AND op_str = 'ebp' OR mnemonic = 'sub'
