@@ -75,16 +75,19 @@ _NEWLINE = "chr(10)"
 
 VIEWS: dict[str, str] = {
     # --- files and content ------------------------------------------------------
+    # Every document, and an empty file beside each 97th of them.
     "files": f"""
-SELECT file_id, concat('/corpus/', folder, '/', name) AS path, name, content,
-       CASE WHEN file_id % 97 = 5 THEN 0 ELSE n END AS size
-FROM (SELECT doc_id AS file_id, n_chars AS n,
-             {choose('doc_id % 4', _q('malware', 'Malicious_set', 'benigns', 'misc'))} AS folder,
-             concat(CASE WHEN doc_id % 41 = 7 THEN '.' ELSE '' END, 'd',
-                    CAST(doc_id AS STRING), {choose('doc_id % 13', _q(*_EXTENSIONS))}) AS name,
-             CASE WHEN doc_id % 97 = 5 THEN unhex('')
-                  ELSE unhex({choose('doc_id % 17', _q(*_PREFIXES))}) || UTF8(text) END AS content
-      FROM {{documents}}) AS d""",
+SELECT file_id, concat('/corpus/', folder, '/', name) AS path, name, content, n AS size
+FROM (SELECT file_id, n,
+             {choose('file_id % 4', _q('malware', 'Malicious_set', 'benigns', 'misc'))} AS folder,
+             concat(CASE WHEN file_id % 41 = 7 THEN '.' ELSE '' END, 'd',
+                    CAST(file_id AS STRING), {choose('file_id % 13', _q(*_EXTENSIONS))}) AS name,
+             CASE WHEN blank THEN unhex('')
+                  ELSE unhex({choose('file_id % 17', _q(*_PREFIXES))}) || UTF8(text) END AS content
+      FROM (SELECT doc_id AS file_id, n_chars AS n, text, FALSE AS blank FROM {{documents}}
+            UNION ALL
+            SELECT doc_id + 1000000000 AS file_id, CAST(0 AS BIGINT) AS n, text, TRUE AS blank
+            FROM {{documents}} WHERE doc_id % 97 = 5) AS b) AS d""",
     "strings": f"""
 SELECT doc_id AS file_id, CAST(0 AS BIGINT) AS pos, text AS s FROM {{documents}}
 UNION ALL
