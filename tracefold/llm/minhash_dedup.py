@@ -224,8 +224,7 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     involved = in_band.select("node").distinct()
     texts = cut(text.join(nodes.join(involved, "node").select("id", "tag", "node").hint("shuffle_hash"), ["id", "tag"])
                 .select("node", "text").dropDuplicates(["node"]))
-    scores, roots, open_rows, turn = None, None, in_band, 0
-    before = None
+    scores, roots, open_rows, before, turn = None, None, in_band, None, 0
     while True:
         turn += 1
         leaders = (in_band.join(open_rows.select("band").distinct(), "band") if turn > 1 else in_band)
