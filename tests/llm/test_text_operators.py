@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
-from tracefold.llm import bpe, decontaminate, line_dedup, orc_tokens, repeats
+from tracefold.llm import bpe, decontaminate, line_dedup, orc_tokens, repeats, stages
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -128,6 +128,21 @@ def test_contamination_empty(spark):
     assert decontaminate.contamination(docs_of(spark, ["x"]).limit(0), some).count() == 0
 
 
+def test_contamination_counts_items_without_id(spark):
+    named, unnamed, short = (" ".join(f"{w}{i}" for i in range(25)) for w in ("named", "null", "short"))
+    texts = [unnamed, named + " q " + unnamed, named, short + " zz qq", "nothing of it"]
+    items = [(None, unnamed), (7, named), (None, "zz qq"), (8, "zz qq")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    hits = {e[0]: e for e in contamination_expected(list(enumerate(texts)), items)}
+    lists = {0: (1, ""), 1: (2, "7"), 2: (1, "7"), 3: (2, "8"), 4: (0, "")}
+    for i, (n, ids) in lists.items():
+        assert (got[i].n_hit, got[i].contaminated) == (hits[i][2], hits[i][5])
+        assert (got[i].n_items, got[i].items_sha256) == (n, sha(ids))
+    assert [r.doc_id for r in stages.uncontaminated(docs, bench).collect()] == [4]
+
+
 def test_winnowing_finds_every_long_span():
     rng = np.random.default_rng(4)
     span = rng.integers(1, 1 << 62, 10).astype(np.uint64)

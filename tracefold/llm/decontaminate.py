@@ -106,9 +106,11 @@ def bitmap_of(prints: DataFrame) -> bytes:
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
                    k: int = GRAM) -> DataFrame:
-    """(doc_id, tag, n_words, hits, items): word ranges that benchmark items cover.
+    """(doc_id, tag, n_words, hits, items, unnamed): word ranges that benchmark items cover.
 
     ``hits`` lists (start, size) of the spans found and ``items`` the ids of the items.
+    Rows with a null ``item_id`` hit like any other; ``unnamed`` says that one of them did,
+    as ``items`` holds no null.
     Texts that are null or without words have no spans; an item shorter than ``span``
     words is one span of its own; repeated rows are answered each.
     """
@@ -117,7 +119,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
         F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text")))
     item_spans = cut(unrolled(items.select("row", "text").mapInArrow(
         span_rows(span, k, list(range(1, span)), None, True), SPANS_DDL))
-        .join(items.select("row", "item"), "row").where("item IS NOT NULL")
+        .join(items.select("row", "item"), "row")
         .select("item", "size", "print", "span").distinct())
     shorter = sorted(r["size"] for r in item_spans.where(F.col("size") < span)
                      .select("size").distinct().collect())  # below ``span`` values
@@ -154,7 +156,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
                .groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("hits"),
                                    F.collect_set("set").alias("sets")))
     per_doc = (hits.select("row", F.explode("sets").alias("set"))
-               .join(members, "set").groupBy("row").agg(F.collect_set("item").alias("items")))
+               .join(members, "set").groupBy("row").agg(F.collect_set("item").alias("items"),
+                                                   F.max(F.col("item").isNull()).alias("unnamed")))
     return (found.select("row", "doc_id", "tag", "n_words")
             .join(hits.select("row", "hits"), "row", "left").join(per_doc, "row", "left"))
 
@@ -172,11 +175,15 @@ def covered():
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """Per document the words hit and the items found; see :func:`benchmark_hits`."""
+    """Per document the words hit and the items found; see :func:`benchmark_hits`.
+
+    As in the SQL, null item ids together count as one item in ``n_items`` and add nothing
+    to the list behind ``items_sha256``.
+    """
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return benchmark_hits(docs, benchmark, span, k).select(
         "doc_id", "n_words", F.coalesce(covered(), F.lit(0)).cast("long").alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
+        (F.size(items) + F.coalesce(F.col("unnamed").cast("int"), F.lit(0))).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(items), ",").cast("binary"), 256).alias("items_sha256"),
         F.col("hits").isNotNull().alias("contaminated"))
 
