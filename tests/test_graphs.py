@@ -220,6 +220,34 @@ def test_graph_documents_round_trip(spark, tmp_path):
             (1, 0, 1, rules.EDGE_CFG)]
 
 
+def test_graph_documents_hold_graphs_of_any_size(spark):
+    n = 60_000
+    nodes = spark.range(n).selectExpr("1L AS graph_id", "id", "'BLOCK' AS type", "'' AS name")
+    edges = spark.range(n).selectExpr("1L AS graph_id", "id AS src", "0L AS dst", "'CFG' AS etype")
+    documents = graph_io.graph_documents(graph_io.graph_records(nodes, edges))
+    got = graph_io.parse_documents(documents).groupBy("graph_id", "part").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, "edge", n), (1, "node", n)]
+
+
+def test_graph_document_pieces(spark):
+    nodes = spark.createDataFrame([(1, i, "BLOCK", "n" * (i % 7)) for i in range(300)] + [(None, 1, "CALL", "x" * 900)],
+                                  NODES)
+    edges = spark.createDataFrame([(1, 0, 1, rules.EDGE_CFG)] * 40, EDGES)
+    graphs = spark.createDataFrame([(1, "f", "exe", {"k": "v"})],
+                                   "graph_id bigint, source_file string, file_type string, metadata map<string,string>")
+    records = graph_io.graph_records(nodes, edges, graphs)
+    pieces = graph_io.graph_documents(records, piece_bytes=400).collect()
+    longest = max(len(r["json"]) for r in records.collect())
+    assert all(len(r["document"]) <= 400 + longest + 2 for r in pieces)
+    assert len({(r["graph_id"], r["part"], r["piece"]) for r in pieces}) == len(pieces) > 20
+    ordered = [r["document"] for r in sorted((r for r in pieces if (r["graph_id"], r["part"]) == (1, "node")),
+                                             key=lambda r: r["piece"])]
+    assert ordered == sorted(ordered)
+    back = graph_io.parse_documents(graph_io.graph_documents(records, piece_bytes=400))
+    assert sorted((r["graph_id"] or 0, r["part"], r["json"]) for r in back.collect()) == sorted(
+        (r["graph_id"] or 0, r["part"], r["json"]) for r in records.collect())
+
+
 def test_orphan_indicators_vanish_from_search(spark):
     iocs = spark.createDataFrame([("a", "ip", "v", "c"), ("gone", "ip", "v", "c")],
                                  "analysis_id string, ioc_type string, ioc_value string, context string")

@@ -3,14 +3,16 @@
 A graph is stored as JSON records, one per node, edge and graph header, with
 absent optional fields left out.  Records of one graph share ``graph_id``, so a
 large graph is many rows rather than one document cell; ``graph_documents``
-nests the graphs that are small enough for one cell.
+nests them in lists of bounded size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-DOCUMENT_LIMIT = 100_000
+from tracefold.operators.ordering import running_total
+
+PIECE_BYTES = 1 << 20
 
 NODE_SCHEMA = ("id bigint, type string, name string, code string, line bigint, "
                "`order` bigint, signature string, is_external boolean, value string, "
@@ -82,32 +84,32 @@ def graph_read(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def graph_documents(records: DataFrame, limit: int = DOCUMENT_LIMIT) -> DataFrame:
-    """One JSON document per graph of at most ``limit`` records.
+def graph_documents(records: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(graph_id, part, piece, document): every graph as JSON lists of its records.
 
-    Larger graphs are left out here and stay available as records.
+    The records of a part are ordered by their text and start a new list every
+    ``piece_bytes`` bytes, so a cell is bounded by that and one record, whatever the
+    size of the graph.  ``piece`` ascends in that order and skips numbers after a
+    record that is longer than a piece.
     """
-    small = (records.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") <= limit).select("graph_id"))
-    pick = lambda part: F.array_join(F.array_sort(F.collect_list(
-        F.when(F.col("part") == part, F.col("json")))), ",")
-    nested = records.join(small, "graph_id", "left_semi").groupBy("graph_id").agg(
-        pick("node").alias("n"), pick("edge").alias("e"),
-        F.max(F.when(F.col("part") == "graph", F.col("json"))).alias("g"))
-    head = F.coalesce(F.substring("g", F.lit(2), F.length("g") - 2), F.lit(""))
-    return nested.select("graph_id", F.concat(
-        F.lit("{"), head, F.when(head != "", ",").otherwise(""), F.lit('"nodes":['), "n",
-        F.lit('],"edges":['), "e", F.lit("]}")).alias("document"))
+    size = F.octet_length("json") + 1
+    placed = running_total(records.withColumn("_copy", F.monotonically_increasing_id()),
+                           ["json", "_copy"], ["graph_id", "part"], {"_before": size})
+    piece = F.floor(F.col("_before") / piece_bytes).alias("piece")
+    return placed.groupBy("graph_id", "part", piece).agg(F.concat(
+        F.lit("["), F.array_join(F.array_sort(F.collect_list("json")), ","), F.lit("]"))
+        .alias("document"))
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
-    """Records of nested documents, the reverse of :func:`graph_documents`."""
-    schema = f"nodes array<struct<{_fields(NODE_SCHEMA)}>>, edges array<struct<{_fields(EDGE_SCHEMA)}>>"
-    parsed = documents.select("graph_id", F.from_json("document", schema).alias("d"))
-    part = lambda name, kind: parsed.select(
-        "graph_id", F.lit(kind).alias("part"), F.explode(f"d.{name}").alias("r")).select(
-        "graph_id", "part", F.to_json("r").alias("json"))
-    return part("nodes", "node").unionByName(part("edges", "edge"))
+    """Records of the pieces, the reverse of :func:`graph_documents`."""
+    def part(kind: str, schema: str) -> DataFrame:
+        parsed = F.from_json("document", f"array<struct<{_fields(schema)}>>")
+        return (documents.where(F.col("part") == kind)
+                .select("graph_id", "part", F.explode(parsed).alias("r"))
+                .select("graph_id", "part", F.to_json("r").alias("json")))
+    return (part("node", NODE_SCHEMA).unionByName(part("edge", EDGE_SCHEMA))
+            .unionByName(part("graph", HEADER_SCHEMA)))
 
 
 def _fields(schema: str) -> str:
