@@ -3,9 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tracefold.operators import identity
+from tracefold.operators import behavior, identity
 from tracefold.plans.catalog import load
+from tracefold.plans.check_layout import report_parts
+from tracefold.plans.views import Tables
 from tracefold.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -49,3 +52,35 @@ def test_ingestion_does_not_shuffle_content(spark, tmp_path):
     got = ingest.analyse_new(batch, ingest.read_store(spark, str(tmp_path / "none")))
     assert shuffled_columns(got)
     assert not any("content" in line for line in shuffled_columns(got))
+
+
+ANALYZERS = {"headers", "sections", "imports", "exports", "strings", "resources", "entropy", "cfg",
+             "api_call_graph", "signatures", "packer", "debug_features", "certificate", "overlay", "memory_layout"}
+
+
+def test_deep_report_has_every_part_of_every_file(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    parts = report_parts(tables)
+    assert {name.split(".")[0] for name in parts} == ANALYZERS | {"broken"}
+    files = tables("files").select("file_id")
+    report = behavior.deep_report(tables("files"), parts).cache()
+    n = files.count()
+    covered = {r["part"]: r for r in report.groupBy("part").agg(
+        F.count_distinct("file_id").alias("files"), F.count("error").alias("failed")).collect()}
+    assert {name: (r["files"], r["failed"] > 0) for name, r in covered.items()} == {
+        name: (n, name == "broken") for name in parts}
+    for name in ("certificate", "strings", "memory_layout"):
+        want = parts[name]().join(files, "file_id", "left_semi").count()
+        assert 0 < want == report.where((F.col("part") == name) & F.col("body").isNotNull()).count()
+    report.unpersist()
+
+
+def test_deep_report_keeps_the_other_parts_of_one_that_fails_in_running(spark):
+    files = spark.range(3).withColumnRenamed("id", "file_id")
+    report = behavior.deep_report(files, {
+        "good": lambda: files.selectExpr("file_id", "file_id + 1 AS n"),
+        "bad": lambda: files.selectExpr("file_id", "raise_error('no such header') AS n")}).collect()
+    assert sorted((r["file_id"], r["body"]) for r in report if r["part"] == "good") == [
+        (i, f'{{"n":{i + 1}}}') for i in range(3)]
+    bad = [r for r in report if r["part"] == "bad"]
+    assert len(bad) == 3 and all(r["error"] and r["body"] is None for r in bad)

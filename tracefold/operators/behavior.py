@@ -13,6 +13,7 @@ from tracefold.functions.bytes import (hex_address, little_endian_signed,
 from tracefold.functions.literals import lookup, present
 from tracefold.operators.layout import explode_findings, finding
 from tracefold.operators.ordering import fill_forward
+from tracefold.session import cut
 
 
 def behavior_of(func: Column) -> Column:
@@ -269,21 +270,27 @@ def map_pcode(ops: DataFrame) -> DataFrame:
 
 
 def deep_report(files: DataFrame, parts: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """One row per file with a struct per analyzer part.
+    """(file_id, part, error, body): what every analyzer part found in every file.
 
-    A part that cannot be planned is reported in ``errors`` and does not stop the
-    others.  Parts are one row per file; they are joined on ``file_id``.
+    A finding is one row with its fields as JSON in ``body``; a file without findings in
+    a part has one row with a null body.  Each part is written on its own, so one that
+    fails, in planning or in running, gives its ``error`` in the row of every file and
+    does not stop the others.
     """
-    good: dict[str, DataFrame] = {}
-    errors: dict[str, str] = {}
+    def rows(name: str, found: DataFrame, error: Column) -> DataFrame:
+        return found.select("file_id", F.lit(name).alias("part"),
+                            error.cast("string").alias("error"), "body")
+
+    ids = files.select("file_id")
+    done = []
     for name, build in parts.items():
         try:
             part = build()
             fields = [c for c in part.columns if c != "file_id"]
-            good[name] = part.select("file_id", F.struct(*fields).alias(name))
+            body = cut(part.select("file_id", F.to_json(F.struct(*fields)).alias("body")))
+            done.append(rows(name, ids.join(body, "file_id", "left"), F.lit(None)))
         except Exception as exc:  # a broken analyzer must not lose the others
-            errors[name] = str(exc).splitlines()[0]
-    failed = (F.create_map(*[F.lit(x) for e in errors.items() for x in e]) if errors
-              else F.create_map().cast("map<string,string>"))
-    return reduce(lambda left, right: left.join(right, "file_id", "left"), good.values(),
-                  files.select("file_id")).withColumn("errors", failed)
+            failed = ids.withColumn("body", F.lit(None).cast("string"))
+            error = (str(exc).splitlines() or [""])[0] or type(exc).__name__
+            done.append(rows(name, failed, F.lit(error)))
+    return reduce(DataFrame.unionByName, done)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracefold import rules
-from tracefold.operators import behavior, layout
+from tracefold.operators import behavior, layout, text_rules
 from tracefold.plans.catalog import query
 from tracefold.plans.views import Tables, literal, values
 
@@ -578,14 +578,48 @@ def _(t):
 
 
 def report_parts(t: Tables) -> dict:
-    headers, sections, imports = t("headers"), t("sections"), t("imports")
-    entropy = layout.file_entropy(t("files")).select("file_id", "file_entropy", "entropy_class")
+    """Operators of the 15 analyzers by the analyzer's name, and a part that fails."""
+    files, keys, headers, sections = t("files"), t("file_keys"), t("headers"), t("sections")
+    imports, exports, instructions = t("imports"), t("exports"), t("instructions")
+    compilers = lambda: layout.compiler_fingerprint(headers, t("compiler_sections"), files)
     return {
-        "entropy": lambda: entropy,
-        "packing": lambda: layout.packing_likelihood(t("file_keys"), sections),
+        "headers": lambda: layout.decode_enums(headers),
+        "headers.flags": lambda: layout.decode_flags(headers),
+        "headers.anomalies": lambda: layout.header_anomalies(headers, F.lit(NOW)),
+        "headers.entry_point": lambda: layout.entry_point_outside(headers, sections),
+        "sections": lambda: layout.section_flags(sections),
+        "sections.entropy": lambda: layout.section_entropy(t("section_bytes")),
+        "sections.red_flags": lambda: layout.section_red_flags(sections),
+        "imports": lambda: behavior.import_totals(keys, imports),
+        "imports.hash": lambda: behavior.imphash(imports),
+        "imports.suspicious": lambda: behavior.suspicious_apis(imports),
+        "imports.categories": lambda: behavior.category_hits(keys, imports),
+        "imports.chains": lambda: behavior.behavior_chains(imports),
+        "exports": lambda: behavior.dll_intent(exports),
+        "exports.suspicious": lambda: behavior.suspicious_exports(exports),
+        "strings": lambda: text_rules.categorize_strings(text_rules.extract_strings(files)),
+        "resources": lambda: layout.resource_tree(t("resources").drop("data")),
+        "resources.embedded": lambda: layout.embedded_resources(t("resources")),
+        "resources.version": lambda: layout.version_spoofing(t("version_info")),
+        "entropy": lambda: layout.file_entropy(files).select("file_id", "file_entropy", "entropy_class"),
+        "entropy.packing": lambda: layout.packing_likelihood(keys, sections),
+        "cfg": lambda: behavior.cfg_metrics(instructions),
+        "cfg.findings": lambda: behavior.cfg_findings(instructions),
+        "api_call_graph": lambda: behavior.api_call_graph(instructions, imports),
+        "signatures": lambda: text_rules.scan_signatures(files),
+        "signatures.rules": lambda: text_rules.scan_rules(files),
         "packer": lambda: layout.packer_fingerprint(sections),
-        "imports": lambda: behavior.import_totals(t("file_keys"), imports),
-        "overlay": lambda: layout.overlay(t("files"), t("overlay_sections")),
+        "packer.score": lambda: layout.packing_score(layout.file_entropy(files), sections).drop("content"),
+        "debug_features": lambda: layout.linker_anomalies(
+            headers, compilers(), layout.packer_fingerprint(sections)),
+        "debug_features.compiler": compilers,
+        "debug_features.rich": lambda: layout.rich_entries(t("rich_values")),
+        "debug_features.evasion": lambda: behavior.evasion_score(files, imports, instructions),
+        "certificate": lambda: layout.signature_trust(t("certificates")),
+        "overlay": lambda: layout.overlay(files, t("overlay_sections")),
+        "memory_layout": lambda: layout.memory_map(headers, sections),
+        "memory_layout.counts": lambda: layout.reloc_iat_counts(keys, t("relocations"), imports),
+        "memory_layout.tls": lambda: layout.tls_callbacks(t("tls_pointers")),
         "broken": lambda: headers.select("file_id", "no_such_column"),
     }
 
@@ -597,6 +631,10 @@ LEFT JOIN (SELECT file_id, count(*) AS n FROM {{imports}} GROUP BY file_id) i ON
        FILE_ENTROPY)
 def _(t):
     report = behavior.deep_report(t("files"), report_parts(t))
-    return report.select("file_id", "entropy.entropy_class",
-                         F.coalesce("imports.total_functions", F.lit(0)).alias("total_functions"),
-                         F.size("errors").alias("failed_parts"))
+    shown = F.col("part").isin("entropy", "imports") | F.col("error").isNotNull()
+    field = lambda part, name: F.max(F.when(
+        F.col("part") == part, F.get_json_object("body", f"$.{name}")))
+    return report.where(shown).groupBy("file_id").agg(
+        field("entropy", "entropy_class").alias("entropy_class"),
+        F.coalesce(field("imports", "total_functions").cast("bigint"), F.lit(0)).alias("total_functions"),
+        F.count_if(F.col("error").isNotNull()).cast("int").alias("failed_parts"))
