@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import (bpe, decontaminate, embedding_dedup, language_id, line_dedup,
+from tracefold.llm import (bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup,
                            minhash_dedup, orc_tokens, quality, repeats, toxicity)
 from tracefold.llm.common import table
 
@@ -53,6 +53,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -64,8 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_compression_toxicity": op7_compression_toxicity,
     "op8_orc_tokens": op8_orc_tokens,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_license_scan": op12_license_scan,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op12_license_scan": license_scan.sql(),
 }
