@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracefold.llm import (bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup,
-                           minhash_dedup, orc_tokens, quality, repeats, toxicity)
+                           minhash_dedup, orc_tokens, periodic_runs, quality, repeats, toxicity)
 from tracefold.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_orc_tokens": op8_orc_tokens,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_license_scan": op12_license_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
