@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import (bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup,
-                           minhash_dedup, orc_tokens, periodic_runs, quality, repeats, toxicity)
+from tracefold.llm import (align, bpe, decontaminate, embedding_dedup, language_id, license_scan,
+                           line_dedup, minhash_dedup, orc_tokens, periodic_runs, quality, repeats, toxicity)
 from tracefold.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_compression_toxicity": op7_compression_toxicity,
     "op8_orc_tokens": op8_orc_tokens,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "op12_license_scan": op12_license_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
