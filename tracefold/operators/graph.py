@@ -6,16 +6,14 @@ Traversals work on all graphs and sources at once, one join per round.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tracefold import rules
 from tracefold.functions.literals import first_match
 from tracefold.operators.ordering import number_rows, running_total
+from tracefold.operators.reaching import reaching_definitions  # noqa: F401
 from tracefold.session import cut, cut_counted
 
-HOPS = 2                  # predecessor steps per round of reaching definitions
 KEEP_PIECES = 8           # visited tables are compacted after this many rounds
 
 
@@ -158,55 +156,6 @@ def predecessors(blocks: DataFrame, successors: DataFrame,
                       "left_anti"))
 
 
-def reaching_definitions(uses: DataFrame, preds: DataFrame,
-                         max_rounds: int | None = None) -> DataFrame:
-    """Blocks whose definition of a variable reaches an exposed use.
-
-    Walks predecessors from every use at once, several hops per round; a walk
-    stops at a block that defines the variable.  ``uses`` is the result of
-    :func:`def_use`.
-    """
-    scope = ["graph_id", "func"]
-    defs = uses.where("is_defined").select(*scope, F.col("block_id").alias("cur"), "var")
-    exposed = (uses.where("is_exposed").select(*scope, "var", F.col("block_id").alias("use_id"))
-               .join(defs.select(*scope, "var").distinct(), scope + ["var"], "left_semi"))
-    # Both sides are read in every round.
-    defs = cut(defs)
-    back = cut(preds.select(*scope, F.col("block_id").alias("cur"),
-                            F.col("pred_id").alias("next")))
-    step = lambda rows: (rows.join(back, scope + ["cur"])
-                         .select(*scope, "var", "use_id", F.col("next").alias("cur")).distinct())
-    def split(rows: DataFrame) -> DataFrame:
-        return rows.join(defs.withColumn("_d", F.lit(True)), scope + ["cur", "var"], "left") \
-            .select(*scope, "var", "use_id", "cur", F.col("_d").isNotNull().alias("is_def"))
-
-    key = scope + ["var", "use_id", "cur"]
-    last = (F.col("hop") == HOPS) & ~F.col("is_def")
-
-    def advance(rows: DataFrame) -> DataFrame:
-        """Rows reached within the next hops, each with its first hop."""
-        parts, now = [], rows
-        for hop in range(1, HOPS + 1):
-            now = split(step(now))
-            parts.append(now.withColumn("hop", F.lit(hop)))
-            now = now.where(~F.col("is_def")).drop("is_def")
-        return reduce(DataFrame.unionByName, parts).groupBy(*key, "is_def").agg(
-            F.min("hop").alias("hop"))
-
-    frontier, rows = cut_counted(advance(exposed.withColumn("cur", F.col("use_id"))), last)
-    seen, rounds = frontier, 0
-    while rows:
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"definitions still moving after {max_rounds} rounds")
-        moved = advance(frontier.where(last).select(*key))
-        frontier, rows = cut_counted(moved.join(seen, key, "left_anti"), last)
-        seen = seen.unionByName(frontier)
-        if rounds % KEEP_PIECES == 0:
-            seen = cut(seen)
-    return seen.where("is_def").select(*scope, "var", F.col("cur").alias("def_id"), "use_id")
-
-
 def metadata_items(items: DataFrame) -> DataFrame:
     """Every import, export and string with its place in its kind and file."""
     return number_rows(items, ["pos", "value"], ["file_id", "kind"], "place")

@@ -73,6 +73,28 @@ def cut_counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFra
     return table, (table if condition is None else table.where(condition)).count()
 
 
+def cut_bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """:func:`cut` into buckets by ``keys``: joins on them read the table without a shuffle.
+
+    The number of buckets is that of shuffle partitions, so rows that are shuffled by the
+    same keys meet the table as it lies; each bucket is one file, written by one task.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"cut_{uuid.uuid4().hex}"
+    (df.repartition(count, *keys).write.format("parquet").bucketBy(count, *keys)
+     .option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name))
+    return spark.table(name)
+
+
+def without(df: DataFrame, pieces: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose keys are in none of the bucketed ``pieces``; only ``df`` is shuffled."""
+    for piece in pieces:
+        df = df.join(piece.select(*keys).hint("merge"), keys, "left_anti")
+    return df
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores for costly row work on an input with few partitions.
 
