@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracefold import rules
 from tracefold.functions.hashing import api_token
-from tracefold.functions.literals import any_of, first_match, let
+from tracefold.functions.literals import any_of, first_match
 from tracefold.operators.ordering import number_rows
-from tracefold.session import cut
-
-MAX_MERGES = 50_000  # size bound of the merge list and vocabulary that are broadcast
+from tracefold.operators.subwords import (bpe_decode, bpe_encode, bpe_train, bpe_vocab,  # noqa: F401
+                                          spaced, split_identifier, word_counts)
 
 
 def abstract_number(value: Column) -> Column:
@@ -96,115 +95,6 @@ def semantic_id(nodes: DataFrame, repair_operators: bool = False) -> DataFrame:
 
 # --- sub-words --------------------------------------------------------------------------
 
-def split_identifier(text: Column) -> Column:
-    """Lower-case parts of an identifier, split on underscores and camel case."""
-    runs = F.transform(F.split(text, "_+"), lambda part: let(
-        F.regexp_extract_all(part, F.lit(rules.RE_IDENTIFIER_RUN), F.lit(0)),
-        lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(part))))
-    return F.filter(F.transform(F.flatten(runs), F.lower), lambda part: part != "")
-
-
-def spaced(word: Column) -> Column:
-    """Characters of a word separated by blanks, with the end mark."""
-    return F.concat(F.regexp_replace(word, r"([\s\S])", "$1 "), F.lit("</w>"))
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    return (texts.select(F.explode(split_identifier(F.col("text"))).alias("word"))
-            .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
-
-
-def bpe_train(texts: DataFrame, num_merges: int, cut_every: int = 8) -> DataFrame:
-    """Learn ``num_merges`` merges from a corpus: (rank, left, right, merged).
-
-    Only distinct words with counts are kept.  Each round counts adjacent pairs
-    and brings back the one most frequent pair (ties: smallest text); applying
-    it is a narrow text replacement.
-    """
-    if num_merges > MAX_MERGES:
-        raise ValueError(f"at most {MAX_MERGES} merges are supported")
-    spark = texts.sparkSession
-    state = cut(word_counts(texts).select(spaced(F.col("word")).alias("symbols"), "freq"))
-    merges: list[tuple] = []
-    for rank in range(num_merges):
-        best = most_frequent_pair(state)
-        if best is None:
-            break
-        left, right = best
-        merged = left + right
-        merges.append((rank, left, right, merged))
-        state = state.withColumn("symbols", F.replace(
-            "symbols", F.lit(f"{left} {right}"), F.lit(merged)))
-        if (rank + 1) % cut_every == 0:
-            state = cut(state)
-    return spark.createDataFrame(merges, "rank int, left string, right string, merged string")
-
-
-def most_frequent_pair(state: DataFrame) -> tuple[str, str] | None:
-    parts = F.split("symbols", " +")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.struct(
-        F.element_at("parts", i).alias("left"), F.element_at("parts", i + 1).alias("right")))
-    counted = (state.select(parts.alias("parts"), "freq").where(F.size("parts") > 1)
-               .select(F.explode(pairs).alias("p"), "freq")
-               .groupBy("p.left", "p.right").agg(F.sum("freq").alias("n")))
-    top = counted.orderBy(F.desc("n"), "left", "right").limit(1).collect()
-    return (top[0]["left"], top[0]["right"]) if top else None
-
-
-def merge_list(merges: DataFrame) -> list[tuple[str, str, str]]:
-    rows = merges.orderBy("rank").limit(MAX_MERGES + 1).collect()
-    if len(rows) > MAX_MERGES:
-        raise ValueError(f"at most {MAX_MERGES} merges are supported")
-    return [(r["left"], r["right"], r["merged"]) for r in rows]
-
-
-def bpe_vocab(merges: DataFrame) -> DataFrame:
-    """Base characters and merged tokens with ids in order of first appearance."""
-    spark = merges.sparkSession
-    tokens = dict.fromkeys(rules.BPE_BASE_TOKENS)
-    tokens.update(dict.fromkeys(m for _, _, m in merge_list(merges)))
-    return spark.createDataFrame([(i, t) for i, t in enumerate(tokens)],
-                                 "token_id int, token string")
-
-
-def bpe_encode(texts: DataFrame, merges: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Token ids of each text; every distinct word is encoded once."""
-    steps = F.array(*[F.struct(F.lit(f"{a} {b}").alias("pair"), F.lit(m).alias("merged"))
-                      for a, b, m in merge_list(merges)])
-    unk = rules.BPE_BASE_TOKENS.index("<unk>")
-    words = texts.select("text_id", F.posexplode(split_identifier(F.col("text")))
-                         .alias("pos", "word"))
-    merged = F.aggregate(steps, spaced(F.col("word")),
-                         lambda w, m: F.replace(w, m["pair"], m["merged"]))
-    small = F.broadcast(vocab)
-    tokens = (words.select("word").distinct()
-              .select("word", F.posexplode(F.split(merged, " +")).alias("tpos", "token"))
-              .where(F.col("token") != "").join(small, "token", "left"))
-    units = tokens.select("word", "tpos", F.posexplode(
-        F.when(F.col("token_id").isNotNull(), F.array("token"))
-        .otherwise(F.regexp_extract_all("token", F.lit(r"[\s\S]"), F.lit(0))))
-        .alias("cpos", "token"))
-    coded = (units.join(small, "token", "left")
-             .groupBy("word").agg(F.array_sort(F.collect_list(F.struct(
-                 "tpos", "cpos", F.coalesce("token_id", F.lit(unk)).alias("id")))).alias("ids"))
-             .select("word", F.transform("ids", lambda e: e["id"]).alias("ids")))
-    return (words.join(coded, "word").groupBy("text_id")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-            .select("text_id", F.flatten(F.transform("parts", lambda e: e["ids"]))
-                    .alias("token_ids")))
-
-
-def bpe_decode(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Text of token ids, without end marks and blanks."""
-    tokens = (encoded.select("text_id", F.posexplode("token_ids").alias("pos", "token_id"))
-              .join(F.broadcast(vocab), "token_id", "left")
-              .groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(
-                  "pos", F.coalesce("token", F.lit("<unk>")).alias("token")))).alias("parts")))
-    text = F.array_join(F.transform("parts", lambda e: e["token"]), "")
-    return tokens.select("text_id", F.replace(
-        F.replace(text, F.lit("</w>"), F.lit(" ")), F.lit(" "), F.lit("")).alias("text"))
-
-
 def pooled_name_vector(encoded: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """Mean of the vectors of all sub-words; zeros when none."""
     parts = (encoded.select("text_id", F.explode("token_ids").alias("token_id"))

@@ -434,7 +434,21 @@ def _(t):
     return tokens.semantic_id(t("nodes")).select("graph_id", "id", "semantic_id")
 
 
-@query("split_identifier")
+MARK = "\ue000"  # stands before a capital that opens a word; no text here holds it
+
+
+def parts_sql(text: str) -> str:
+    """Parts of an identifier without look-ahead: capitals that open a word are marked and those
+    before another character removed; a line end that closes a part does not count."""
+    run = f"regexp_replace(x, '(\\r\\n|[\\n\\r\u0085\u2028\u2029])$', '')"
+    run = f"regexp_replace({run}, '([A-Z])([a-z])', '{MARK}\\1\\2', 'g')"
+    run = f"regexp_replace({run}, '([A-Z])([^A-Za-z{MARK}])', '\\2', 'gs')"
+    found = f"regexp_extract_all({run}, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')"
+    return (f"list_filter(list_transform(flatten(list_transform(regexp_split_to_array({text}, '_+'), lambda x: "
+            f"CASE WHEN len({found}) > 0 THEN {found} ELSE [x] END)), lambda x: lower(x)), lambda x: x <> '')")
+
+
+@query("split_identifier", f"SELECT text_id, array_to_string({parts_sql('text')}, ',') AS parts FROM {{texts}}")
 def _(t):
     parts = tokens.split_identifier(F.col("text"))
     return t("texts").select("text_id", F.array_join(parts, ",").alias("parts"))
@@ -444,29 +458,80 @@ def _corpus(t):
     return t("documents").select(F.col("doc_id").alias("text_id"), "text")
 
 
-@query("word_counts")
+WORDS = {"corpus_words": f"""
+SELECT word, count(*) AS freq FROM (SELECT unnest({parts_sql('text')}) AS word FROM {{documents}}) x GROUP BY word"""}
+
+
+@query("word_counts", "SELECT word, freq FROM {corpus_words}", WORDS)
 def _(t):
     return tokens.word_counts(_corpus(t))
 
 
-@query("bpe_train")
+MERGES = 12
+
+
+def merges_sql(words: str) -> dict[str, str]:
+    """One table per merge: the best pair of the words so far, and the words after it."""
+    spaced = "regexp_replace(word, '(.)', '\\1 ', 'gs') || '</w>'"
+    tables = {"s0": f"SELECT {spaced} AS symbols, freq FROM {{{words}}}"}
+    for k in range(MERGES):
+        tables[f"b{k}"] = f"""
+SELECT l, r, n FROM (SELECT p[i] AS l, p[i + 1] AS r, sum(freq) AS n FROM (
+  SELECT p, freq, unnest(range(1, len(p))) AS i FROM (
+    SELECT list_filter(string_split(symbols, ' '), lambda x: x <> '') AS p, freq FROM {{s{k}}}) a) c
+  GROUP BY ALL) d ORDER BY n DESC, l, r LIMIT 1"""
+        tables[f"s{k + 1}"] = (f"SELECT replace(symbols, l || ' ' || r, l || r) AS symbols, freq "
+                               f"FROM {{s{k}}}, {{b{k}}}")
+    tables["merges"] = " UNION ALL ".join(
+        f"SELECT CAST({k} AS INT) AS rank, l AS left, r AS right, l || r AS merged FROM {{b{k}}}" for k in range(MERGES))
+    return tables
+
+
+@query("bpe_train", "SELECT * FROM {merges}", WORDS | merges_sql("corpus_words"))
 def _(t):
-    return tokens.bpe_train(_corpus(t), 12)
+    return tokens.bpe_train(_corpus(t), MERGES)
 
 
 def _bpe(t):
-    merges = tokens.bpe_train(t("texts"), 12)
+    merges = tokens.bpe_train(t("texts"), MERGES)
     return merges, tokens.bpe_vocab(merges)
 
 
-@query("bpe_encode")
+BASE_TOKENS = ", ".join(f"'{token}'" for token in rules.BPE_BASE_TOKENS)
+AFTER = "regexp_replace(word, '(.)', '\\1 ', 'gs') || '</w>'"
+for _k in range(MERGES):
+    AFTER = (f"replace({AFTER}, (SELECT l || ' ' || r FROM {{b{_k}}}), (SELECT l || r FROM {{b{_k}}}))")
+CODED = {"text_words": f"SELECT word, count(*) AS freq FROM (SELECT unnest({parts_sql('text')}) AS word "
+                       "FROM {texts}) x GROUP BY word"} | merges_sql("text_words") | {
+    "vocab": f"""
+SELECT unnest([{BASE_TOKENS}]) AS token, unnest(range({len(rules.BPE_BASE_TOKENS)})) AS id
+UNION ALL SELECT merged, {len(rules.BPE_BASE_TOKENS) - 1} + row_number() OVER (ORDER BY min(rank)) FROM {{merges}}
+WHERE merged NOT IN ({BASE_TOKENS}) GROUP BY merged""",
+    "after": f"SELECT word, list_filter(string_split({AFTER}, ' '), lambda x: x <> '') AS toks FROM {{text_words}}",
+    "units": """
+SELECT word, tpos, unnest(u) AS unit, unnest(range(len(u))) AS cpos FROM (
+  SELECT word, tpos, CASE WHEN v.id IS NULL THEN regexp_extract_all(tok, '(?s).') ELSE [tok] END AS u FROM (
+    SELECT word, unnest(toks) AS tok, unnest(range(len(toks))) AS tpos FROM {after}) a
+  LEFT JOIN {vocab} v ON v.token = tok) b""",
+    "coded": """
+SELECT text_id, pos, tpos, cpos, coalesce(v.id, 1) AS id FROM (
+  SELECT text_id, unnest(p) AS word, unnest(range(len(p))) AS pos FROM (
+    SELECT text_id, %s AS p FROM {texts}) a) w
+JOIN {units} u ON u.word = w.word LEFT JOIN {vocab} v ON v.token = unit""" % parts_sql("text")}
+
+
+@query("bpe_encode", """
+SELECT text_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos, tpos, cpos) AS token_ids
+FROM {coded} GROUP BY text_id""", CODED)
 def _(t):
     merges, vocab = _bpe(t)
     return tokens.bpe_encode(t("texts"), merges, vocab).select(
         "text_id", F.array_join("token_ids", ",").alias("token_ids"))
 
 
-@query("bpe_decode")
+@query("bpe_decode", """
+SELECT text_id, replace(replace(string_agg(token, '' ORDER BY pos, tpos, cpos), '</w>', ' '), ' ', '') AS text
+FROM {coded} c JOIN {vocab} v ON v.id = c.id GROUP BY text_id""", CODED)
 def _(t):
     merges, vocab = _bpe(t)
     return tokens.bpe_decode(tokens.bpe_encode(t("texts"), merges, vocab), vocab)
