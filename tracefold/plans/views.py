@@ -84,10 +84,11 @@ FROM (SELECT file_id, n,
                     CAST(file_id AS STRING), {choose('file_id % 13', _q(*_EXTENSIONS))}) AS name,
              CASE WHEN blank THEN unhex('')
                   ELSE unhex({choose('file_id % 17', _q(*_PREFIXES))}) || UTF8(text) END AS content
-      FROM (SELECT doc_id AS file_id, n_chars AS n, text, FALSE AS blank FROM {{documents}}
-            UNION ALL
-            SELECT doc_id + 1000000000 AS file_id, CAST(0 AS BIGINT) AS n, text, TRUE AS blank
-            FROM {{documents}} WHERE doc_id % 97 = 5) AS b) AS d""",
+      FROM (SELECT CASE WHEN blank THEN doc_id + 1000000000 ELSE doc_id END AS file_id,
+                   CASE WHEN blank THEN CAST(0 AS BIGINT) ELSE n_chars END AS n, text, blank
+            FROM (SELECT doc_id, n_chars, text, EACH(CASE WHEN doc_id % 97 = 5 THEN LIST(FALSE, TRUE)
+                                                     ELSE LIST(FALSE) END) AS blank
+                  FROM {{documents}}) AS a) AS b) AS d""",
     "strings": f"""
 SELECT doc_id AS file_id, CAST(0 AS BIGINT) AS pos, text AS s FROM {{documents}}
 UNION ALL
@@ -491,11 +492,12 @@ def inputs_of(sql: str) -> list[str]:
 
 def for_spark(sql: str) -> str:
     sql = re.sub(r"UTF8\((\w+)\)", r"encode(\1, 'UTF-8')", sql)
-    return sql.replace("ELEM(", "element_at(")
+    return sql.replace("ELEM(", "element_at(").replace("EACH(", "explode(").replace("LIST(", "array(")
 
 
 def for_duckdb(sql: str) -> str:
     sql = re.sub(r"UTF8\((\w+)\)", r"encode(\1)", sql)
+    sql = sql.replace("EACH(", "unnest(").replace("LIST(", "list_value(")
     return _INPUT.sub(r"\1", sql.replace("ELEM(", "list_extract("))
 
 
