@@ -1,5 +1,7 @@
 """Streaming forms give the results of the batch forms."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tracefold.plans.views import Tables
@@ -122,3 +124,27 @@ def test_null_beside_empty_content(spark, tmp_path):
     known = ingest.read_store(spark, str(tmp_path / "none"))
     assert rows(ingest.analyse_new(batch, known), "name", "status") == {
         ("a", "failed"), ("b", "failed"), ("c", "failed")}
+
+
+def test_a_batch_reads_its_buckets_only(spark, tmp_path):
+    out = str(tmp_path / "buckets")
+    make = lambda names: spark.createDataFrame(
+        [(f"/x/{n}", n, 4, bytearray(n.encode())) for n in names], "path string, name string, size bigint, content binary")
+    many = [f"f{i}" for i in range(60)]
+    ingest.ingest_batch(make(many), out, "s", 0)
+    known = ingest.known_rows(spark, out, [hashlib.sha256(b"f7").hexdigest()[:2]], "s", 1)
+    scanned = [f for f in known.inputFiles()]
+    plan = known.select("sha256")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0]
+    assert {r.bucket for r in known.collect()} == {hashlib.sha256(b"f7").hexdigest()[:2]} and scanned
+    # Files of other buckets may even be unreadable.
+    mine = {hashlib.sha256(n.encode()).hexdigest()[:2] for n in ("f7", "fresh")}
+    for path in (tmp_path / "buckets").rglob("*.parquet"):
+        if path.parent.name.removeprefix("bucket=") not in mine:
+            path.write_bytes(b"broken")
+            crc = path.with_name(f".{path.name}.crc")
+            if crc.exists():
+                crc.unlink()
+    assert set(ingest.ingest_batch(make(["f7", "fresh"]), out, "s", 1)) == mine
+    added = spark.read.parquet(f"{out}/stream=s/batch_id=1")
+    assert rows(added, "name") == {("fresh",)}

@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracefold import rules
 from tracefold.operators import evaluate, features, intel
 from tracefold.plans.catalog import query
 from tracefold.plans.views import literal
+from tracefold.session import ensure_checkpoint_dir
 from tracefold.sources import store
-from tracefold.streaming import events as progress
+from tracefold.streaming import events as progress, ingest
 
 # --- store -------------------------------------------------------------------------
 
 
-@query("store_analyses", """
-SELECT id, file_hash, file_name, verdict, risk_score FROM (
+def fresh_root(spark) -> str:
+    """A new folder beside the checkpoints, which all executors see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+
+
+def _reported(df):
+    """Analyses with texts that tell which row they belong to."""
+    mark = F.concat_ws("|", "id", "file_hash", "file_name", F.col("risk_score").cast("int"))
+    return df.withColumns({"full_results_json": F.to_json(F.struct("id", "verdict")),
+                           "report_markdown": F.concat(F.lit("# "), mark),
+                           "created_at": F.col("created_at").cast("timestamp")})
+
+
+STORED = """
+SELECT id, file_hash, file_name, verdict, risk_score,
+       '# ' || concat_ws('|', id, file_hash, file_name, CAST(risk_score AS INT)) AS report_markdown FROM (
   SELECT *, max(pos) OVER (PARTITION BY id) AS id_at, max(pos) OVER (PARTITION BY file_hash) AS hash_at
   FROM (SELECT *, row_number() OVER (ORDER BY late, created_at, id, risk_score, file_hash) AS pos FROM (
     SELECT *, 0 AS late FROM {analyses} UNION ALL SELECT *, 1 FROM {incoming}) u) v) w
-WHERE pos = id_at AND pos = hash_at""")
+WHERE pos = id_at AND pos = hash_at"""
+
+
+@query("store_analyses", STORED)
 def _(t):
     order = ["created_at", "id", "risk_score", "file_hash"]
-    return store.upsert_analyses(t("analyses"), t("incoming"), order).select(
-        "id", "file_hash", "file_name", "verdict", "risk_score")
+    root = fresh_root(t.spark)
+    store.store_analyses(_reported(t("analyses")), root, order, buckets=8)
+    store.store_analyses(_reported(t("incoming")), root, order)
+    return store.read_analyses(t.spark, root).select(
+        "id", "file_hash", "file_name", "verdict", "risk_score", "report_markdown")
 
 
 @query("store_iocs", """
-SELECT ioc_type, coalesce(threat_level, 5) AS threat_level, count(*) AS n FROM {iocs}
-GROUP BY ioc_type, coalesce(threat_level, 5)""")
+SELECT analysis_id, ioc_type, ioc_value, context, coalesce(threat_level, 5) AS threat_level FROM {iocs}""")
 def _(t):
-    return store.ioc_rows(t("iocs")).groupBy("ioc_type", "threat_level").agg(
-        F.count(F.lit(1)).alias("n"))
+    root = fresh_root(t.spark)
+    hot = F.coalesce(F.col("ioc_type") == "url", F.lit(False))
+    store.append_iocs(t("iocs").where(hot), root, "first")
+    store.append_iocs(t("iocs").where(~hot), root, "second")
+    store.append_iocs(t("iocs").where(~hot), root, "second")  # a repeated batch adds nothing
+    return store.read_iocs(t.spark, root).select("analysis_id", "ioc_type", "ioc_value", "context", "threat_level")
 
 
 @query("store_agent_results", """
@@ -39,10 +66,28 @@ SELECT id AS analysis_id, 'coordinator' AS agent_name,
        '{' || '"verdict":"' || verdict || '","file_name":"' || file_name || '"}' AS result_json
 FROM {analyses}""")
 def _(t):
-    rows = t("analyses").select(F.col("id").alias("analysis_id"),
-                                F.lit("coordinator").alias("agent_name"), "verdict", "file_name",
-                                "created_at")
-    return store.agent_rows(rows, ["verdict", "file_name"]).drop("created_at")
+    rows = t("analyses").select(F.col("id").alias("analysis_id"), F.lit("coordinator").alias("agent_name"),
+                                "verdict", "file_name", F.col("created_at").cast("timestamp").alias("created_at"))
+    root = fresh_root(t.spark)
+    for verdict in ("MALWARE", "BENIGN"):
+        store.append_agent_results(rows.where(F.col("verdict") == verdict), ["verdict", "file_name"], root, verdict)
+    return store.read_agent_results(t.spark, root).select("analysis_id", "agent_name", "result_json")
+
+
+@query("ingest_files", """
+SELECT o.sha256, o.path, f.name, f.size, CASE WHEN coalesce(f.size, 0) = 0 THEN 'failed' ELSE 'completed' END AS status
+FROM {firsts} o JOIN {uploads} f ON f.sha256 = o.sha256 AND f.path = o.path AND f.early = o.early
+WHERE o.early OR NOT EXISTS (SELECT 1 FROM {firsts} e WHERE e.early AND e.sha256 = o.sha256)""", {
+    "uploads": """
+SELECT sha256(content) AS sha256, path, name, size, path LIKE '/corpus/malware/%' AS early FROM {files}""",
+    "firsts": "SELECT sha256, early, min(path) AS path FROM {uploads} GROUP BY sha256, early"})
+def _(t):
+    root = fresh_root(t.spark)
+    early = F.col("path").startswith("/corpus/malware/")
+    ingest.ingest_batch(t("files").where(early), root, "uploads", 0, 1)
+    for _ in range(2):  # the second batch comes twice, as after a failure
+        ingest.ingest_batch(t("files").where(~early), root, "uploads", 1, 1)
+    return ingest.read_store(t.spark, root).select("sha256", "path", "name", "size", "status")
 
 
 @query("delete_analysis", """
