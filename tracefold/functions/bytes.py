@@ -49,6 +49,23 @@ def block_sums(content: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([one(v, w) for v, w in zip(content, size)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def byte_counts(content: pd.Series, start: pd.Series, stop: pd.Series) -> pd.Series:
+    """How often each of the 256 byte values occurs from ``start`` to ``stop``."""
+    def one(value, low, high):
+        return np.bincount(np.frombuffer(value, dtype=np.uint8)[low:high], minlength=256)
+    return pd.Series([one(v, a, b) for v, a, b in zip(content, start, stop)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def range_counts(content: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+    """:func:`byte_counts` of several ranges of one content."""
+    def one(value, lows, highs):
+        data = np.frombuffer(value, dtype=np.uint8)
+        return [np.bincount(data[low:high], minlength=256) for low, high in zip(lows, highs)]
+    return pd.Series([one(v, a, b) for v, a, b in zip(content, starts, stops)], dtype=object)
+
+
 def latin1(content: Column) -> Column:
     """One character per byte, so that text functions work on raw content."""
     return F.decode(content, "ISO-8859-1")

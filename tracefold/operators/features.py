@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracefold import rules
-from tracefold.functions.bytes import block_sums
 from tracefold.functions.hashing import bucket_columns, buckets_of, clean_api, name_ngrams
 from tracefold.functions.literals import first_match, let, lookup
+from tracefold.operators import content
+from tracefold.sources.chunks import chunked
 
 SCALE = 5.0
 
@@ -259,23 +260,8 @@ def node_features(nodes: DataFrame, edges: DataFrame, graph_facts: DataFrame) ->
 # --- bytes ------------------------------------------------------------------------------
 
 def byte_chunk_means(files: DataFrame) -> DataFrame:
-    """Means of all overlapping 512-byte windows, scaled to [0, 1]: (file, pos, mean) rows.
-
-    Each window is two neighbouring 256-byte blocks, so no window is read twice.
-    """
-    stride = rules.CHUNK_STRIDE
-    sums = files.select("file_id", F.coalesce(F.octet_length("content"), F.lit(0)).alias("_n"),
-                        block_sums(F.col("content"), F.lit(stride)).alias("_s"))
-    windows = F.ceil(F.col("_n") / stride).cast("int")
-
-    def mean(i: Column) -> Column:
-        total = F.element_at("_s", i) + F.coalesce(F.try_element_at("_s", i + 1), F.lit(0))
-        length = F.least(F.lit(rules.CHUNK_BYTES), F.col("_n") - (i - 1) * stride)
-        return total / length / 255.0
-
-    means = F.when(windows > 0, F.transform(F.sequence(F.lit(1), windows), mean)).otherwise(
-        F.array().cast("array<double>"))
-    return sums.select("file_id", F.posexplode(means).alias("pos", "mean"))
+    """Means of all overlapping 512-byte windows of a content table: (file_id, pos, mean) rows."""
+    return content.byte_chunk_means(chunked(files))
 
 
 def byteplot_geometry(files: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from tracefold.functions.bytes import (byte_entropy, entropy_class, hex_address,
                                        hex_padded)
 from tracefold.functions.literals import (contains_any, contains_any_bytes,
                                           first_match, lookup, present, raw)
+from tracefold.operators import content
 from tracefold.operators.ordering import number_rows
+from tracefold.sources.chunks import chunk_store, chunked
 
 
 def finding(condition: Column, kind: str, severity: str, detail: Column) -> Column:
@@ -282,28 +284,8 @@ def linker_anomalies(headers: DataFrame, compilers: DataFrame,
 # --- overlay, memory, resources -----------------------------------------------------
 
 def overlay(files: DataFrame, sections: DataFrame) -> DataFrame:
-    """Data after the last section: offset, size, entropy and embedded payloads."""
-    ends = sections.groupBy("file_id").agg(
-        F.max(F.col("raw_ptr") + F.col("raw_size")).alias("_end"))
-    end = F.greatest(F.coalesce("_end", F.lit(0)), F.lit(0))
-    size = F.octet_length("content")
-    tail = F.when(size - end > rules.OVERLAY_MIN,
-                  F.expr("substring(content, cast(overlay_offset + 1 as int))"))
-    data = F.col("_tail")
-    archive = first_match([(F.startswith(data, raw(p)), F.lit(k))
-                           for p, k in rules.OVERLAY_ARCHIVES], F.lit("none"))
-    embedded = (F.startswith(data, raw("4D5A"))
-                | F.contains(data, raw(rules.EMBEDDED_PE_MARK)))
-    found = data.isNotNull()
-    return (files.select("file_id", "content").join(ends, "file_id", "left")
-            .withColumn("overlay_offset", end)
-            .withColumn("_tail", tail)
-            .select("file_id", found.alias("has_overlay"),
-                    F.when(found, F.octet_length(data)).otherwise(0).alias("overlay_size"),
-                    F.when(found, F.col("overlay_offset")).otherwise(0).alias("overlay_offset"),
-                    F.round(byte_entropy(data), 4).alias("overlay_entropy"),
-                    F.coalesce(embedded, F.lit(False)).alias("embedded_pe"),
-                    F.when(found, archive).otherwise("none").alias("archive_detected")))
+    """Data after the last section; the content lies in buckets and the offsets come to it."""
+    return content.overlay(chunk_store(chunked(files)), sections)
 
 
 def memory_map(headers: DataFrame, sections: DataFrame) -> DataFrame:

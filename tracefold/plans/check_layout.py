@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracefold import rules
-from tracefold.operators import behavior, layout, text_rules
+from tracefold.operators import behavior, content, layout, text_rules
 from tracefold.plans.catalog import query
 from tracefold.plans.views import Tables, literal, values
+from tracefold.sources.chunks import chunk_store, chunked
 
 NOW = 1_600_000_000
 
@@ -276,6 +277,32 @@ def _(t):
     return layout.overlay(t("files"), t("overlay_sections"))
 
 
+#: Small enough that the documents of every size take several chunks.
+SMALL_CHUNK = 1024
+
+
+@query("chunk_entropy", """
+SELECT f.file_id, CAST(octet_length(content) AS BIGINT) AS bytes, coalesce(round(entropy, 4), 0) AS entropy
+FROM {files} f LEFT JOIN {e} ON f.file_id = e.file_id""", FILE_ENTROPY)
+def _(t):
+    found = content.content_entropy(chunked(t("files"), SMALL_CHUNK))
+    return found.withColumn("entropy", F.round("entropy", 4))
+
+
+@query("chunk_section_entropy", """
+SELECT s.file_id, s.seq, coalesce(round(entropy, 4), 0) AS entropy
+FROM {overlay_sections} s JOIN {files} f ON f.file_id = s.file_id
+LEFT JOIN {e} ON s.file_id = e.file_id AND s.seq = e.seq""", {
+    "cuts": """
+SELECT s.file_id, seq, unhex(substr(hex(content), CAST(2 * raw_ptr + 1 AS BIGINT), CAST(2 * raw_size AS BIGINT))) AS data
+FROM {overlay_sections} s JOIN {files} f ON f.file_id = s.file_id""",
+    "e": entropy_sql("{cuts}", "file_id, seq", "data")})
+def _(t):
+    chunks = chunk_store(chunked(t("files"), SMALL_CHUNK))
+    sections = t("overlay_sections").join(t("files").select("file_id"), "file_id", "left_semi")
+    return content.section_entropy(chunks, sections, SMALL_CHUNK)
+
+
 @query("memory_map", """
 SELECT s.file_id, seq, name, '0x' || lower(hex(image_base + va)) AS start,
        '0x' || lower(hex(image_base + va + virtual_size)) AS "end", virtual_size,
