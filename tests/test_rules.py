@@ -123,11 +123,37 @@ def test_script_offsets(spark):
 def test_script_calls(spark):
     rows = [(1, "js", "a(b (c))"), (2, "ps1", "Get-X; Set-Y; Get-X; Foo-Z"),
             (3, "bat", " call a\n@CALL b\nstart\nstart c\nxcmd d")]
-    got = {}
+    got, places = {}, {}
     for r in text_rules.script_calls(spark.createDataFrame(
             rows, "file_id int, lang string, code string")).orderBy("file_id", "pos").collect():
         got.setdefault(r["file_id"], []).append(r["call"])
+        places.setdefault(r["file_id"], []).append(r["address"])
     assert got == {1: ["a", "b"], 2: ["Get-X", "Set-Y"], 3: ["call a", "@CALL b", "start c"]}
+    assert places == {1: [0, 2], 2: [0, 7], 3: [1, 8, 22]}
+
+
+def test_offsets_of_a_long_script_are_linear(spark):
+    code = "function f(a) {}\n" * 40_000
+    df = spark.createDataFrame([(1, "js", code), (2, "js", None), (3, "js", ""), (4, "go", "function f() {}")],
+                               "file_id int, lang string, code string")
+    found = text_rules.script_function_offsets(df).where("func <> '__main__'")
+    row = found.groupBy("file_id").agg(F.count("*").alias("n"), F.max("address").alias("last")).collect()
+    assert [tuple(r) for r in row] == [(1, 40_000, 17 * 39_999)]
+    assert {r.file_id for r in text_rules.script_calls(df).collect()} == {1}
+
+
+def test_report_tables_in_pieces(spark, monkeypatch):
+    from functools import partial
+    monkeypatch.setattr(text_rules, "running_counts", partial(text_rules.running_counts, piece_rows=3))
+    one = "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\ntext\n|---|\n| x |\n\n" + "| r |\n" * 7
+    rows = [("k", one), ("k", "| z |"), ("n", None), ("m", "no | table")]
+    df = spark.createDataFrame(rows, "analysis_id string, report_markdown string").repartition(2)
+    got = sorted((r.table_id, r.row_pos, r.row_kind, r.cell_pos, r.cell.strip())
+                 for r in text_rules.report_tables(df).collect())
+    want = [(1, 0, "header", 0, "a"), (1, 0, "header", 1, "b"), (1, 1, "data", 0, "1"), (1, 1, "data", 1, "2"),
+            (1, 2, "data", 0, "3"), (1, 2, "data", 1, "4"), (2, 3, "data", 0, "x"), (3, 4, "header", 0, "r")]
+    want += [(3, i, "data", 0, "r") for i in range(5, 11)] + [(1, 0, "header", 0, "z")]
+    assert got == sorted(want)
 
 
 def test_verdict_spellings(spark):

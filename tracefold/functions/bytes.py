@@ -66,6 +66,17 @@ def range_counts(content: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.
     return pd.Series([one(v, a, b) for v, a, b in zip(content, starts, stops)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def running_starts(gaps: pd.Series, found: pd.Series) -> pd.Series:
+    """Where each found piece starts when gaps and pieces alternate, by their lengths."""
+    def one(before, sizes):
+        if sizes is None or before is None:
+            return None
+        before = np.asarray(before[:len(sizes)], dtype=np.int64)
+        return np.cumsum(before) + np.cumsum(sizes, dtype=np.int64) - np.asarray(sizes, dtype=np.int64)
+    return pd.Series([one(b, f) for b, f in zip(gaps, found)], dtype=object)
+
+
 def latin1(content: Column) -> Column:
     """One character per byte, so that text functions work on raw content."""
     return F.decode(content, "ISO-8859-1")

@@ -75,6 +75,24 @@ def fill_forward(df: DataFrame, keys: list[str], order: str, values: dict[str, C
                            F.col(f"_c_{n}")).alias(n) for n in cols]))
 
 
+def running_counts(df: DataFrame, keys: list[str], order: str, weights: dict[str, Column],
+                   piece_rows: int = 65536) -> DataFrame:
+    """Add, per weight, its sum over the earlier rows of the key.
+
+    Like :func:`fill_forward`: ``order`` is an integer position, unique in a key, whose fixed
+    ranges are the pieces, so nothing is written and one row per piece meets the others.
+    """
+    marked = df.select("*", *[c.cast("bigint").alias(f"_w_{n}") for n, c in weights.items()],
+                       F.floor(F.col(order) / piece_rows).alias("_piece"))
+    before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys, "_piece").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    pieces = (marked.groupBy(*keys, "_piece").agg(*[F.sum(f"_w_{n}").alias(f"_t_{n}") for n in weights])
+              .select(*keys, "_piece", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}")
+                                         for n in weights]))
+    return marked.join(pieces, keys + ["_piece"]).select(*df.columns, *[
+        (F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)) + F.col(f"_b_{n}")).alias(n) for n in weights])
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
     """First ``limit`` rows of each key.
 

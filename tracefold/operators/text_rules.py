@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracefold import rules
-from tracefold.functions.bytes import byte_entropy, latin1
-from tracefold.functions.literals import (contains_any, contains_any_bytes, first_match,
+from tracefold.functions.bytes import byte_entropy, latin1, running_starts
+from tracefold.functions.literals import (contains_any, contains_any_bytes, first_match, let,
                                           present, raw)
+from tracefold.operators.ordering import running_counts
+from tracefold.session import cut
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -164,27 +166,8 @@ def obfuscation_flags(scripts: DataFrame) -> DataFrame:
                           code.rlike(rules.RE_BASE64_RUN).alias("base64_detected"))
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
-    """Zero-based offsets of all matches of ``pattern``.
-
-    Splitting on the pattern gives the gaps, extracting gives the matches; the
-    lengths of both add up to the offsets.
-    """
-    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
-    found = F.transform(all_matches(text, pattern), lambda match: F.length(match))
-
-    def add_up(sizes: Column) -> Column:
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
-        return F.aggregate(
-            sizes, start,
-            lambda acc, e: F.struct(
-                (acc["end"] + e["gap"] + e["found"]).alias("end"),
-                F.array_append(acc["at"], acc["end"] + e["gap"]).alias("at")),
-            lambda acc: acc["at"])
-
-    # There is one gap more than matches; the pair without a match is left out.
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("found"))
-    return add_up(F.filter(pairs, lambda e: e["found"].isNotNull()))
+def sizes(parts: Column) -> Column:
+    return F.transform(parts, lambda part: F.length(part))
 
 
 def script_functions(scripts: DataFrame) -> DataFrame:
@@ -197,29 +180,57 @@ def script_functions(scripts: DataFrame) -> DataFrame:
         F.concat(F.array(F.lit("__main__")), names)).alias("pos", "func"))
 
 
+def by_language(patterns: dict[str, str], make, kind: str = "array<int>") -> Column:
+    """``make`` of the pattern of the row's language; an empty list for other languages."""
+    return first_match([(F.col("lang") == lang, make(pattern)) for lang, pattern in patterns.items()],
+                       F.array().cast(kind))
+
+
+def placed_matches(names: Column, gaps: Column, found: Column) -> Column:
+    """(name, address): matches with their character offsets, in time linear in the text.
+
+    Splitting on a pattern gives the gaps and extracting the matches; the lengths of both,
+    which the JVM finds, are added up in one pass.
+    """
+    return F.arrays_zip(names.alias("name"), running_starts(gaps, found).alias("address"))
+
+
 def script_function_offsets(scripts: DataFrame) -> DataFrame:
     """Character offset of every function (``__main__`` is at 0)."""
-    code, lang = F.col("code"), F.col("lang")
-    pairs = first_match([
-        (lang == k, F.arrays_zip(all_matches(code, p, 1).alias("func"),
-                                 match_offsets(code, p).alias("address")))
-        for k, p in rules.SCRIPT_FUNCTION_PATTERNS.items()],
-        F.array().cast("array<struct<func:string,address:int>>"))
-    main = F.array(F.struct(F.lit("__main__").alias("func"), F.lit(0).alias("address")))
-    return (scripts.select("file_id", F.posexplode(F.concat(main, pairs)).alias("pos", "_f"))
-            .select("file_id", "pos", "_f.func", "_f.address"))
+    code, patterns = F.col("code"), rules.SCRIPT_FUNCTION_PATTERNS
+    found = placed_matches(by_language(patterns, lambda p: all_matches(code, p, 1), "array<string>"),
+                           by_language(patterns, lambda p: sizes(F.split(code, p, -1))),
+                           by_language(patterns, lambda p: sizes(all_matches(code, p))))
+    main = F.array(F.struct(F.lit("__main__").alias("name"), F.lit(0).cast("bigint").alias("address")))
+    return (scripts.select("file_id", F.posexplode(F.concat(main, found)).alias("pos", "_f"))
+            .select("file_id", "pos", F.col("_f.name").alias("func"), "_f.address"))
 
 
 def script_calls(scripts: DataFrame) -> DataFrame:
-    """Call names of JavaScript, cmdlets of PowerShell, call lines of batch files."""
+    """Call names of JavaScript, distinct cmdlets of PowerShell, call lines of batch files.
+
+    ``address`` is the character offset of the call, of the first use of the cmdlet, or of the
+    first character of the line that is not blank.
+    """
     code, lang = F.col("code"), F.col("lang")
-    lines = F.transform(F.split(code, "\n"), trimmed)
-    calls = first_match([
-        (lang == "js", all_matches(code, rules.RE_JS_CALL, 1)),
-        (lang == "ps1", F.array_sort(F.array_distinct(all_matches(code, rules.RE_PS_CMDLET, 1)))),
-        (lang.isin("bat", "cmd"), F.filter(lines, lambda s: s.rlike(rules.RE_BATCH_CALL))),
-    ], F.array().cast("array<string>"))
-    return scripts.select("file_id", F.posexplode(calls).alias("pos", "call"))
+    patterns = {"js": rules.RE_JS_CALL, "ps1": rules.RE_PS_CMDLET}
+    batch, lines = lang.isin("bat", "cmd"), F.split(code, "\n", -1)
+    either = lambda of_lines, make, kind="array<int>": F.when(batch, of_lines).otherwise(
+        by_language(patterns, make, kind))
+    found = placed_matches(
+        either(lines, lambda p: all_matches(code, p, 1), "array<string>"),
+        either(F.transform(lines, lambda _: F.lit(0)), lambda p: sizes(F.split(code, p, -1))),
+        either(F.transform(lines, lambda line: F.length(line) + 1), lambda p: sizes(all_matches(code, p))))
+    called = F.filter(F.transform("found", lambda e: F.struct(
+        trimmed(e["name"]).alias("name"),
+        (e["address"] + F.position(trimmed(e["name"]), e["name"]) - 1).alias("address"))),
+        lambda e: e["name"].rlike(rules.RE_BATCH_CALL))
+    cmdlets = let(F.array_sort("found"), lambda placed: F.filter(
+        placed, lambda e, i: (i == 0) | (F.get(placed, i - 1)["name"] != e["name"])))
+    calls = F.when(batch, called).when(lang == "ps1", cmdlets).otherwise(F.col("found"))
+    return (scripts.select("file_id", "lang", found.alias("found"))
+            .select("file_id", F.posexplode(calls).alias("pos", "_f"))
+            .select("file_id", "pos", F.col("_f.name").alias("call"), "_f.address"))
 
 
 def script_imports(scripts: DataFrame) -> DataFrame:
@@ -355,33 +366,26 @@ def verdict_parse(reports: DataFrame) -> DataFrame:
 def report_tables(reports: DataFrame) -> DataFrame:
     """Cells of the tables in a report, with header and data rows told apart.
 
-    The table number and row kind are folded over the lines of one report, so
-    reports stay whole and nothing is shuffled.  Lines holding ``---`` are
-    dividers; a table that starts with one has no header.
+    A table is a stretch of lines that begin with a pipe; lines holding ``---`` are dividers, and
+    a table that starts with one has no header.  Only lines of tables go on, one row each; tables
+    and rows are numbered by running counts in two levels, so a long report is no single fold.
     """
-    lines = F.split("report_markdown", "\n")
-    row = "struct<table_id:int,row_kind:string,cells:array<string>>"
-
-    def fold(acc: Column, line: Column) -> Column:
-        piped = F.startswith(trimmed(line), F.lit("|"))
-        divider = F.contains(line, F.lit("---"))
-        table = acc["table"] + F.when(acc["inside"], 0).otherwise(1)
-        parts = F.split(line, r"\|", -1)
-        cells = F.when(F.size(parts) > 2, F.slice(parts, F.lit(2), F.size(parts) - 2)) \
-            .otherwise(F.array().cast("array<string>"))
-        entry = F.struct(table.alias("table_id"),
-                         F.when(acc["inside"], "data").otherwise("header").alias("row_kind"),
-                         cells.alias("cells"))
-        return F.struct(
-            F.when(piped, table).otherwise(acc["table"]).alias("table"),
-            piped.alias("inside"),
-            F.when(piped & ~divider, F.array_append(acc["rows"], entry))
-            .otherwise(acc["rows"]).alias("rows"))
-
-    start = F.struct(F.lit(0).alias("table"), F.lit(False).alias("inside"),
-                     F.array().cast(f"array<{row}>").alias("rows"))
-    rows = F.aggregate(lines, start, fold, lambda acc: acc["rows"])
-    return (reports.where(F.contains("report_markdown", F.lit("|")))
-            .select("analysis_id", F.posexplode(rows).alias("row_pos", "_r"))
-            .select("analysis_id", "row_pos", "_r.table_id", "_r.row_kind",
-                    F.posexplode("_r.cells").alias("cell_pos", "cell")))
+    piped = lambda line: F.startswith(trimmed(line), F.lit("|"))
+    lines = (reports.where(F.contains("report_markdown", F.lit("|")))
+             .select(F.monotonically_increasing_id().alias("report"), "analysis_id",
+                     F.split("report_markdown", "\n").alias("lines"))
+             .select("report", "analysis_id", F.posexplode(F.arrays_zip(
+                 F.col("lines").alias("line"),
+                 F.concat(F.array(F.lit("")), F.col("lines")).alias("before"))).alias("i", "l"))
+             .select("report", "analysis_id", "i", "l.line", piped(F.col("l.before")).alias("inside"))
+             .where(F.col("line").isNotNull() & piped(F.col("line"))))
+    shown = ~F.contains("line", F.lit("---"))
+    rows = running_counts(cut(lines), ["report"], "i", {"row_pos": shown, "opened": ~F.col("inside")}).where(shown)
+    parts = F.split("line", r"\|", -1)
+    cells = F.when(F.size(parts) > 2, F.slice(parts, F.lit(2), F.size(parts) - 2)).otherwise(
+        F.array().cast("array<string>"))
+    return rows.select(
+        "analysis_id", F.col("row_pos").cast("int").alias("row_pos"),
+        (F.col("opened") + F.when(F.col("inside"), 0).otherwise(1)).cast("int").alias("table_id"),
+        F.when(F.col("inside"), "data").otherwise("header").alias("row_kind"),
+        F.posexplode(cells).alias("cell_pos", "cell"))

@@ -173,12 +173,44 @@ def _(t):
     return text_rules.script_functions(t("scripts"))
 
 
-@query("script_function_offsets")
+def placed_sql(pattern: str) -> str:
+    """Matches of a pattern as {n, a}: first group and character offset."""
+    gaps = f"list_transform(string_split_regex(code, {pattern}), lambda x: length(x))"
+    found = f"list_transform(regexp_extract_all(code, {pattern}), lambda x: length(x))"
+    return (f"list_transform(range(len({found})), lambda i: {{'n': regexp_extract_all(code, {pattern}, 1)[i + 1], "
+            f"'a': CAST(list_sum({gaps}[1:i + 1]) + coalesce(list_sum({found}[1:i]), 0) AS BIGINT)}})")
+
+
+FUNCTION_PLACES = "CASE lang " + " ".join(
+    f"WHEN {literal(k)} THEN {placed_sql(re2(p))}" for k, p in rules.SCRIPT_FUNCTION_PATTERNS.items()) + " END"
+
+
+@query("script_function_offsets", f"""
+SELECT file_id, pos, f.n AS func, f.a AS address FROM (
+  SELECT file_id, unnest(list_concat([{{'n': '__main__', 'a': CAST(0 AS BIGINT)}}], places)) AS f,
+         CAST(unnest(range(len(places) + 1)) AS INT) AS pos
+  FROM (SELECT file_id, coalesce({FUNCTION_PLACES}, []) AS places FROM {{scripts}}) x) y""")
 def _(t):
     return text_rules.script_function_offsets(t("scripts"))
 
 
-@query("script_calls")
+@query("script_calls", f"""
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY a, n) - 1 AS INT) AS pos, n AS call, a AS address
+FROM (SELECT file_id, unnest(p).n AS n, unnest(p).a AS a FROM (
+  SELECT file_id, {placed_sql(re2(rules.RE_JS_CALL))} AS p FROM {{scripts}} WHERE lang = 'js') x) js
+UNION ALL
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY n) - 1 AS INT), n, min(a)
+FROM (SELECT file_id, unnest(p).n AS n, unnest(p).a AS a FROM (
+  SELECT file_id, {placed_sql(re2(rules.RE_PS_CMDLET))} AS p FROM {{scripts}} WHERE lang = 'ps1') x) ps GROUP BY file_id, n
+UNION ALL
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY i) - 1 AS INT), call,
+       CAST(before + length(line) - length(ltrim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS BIGINT)
+FROM (SELECT file_id, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS call,
+             coalesce(sum(length(line) + 1) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING
+                                                  AND 1 PRECEDING), 0) AS before
+      FROM (SELECT file_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (
+        SELECT file_id, string_split(code, chr(10)) AS l FROM {{scripts}} WHERE lang IN ('bat', 'cmd')) a) b) c
+WHERE regexp_matches(call, {re2(rules.RE_BATCH_CALL)})""")
 def _(t):
     return text_rules.script_calls(t("scripts"))
 
