@@ -254,3 +254,22 @@ def test_orphan_indicators_vanish_from_search(spark):
     analyses = spark.createDataFrame([("a", "f", "BENIGN", 1.0)],
                                      "id string, file_name string, verdict string, risk_score double")
     assert [r["id"] for r in intel.search_ioc(iocs, analyses, "v").collect()] == ["a"]
+
+
+def test_a_round_shuffles_the_frontier_only(spark):
+    from tracefold.session import cut_bucketed, without
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = spark.range(2000).selectExpr("id % 3 AS graph_id", "id")
+        links = cut_bucketed(ids.selectExpr("graph_id", "id", "(id * 7) % 2000 AS next"), graph.NODE)
+        frontier = cut_bucketed(ids.where("id < 900"), graph.NODE)
+        step = without(graph.reached_next(links, frontier), [frontier, cut_bucketed(ids.where("id > 1500"), graph.NODE)],
+                       graph.NODE)
+        plan = step._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 4
+    assert {tuple(r) for r in step.collect()} == {
+        (i % 3, i * 7 % 2000) for i in range(900)
+        if not (i * 7 % 2000 < 900 and i * 7 % 2000 % 3 == i % 3) and not (i * 7 % 2000 > 1500 and i * 7 % 2000 % 3 == i % 3)}

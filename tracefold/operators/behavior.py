@@ -12,7 +12,7 @@ from tracefold.functions.bytes import (hex_address, little_endian_signed,
                                        opcode_positions)
 from tracefold.functions.literals import lookup, present
 from tracefold.operators.layout import explode_findings, finding
-from tracefold.operators.ordering import fill_forward
+from tracefold.operators.ordering import fill_forward, ordered_md5
 from tracefold.session import cut
 
 
@@ -77,10 +77,8 @@ def imphash(imports: DataFrame) -> DataFrame:
     """MD5 of the ordered, comma-joined ``dll.func`` list of each file."""
     base = F.regexp_replace(F.lower("dll"), r"\.(dll|ocx|sys)$", "")
     func = F.coalesce(F.lower("func"), F.concat(F.lit("ord"), F.col("ordinal").cast("string")))
-    item = F.struct("seq", F.concat(base, F.lit("."), func).alias("item"))
-    ordered = F.transform(F.array_sort(F.collect_list(item)), lambda e: e["item"])
-    return (imports.where(~F.col("delayed")).groupBy("file_id")
-            .agg(F.md5(F.array_join(ordered, ",").cast("binary")).alias("imphash")))
+    return ordered_md5(imports.where(~F.col("delayed")), "file_id", "seq",
+                       F.concat(base, F.lit("."), func), ",", "imphash")
 
 
 def suspicious_exports(exports: DataFrame) -> DataFrame:

@@ -6,55 +6,65 @@ Traversals work on all graphs and sources at once, one join per round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracefold import rules
 from tracefold.functions.literals import first_match
-from tracefold.operators.ordering import number_rows, running_total
+from tracefold.operators.ordering import number_rows, running_total, text_pieces
 from tracefold.operators.reaching import reaching_definitions  # noqa: F401
-from tracefold.session import cut, cut_counted
+from tracefold.session import cut, cut_bucketed, without
 
 KEEP_PIECES = 8           # visited tables are compacted after this many rounds
 
 
 # --- building --------------------------------------------------------------------------
 
-def build_nodes(functions: DataFrame, blocks: DataFrame, instructions: DataFrame) -> DataFrame:
-    """METHOD and BLOCK nodes with dense ids per graph.
-
-    A function comes before its blocks; external functions have no blocks.
-    """
-    key = ["graph_id", "func", "block_id"]
-    by_type = instructions.groupBy(*key, "inst_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.collect_list(F.when(F.coalesce("raw_text", F.lit("")) != "",
-                              F.struct("idx", "raw_text"))).alias("texts"))
-    facts = by_type.groupBy(*key).agg(
-        F.sum("n").alias("num_instructions"),
-        F.map_from_entries(F.collect_list(F.struct("inst_type", "n"))).alias("inst_counts"),
-        F.array_sort(F.flatten(F.collect_list("texts"))).alias("texts"))
+def node_rows(functions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """METHOD and BLOCK rows with their order in the graph; external functions have no blocks."""
     methods = functions.select(
         "graph_id", "func", "func_seq", F.lit(None).cast("bigint").alias("block_id"),
         F.lit(-1).cast("bigint").alias("block_seq"), F.lit("METHOD").alias("type"),
         F.col("func").alias("name"),
         F.when(F.coalesce("signature", F.lit("")) != "", F.col("signature"))
         .otherwise(F.col("func")).alias("code"),
-        F.col("address").alias("line"), "is_external",
-        F.lit(0).cast("bigint").alias("num_instructions"),
-        F.lit(None).cast("map<string,bigint>").alias("inst_counts"))
+        F.col("address").alias("line"), "is_external")
     own = functions.where(~F.col("is_external")).select("graph_id", "func", "func_seq")
-    bodies = (blocks.join(own, ["graph_id", "func"]).join(facts, key, "left")
-              .select("graph_id", "func", "func_seq", "block_id", "block_seq",
-                      F.lit("BLOCK").alias("type"),
-                      F.concat(F.lit("block_"), F.col("block_id").cast("string")).alias("name"),
-                      F.coalesce(F.array_join(F.transform("texts", lambda e: e["raw_text"]),
-                                              "\n"), F.lit("")).alias("code"),
-                      F.col("start").alias("line"), F.lit(False).alias("is_external"),
-                      F.coalesce("num_instructions", F.lit(0)).alias("num_instructions"),
-                      "inst_counts"))
-    ordered = number_rows(methods.unionByName(bodies), ["func_seq", "block_seq"],
-                          ["graph_id"], "id")
-    return ordered.drop("func_seq", "block_seq")
+    return methods.unionByName(blocks.join(own, ["graph_id", "func"]).select(
+        "graph_id", "func", "func_seq", "block_id", "block_seq", F.lit("BLOCK").alias("type"),
+        F.concat(F.lit("block_"), F.col("block_id").cast("string")).alias("name"),
+        F.lit("").alias("code"), F.col("start").alias("line"), F.lit(False).alias("is_external")))
+
+
+def number_nodes(rows: DataFrame) -> DataFrame:
+    """Dense ids per graph; a function comes before its blocks."""
+    return number_rows(rows, ["func_seq", "block_seq"], ["graph_id"], "id").drop("func_seq", "block_seq")
+
+
+def node_ids(functions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(graph_id, func, block_id, type, id) of every node: all that edges need."""
+    return number_nodes(node_rows(functions, blocks).select(
+        "graph_id", "func", "block_id", "type", "func_seq", "block_seq"))
+
+
+def build_nodes(functions: DataFrame, blocks: DataFrame, instructions: DataFrame) -> DataFrame:
+    """METHOD and BLOCK nodes with their facts; the texts of blocks are in :func:`block_code`."""
+    key = ["graph_id", "func", "block_id"]
+    facts = (instructions.groupBy(*key, "inst_type").agg(F.count(F.lit(1)).alias("n")).groupBy(*key)
+             .agg(F.sum("n").alias("num_instructions"),  # a few instruction types per block
+                  F.map_from_entries(F.collect_list(F.struct("inst_type", "n"))).alias("inst_counts")))
+    return (number_nodes(node_rows(functions, blocks)).join(facts, key, "left")
+            .withColumn("num_instructions", F.coalesce("num_instructions", F.lit(0))))
+
+
+def block_code(nodes: DataFrame, instructions: DataFrame, rows: int = 1024) -> DataFrame:
+    """(graph_id, id, piece, code): instruction texts of every block in ordered pieces of lines."""
+    text = F.when(F.coalesce("raw_text", F.lit("")) != "", F.col("raw_text"))
+    key = ["graph_id", "func", "block_id"]
+    pieces = text_pieces(instructions, key, "idx", text, "\n", rows)
+    return nodes.where("type = 'BLOCK'").select(*key, "id").join(pieces, key).select(
+        "graph_id", "id", "piece", F.col("text").alias("code"))
 
 
 def explode_successors(blocks: DataFrame) -> DataFrame:
@@ -95,7 +105,7 @@ def call_edges(functions: DataFrame, listed: DataFrame, instructions: DataFrame,
     operand name, else the operand value, the whole text and its words; every
     match is an equi-join on the name.
     """
-    method = nodes.where(F.col("type") == "METHOD").select("graph_id", "name", "id")
+    method = nodes.where(F.col("type") == "METHOD").select("graph_id", F.col("func").alias("name"), "id")
     block = nodes.where(F.col("type") == "BLOCK").select(
         "graph_id", "func", "block_id", F.col("id").alias("src"))
     target = lambda name: method.select("graph_id", F.col("name").alias(name),
@@ -269,8 +279,8 @@ def bfs_reach(edges: DataFrame, sources: DataFrame, etype: str | None = None,
               directed: bool = True, max_rounds: int | None = None) -> DataFrame:
     """Nodes reachable from the sources with their distance.
 
-    All graphs advance together; the loop ends with an empty frontier.  Each
-    round joins the frontier to the edges and removes visited nodes.
+    All graphs advance together; the loop ends with an empty frontier.  Edges and visited
+    nodes lie in buckets by node, so a round shuffles the frontier and nothing else.
     """
     if etype:
         edges = edges.where(F.col("etype") == etype)
@@ -278,21 +288,29 @@ def bfs_reach(edges: DataFrame, sources: DataFrame, etype: str | None = None,
     if not directed:
         links = links.unionByName(edges.select(
             "graph_id", F.col("dst").alias("id"), F.col("src").alias("next")))
-    links = cut(links)  # read in every round
-    frontier, rows = cut_counted(sources.select("graph_id", "id").distinct()
-                                 .withColumn("distance", F.lit(0)))
-    reached, distance = frontier, 0
+    links = cut_bucketed(links, NODE)
+    frontier = cut_bucketed(sources.select(*NODE).distinct().withColumn("distance", F.lit(0)), NODE)
+    pieces, older, distance, rows = [frontier], [], 0, frontier.count()
     while rows and (max_rounds is None or distance < max_rounds):
         distance += 1
-        step = (links.join(frontier, ["graph_id", "id"], "left_semi")
-                .select("graph_id", F.col("next").alias("id")).distinct())
-        frontier, rows = cut_counted(step.join(reached, ["graph_id", "id"], "left_anti")
-                                     .withColumn("distance", F.lit(distance)))
+        step = reached_next(links, frontier)
+        frontier = cut_bucketed(without(step, [*older, *pieces], NODE).withColumn("distance", F.lit(distance)), NODE)
+        rows = frontier.count()
         if rows:
-            reached = reached.unionByName(frontier)
-            if distance % KEEP_PIECES == 0:
-                reached = cut(reached)
-    return reached
+            pieces.append(frontier)
+        if len(pieces) >= KEEP_PIECES:
+            older, pieces = [cut_bucketed(reduce(DataFrame.unionByName, [*older, *pieces]), NODE)], []
+    return reduce(DataFrame.unionByName, [*older, *pieces])
+
+
+NODE = ["graph_id", "id"]
+
+
+def reached_next(links: DataFrame, frontier: DataFrame, *carried: Column) -> DataFrame:
+    """Distinct ends of the links of a frontier, or the least ``carried`` values per end."""
+    found = links.join(frontier.hint("merge"), NODE)
+    ends = found.groupBy("graph_id", F.col("next").alias("id"))
+    return ends.agg(*carried) if carried else ends.agg(F.lit(1).alias("_one")).drop("_one")
 
 
 def instruction_to_block(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -300,33 +318,30 @@ def instruction_to_block(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Blocks hold themselves, then AST children of blocks, then neighbours over all
     edges in both directions until nothing is added.  On ties the smallest block
-    wins; the order of edges plays no role.
+    wins; the order of edges plays no role.  Buckets as in :func:`bfs_reach`.
     """
-    key = ["graph_id", "id"]
-    edges = cut(edges.select("graph_id", "src", "dst", "etype"))  # read in every round
-    frontier = nodes.where(F.col("type") == "BLOCK").select("graph_id", "id",
-                                                            F.col("id").alias("block"))
-    links = edges.select("graph_id", F.col("src").alias("id"), F.col("dst").alias("next"))
-    both = links.unionByName(edges.select("graph_id", F.col("dst").alias("id"),
-                                          F.col("src").alias("next")))
-    children = edges.where(F.col("etype") == rules.EDGE_AST).select(
-        "graph_id", F.col("src").alias("id"), F.col("dst").alias("next"))
-
-    def step(over: DataFrame, start: DataFrame, placed: DataFrame) -> tuple[DataFrame, int]:
-        found = (over.join(start, key).groupBy("graph_id", F.col("next").alias("id"))
-                 .agg(F.min("block").alias("block")))
-        return cut_counted(found.join(placed, key, "left_anti"))
-
-    new, _ = step(children, frontier, frontier)
-    placed = frontier.unionByName(new)
-    frontier, rows, rounds = placed, 1, 0  # the first full round starts from all placed nodes
+    frontier = cut_bucketed(nodes.where(F.col("type") == "BLOCK").select(
+        "graph_id", "id", F.col("id").alias("block")), NODE)
+    ends = lambda a, b, kept: kept.select("graph_id", F.col(a).alias("id"), F.col(b).alias("next"))
+    children = ends("src", "dst", edges.where(F.col("etype") == rules.EDGE_AST))
+    links = cut_bucketed(ends("src", "dst", edges).unionByName(ends("dst", "src", edges)), NODE)
+
+    def step(over: DataFrame, start: DataFrame, placed: list[DataFrame]) -> DataFrame:
+        found = reached_next(over, start, F.min("block").alias("block"))
+        return cut_bucketed(without(found, placed, NODE), NODE)
+
+    pieces = [frontier, step(children, frontier, [frontier])]
+    # The first full round starts from all placed nodes.
+    frontier = reduce(DataFrame.unionByName, pieces)
+    rows = 1
     while rows:
-        rounds += 1
-        frontier, rows = step(both, frontier, placed)
-        placed = placed.unionByName(frontier)
-        if rounds % KEEP_PIECES == 0:
-            placed = cut(placed)
-    return placed
+        frontier = step(links, frontier, pieces)
+        rows = frontier.count()
+        if rows:
+            pieces.append(frontier)
+        if len(pieces) > KEEP_PIECES:
+            pieces = [cut_bucketed(reduce(DataFrame.unionByName, pieces), NODE)]
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def collapse_to_blocks(nodes: DataFrame, edges: DataFrame, placed: DataFrame,

@@ -8,6 +8,10 @@ part in the group-wide window.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracefold.session import cut
@@ -93,6 +97,51 @@ def running_counts(df: DataFrame, keys: list[str], order: str, weights: dict[str
         (F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)) + F.col(f"_b_{n}")).alias(n) for n in weights])
 
 
+def text_pieces(df: DataFrame, keys: list[str], order: str, text: Column, separator: str,
+                rows: int = 1024) -> DataFrame:
+    """Ordered text of each key in pieces of at most ``rows`` positions: (keys, piece, text).
+
+    ``order`` is an integer position, unique in a key.  The text of a key is its pieces in order,
+    joined by the separator; missing texts are left out.
+    """
+    entry = F.struct(F.col(order).alias("at"), text.alias("text"))
+    return (df.where(text.isNotNull()).groupBy(*keys, F.floor(F.col(order) / rows).alias("piece"))
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), separator)
+                 .alias("text")))
+
+
+def ordered_md5(df: DataFrame, key: str, order: str, text: Column, separator: str, name: str) -> DataFrame:
+    """MD5 of the texts of each key in order: rows come sorted and are hashed as they come.
+
+    One key is one task's stream, as a digest has to be, but never a list in memory.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, schema = None, None, None
+        for batch in batches:
+            schema = batch.schema.field(key).type
+            done = []
+            for value, piece in zip(batch.column(key).to_pylist(), batch.column("_text").to_pylist()):
+                if state is None or value != at:
+                    if state is not None:
+                        done.append((at, state.hexdigest()))
+                    at, state, first = value, hashlib.md5(), True
+                if piece is not None:
+                    state.update(("" if first else separator).encode() + piece.encode())
+                    first = False
+            yield rows_of(done, schema)
+        if state is not None:
+            yield rows_of([(at, state.hexdigest())], schema)
+
+    def rows_of(done: list[tuple], schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v for v, _ in done], schema), pa.array([d for _, d in done], pa.string())], names=[key, name])
+
+    return (df.select(key, order, text.alias("_text")).repartition(key).sortWithinPartitions(key, order)
+            .select(key, "_text").mapInArrow(run, f"{key} {kind}, {name} string"))
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
     """First ``limit`` rows of each key.
 

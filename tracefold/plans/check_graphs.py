@@ -8,6 +8,7 @@ from tracefold import rules
 from tracefold.operators import features, graph, lineage
 from tracefold.plans.catalog import query
 from tracefold.plans.views import literal, values
+from tracefold.session import cut
 from tracefold.sources import graphs as graph_io
 
 # --- building --------------------------------------------------------------------------
@@ -29,11 +30,12 @@ BUILT = {"nd": NODE_ROWS}
 
 
 def _nodes(t):
-    return graph.build_nodes(t("functions"), t("blocks"), t("block_instructions"))
+    return cut(graph.node_ids(t("functions"), t("blocks")))
 
 
 @query("build_nodes", """
-SELECT nd.graph_id, id, type, name, code, line, is_external, n AS num_instructions, coalesce(c, '') AS counts
+SELECT nd.graph_id, id, type, name, CASE WHEN type = 'METHOD' THEN code ELSE '' END AS code, line, is_external,
+       n AS num_instructions, coalesce(c, '') AS counts
 FROM {nd} LEFT JOIN (SELECT graph_id, func, block_id, string_agg(k, ',' ORDER BY k) AS c FROM (
     SELECT graph_id, func, block_id, inst_type || '=' || count(*) AS k FROM {block_instructions}
     GROUP BY graph_id, func, block_id, inst_type) y GROUP BY graph_id, func, block_id) z
@@ -41,11 +43,20 @@ FROM {nd} LEFT JOIN (SELECT graph_id, func, block_id, string_agg(k, ',' ORDER BY
 def _(t):
     pairs = F.transform(F.array_sort(F.map_entries("inst_counts")), lambda e: F.concat(
         e["key"], F.lit("="), e["value"].cast("string")))
-    return _nodes(t).select(
+    nodes = graph.build_nodes(t("functions"), t("blocks"), t("block_instructions"))
+    return nodes.select(
         "graph_id", "id", "type", "name", "code", "line", "is_external", "num_instructions",
         F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("counts"))
 
 
+@query("block_code", """
+SELECT nd.graph_id, nd.id, idx // 2 AS piece, string_agg(raw_text, chr(10) ORDER BY idx) AS code
+FROM {nd} JOIN {block_instructions} i ON i.graph_id = nd.graph_id AND i.func = nd.func AND i.block_id = nd.block_id
+WHERE coalesce(raw_text, '') <> '' AND type = 'BLOCK' GROUP BY nd.graph_id, nd.id, idx // 2""", BUILT)
+def _(t):
+    return graph.block_code(_nodes(t), t("block_instructions"), 2)
+
+
 @query("cfg_edges", """
 SELECT s.graph_id, m.id AS src, b.id AS dst, 'FLOWS_TO' AS etype
 FROM (SELECT bl.graph_id, bl.func, coalesce(max(bl.block_id) FILTER (WHERE bl.block_id = f.entry_block_id),

@@ -108,19 +108,28 @@ def _(t):
 
 # --- verdicts and indicators -----------------------------------------------------------
 
-@query("aggregate_verdict", f"""
+@query("aggregate_verdict", """
 SELECT a.id AS analysis_id, CASE WHEN bad THEN 'MALWARE' ELSE 'BENIGN' END AS verdict,
-       coalesce(risk, 0) AS risk_score, coalesce(conf, 100) AS confidence,
+       coalesce(risk, 0) AS risk_score, coalesce(conf, 100) AS confidence
+FROM {analyses} a LEFT JOIN (
+  SELECT analysis_id, bool_or(verdict = 'MALWARE') AS bad, max(risk_score) AS risk, max(confidence) AS conf
+  FROM {parts} GROUP BY analysis_id) p ON a.id = p.analysis_id""")
+def _(t):
+    analyses = t("analyses").select(F.col("id").alias("analysis_id"))
+    return intel.aggregate_verdict(analyses, t("parts"))
+
+
+@query("verdict_reports", f"""
+SELECT a.id AS analysis_id, coalesce(scripts, FALSE) AS scripts, CAST(coalesce(piece, 0) AS BIGINT) AS piece,
        coalesce(rep, {literal(rules.EMPTY_REPORT)}) AS report_markdown
 FROM {{analyses}} a LEFT JOIN (
-  SELECT analysis_id, bool_or(verdict = 'MALWARE') AS bad, max(risk_score) AS risk,
-         max(confidence) AS conf, string_agg(chr(10) || chr(10) || '# ' || CASE kind WHEN 'pe' THEN 'PE'
-         ELSE 'Script' END || ' Analysis: ' || file_name || chr(10) || report_markdown, ''
-         ORDER BY kind, part_seq) AS rep
-  FROM {{parts}} GROUP BY analysis_id) p ON a.id = p.analysis_id""")
+  SELECT analysis_id, kind <> 'pe' AS scripts, part_seq // 2 AS piece,
+         string_agg(chr(10) || chr(10) || '# ' || CASE kind WHEN 'pe' THEN 'PE'
+         ELSE 'Script' END || ' Analysis: ' || file_name || chr(10) || report_markdown, '' ORDER BY part_seq) AS rep
+  FROM {{parts}} GROUP BY ALL) p ON a.id = p.analysis_id""")
 def _(t):
     analyses = t("analyses").select(F.col("id").alias("analysis_id"))
-    return intel.aggregate_verdict(analyses, t("parts"))
+    return intel.verdict_reports(analyses, t("parts"), 2)
 
 
 @query("get_by_id", "SELECT id, file_hash, verdict FROM {analyses} WHERE id = 'a77'")
