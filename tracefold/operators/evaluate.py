@@ -44,13 +44,14 @@ def class_weights(samples: DataFrame) -> DataFrame:
         F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))).alias("weight"))
 
 
-def mc_aggregate(predictions: DataFrame) -> DataFrame:
-    """Class, confidence and sample variance over repeated passes."""
-    per_class = predictions.groupBy("sample_id", "class").agg(
+def mc_aggregate(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Class, confidence and sample variance over repeated passes, per sample or other keys."""
+    keys = keys or ["sample_id"]
+    per_class = predictions.groupBy(*keys, "class").agg(
         F.avg("prob").alias("mean"), F.var_samp("prob").alias("var"))
     best = F.max_by(F.struct("class", "mean", "var"), F.struct("mean", -F.col("class")))
-    return per_class.groupBy("sample_id").agg(best.alias("_b")).select(
-        "sample_id", F.col("_b.class").alias("prediction"),
+    return per_class.groupBy(*keys).agg(best.alias("_b")).select(
+        *keys, F.col("_b.class").alias("prediction"),
         F.col("_b.mean").alias("confidence"), F.col("_b.var").alias("variance"))
 
 

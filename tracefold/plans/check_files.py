@@ -201,6 +201,16 @@ def _(t):
         "container_id", "member_seq", "safe_path")
 
 
+@query("safe_disk_path", """
+SELECT entry_id, CASE WHEN contains(folder, '..') OR contains(base, '..') THEN NULL
+                      WHEN folder IN ('', '.') THEN base ELSE regexp_replace(folder, '/+$', '') || '/' || base END AS safe_path
+FROM (SELECT entry_id, replace(ltrim(directory, '/' || chr(92)), chr(92), '/') AS folder,
+             string_split(replace(name, chr(92), '/'), '/')[-1] AS base FROM {disk_entries}) x""")
+def _(t):
+    return t("disk_entries").select(
+        "entry_id", identity.safe_disk_path(F.col("directory"), F.col("name")).alias("safe_path"))
+
+
 @query("safe_file_name", r"""
 SELECT page_id, coalesce(nullif(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ''),
        'unnamed') AS safe, regexp_replace(url, '[^\pL\pN._-]', '', 'g') AS upload FROM {pages}""")

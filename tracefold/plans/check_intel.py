@@ -295,13 +295,13 @@ def _(t):
 
 
 @query("mc_aggregate", """
-SELECT sample_id, class AS prediction, round(m, 6) AS confidence, round(v, 6) AS variance FROM (
-  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY m DESC, class) AS rn FROM (
-    SELECT sample_id, class, avg(prob) AS m, var_samp(prob) AS v FROM {predictions}
-    WHERE model_id = 0 GROUP BY sample_id, class) a) b WHERE rn = 1""")
+SELECT model_id, sample_id, class AS prediction, round(m, 6) AS confidence, round(v, 6) AS variance FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_id, sample_id ORDER BY m DESC, class) AS rn FROM (
+    SELECT model_id, sample_id, class, avg(prob) AS m, var_samp(prob) AS v FROM {predictions}
+    GROUP BY model_id, sample_id, class) a) b WHERE rn = 1""")
 def _(t):
-    out = evaluate.mc_aggregate(t("predictions").where("model_id = 0"))
-    return out.select("sample_id", "prediction", F.round("confidence", 6).alias("confidence"),
+    out = evaluate.mc_aggregate(t("predictions"), ["model_id", "sample_id"])
+    return out.select("model_id", "sample_id", "prediction", F.round("confidence", 6).alias("confidence"),
                       F.round("variance", 6).alias("variance"))
 
 
@@ -476,7 +476,7 @@ SELECT coalesce(s.analysis_id, a.id) AS analysis_id, coalesce(s.status, 'complet
        coalesce(s.progress, 1) AS progress, coalesce(file_name, '') AS file_name
 FROM (SELECT analysis_id, {_last(STATUS)} AS status, {_last(PROGRESS)} AS progress
       FROM {{analysis_events}} GROUP BY analysis_id) s
-FULL JOIN (SELECT * FROM {{analyses}} WHERE verdict = 'MALWARE') a ON s.analysis_id = a.id""")
+FULL JOIN {{analyses}} a ON s.analysis_id = a.id""")
 def _(t):
     state = progress.analysis_state(t("analysis_events"))
-    return progress.job_status(state, t("analyses").where("verdict = 'MALWARE'"))
+    return progress.job_status(state, t("analyses"))

@@ -138,12 +138,18 @@ SELECT p_partkey % 400 AS container_id, p_partkey AS member_seq,
            CASE WHEN p_partkey % 12 = 3 THEN '' WHEN p_partkey % 36 = 8 THEN '/..' ELSE '' END,
            CASE WHEN p_partkey % 60 = 5 THEN 'vbaProject.bin' ELSE '' END) AS member_path,
        CASE WHEN p_partkey % 3 = 0 THEN 'Mode="External"' ELSE p_name END AS content
+FROM {{part}}""",
+    "disk_entries": f"""
+SELECT p_partkey AS entry_id,
+       {choose('p_partkey % 8', ["''", "'.'", "'/abs/dir/'", "concat('a', chr(92), 'b')", "'../up'", "'x/../y//'",
+                                 "concat(chr(92), chr(92), 'share')", "p_brand"])} AS directory,
+       concat({choose('p_partkey % 5', ["''", "'sub/'", "concat('c', chr(92))", "'..'", "'/'"])}, p_name) AS name
 FROM {{part}}""",
     "ole_streams": f"""
-SELECT c_custkey % 300 AS file_id, {choose('c_custkey % 7', _q(
+SELECT c_custkey % 300 + CASE WHEN c_custkey % 5 = 0 THEN 10000000 ELSE 0 END AS file_id, {choose('c_custkey % 7', _q(
     'WordDocument', 'Workbook', 'PowerPoint Document', '_Tables', 'Data', 'Book', 'Other'))}
        AS stream
-FROM {{customer}} WHERE c_custkey % 300 % 5 <> 0""",
+FROM {{customer}}""",
     "listing": """
 SELECT path, name, size FROM {files}""",
     # --- headers and sections ------------------------------------------------------
@@ -192,7 +198,7 @@ FROM {lines}""",
 SELECT l_orderkey AS file_id, seq AS idx,
        CASE WHEN l_suppkey % 4 = 0 THEN 0 ELSE 4198400 + l_partkey END AS ptr FROM {lines}""",
     "relocations": """
-SELECT l_orderkey AS file_id, seq FROM {lines} WHERE l_linestatus = 'F'""",
+SELECT l_orderkey + CASE WHEN l_linestatus = 'F' THEN 0 ELSE 10000000 END AS file_id, seq FROM {lines}""",
     "resources": """
 SELECT p_partkey % 10 AS file_id, p_partkey AS seq, p_type AS res_type, p_brand AS res_name,
        p_size * 100 AS size,
@@ -228,8 +234,7 @@ SELECT l_suppkey AS file_id, l_orderkey * 16 + seq AS seq,
        CASE WHEN l_suppkey % 5 = 0 AND l_partkey % 4 <> 0 THEN NULL
             WHEN l_suppkey % 7 = 0 THEN 'Plain' ELSE export_name END AS name,
        l_partkey AS ordinal
-FROM {{lines}} JOIN {{export_names}} ON (l_partkey + l_suppkey) % {len(EXPORT_NAMES)} = i
-WHERE l_returnflag = 'R'""",
+FROM {{lines}} JOIN {{export_names}} ON (l_partkey + l_suppkey) % {len(EXPORT_NAMES)} = i""",
     "pcode_ops": f"""
 SELECT l_orderkey AS file_id, seq, pcode FROM {{lines}}
 JOIN {{pcode_names}} ON l_partkey % {len(PCODES)} = i""",
@@ -365,7 +370,7 @@ SELECT concat('a', CAST(o_orderkey % 2000 AS STRING)) AS id,
        concat('f', CAST((o_custkey * 7) % 1000 AS STRING)) AS file_hash,
        'new' AS file_name, o_orderpriority AS file_type, 'MALWARE' AS verdict,
        50e0 AS confidence, (o_orderkey % 100) / 1e0 AS risk_score, o_orderdate AS created_at
-FROM {orders} WHERE o_orderkey % 2 = 0""",
+FROM {orders}""",
     "iocs": """
 SELECT concat('a', CAST(l_orderkey + CASE WHEN l_suppkey % 9 = 0 THEN 10000000 ELSE 0 END
               AS STRING)) AS analysis_id,
@@ -376,13 +381,14 @@ SELECT concat('a', CAST(l_orderkey + CASE WHEN l_suppkey % 9 = 0 THEN 10000000 E
        l_shipdate AS created_at
 FROM {lineitem}""",
     "parts": """
-SELECT concat('a', CAST(l_orderkey AS STRING)) AS analysis_id, seq AS part_seq,
+SELECT concat('a', CAST(l_orderkey + CASE WHEN l_orderkey % 6 = 0 THEN 10000000 ELSE 0 END AS STRING))
+           AS analysis_id, seq AS part_seq,
        CASE WHEN l_suppkey % 2 = 0 THEN 'pe' ELSE 'script' END AS kind,
        concat('p', CAST(l_partkey AS STRING)) AS file_name,
        CASE WHEN l_partkey % 5 = 0 THEN 'MALWARE' ELSE 'BENIGN' END AS verdict,
        (l_partkey % 101) / 1e0 AS risk_score, (l_suppkey % 101) / 1e0 AS confidence,
        concat('report ', CAST(l_suppkey AS STRING)) AS report_markdown
-FROM {lines} WHERE l_orderkey % 6 <> 0""",
+FROM {lines}""",
     "reports": """
 SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS analysis_id,
        CASE WHEN turn % 2 = 0 THEN 'pe' ELSE 'script' END AS kind,
@@ -423,13 +429,13 @@ SELECT concat('a', CAST(user_id AS STRING)) AS analysis_id, event_id AS seq, ts,
        props AS output
 FROM {events} JOIN {roles} ON event_id % 7 = i""",
     "kb": """
-SELECT 'malware_families' AS category, concat('fam', CAST(c_custkey AS STRING)) AS key,
+SELECT 'malware_families' AS category, concat('fam', CAST(c_custkey + CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 10000000 END AS STRING)) AS key,
        CAST(NULL AS BIGINT) AS count, concat('old', CAST(c_custkey AS STRING)) AS last_seen_file,
-       c_custkey AS sample_size FROM {customer} WHERE c_custkey % 3 = 0
+       c_custkey AS sample_size FROM {customer}
 UNION ALL
-SELECT 'evasion_techniques' AS category, api AS key, CAST(i AS BIGINT) AS count,
+SELECT 'evasion_techniques' AS category, concat(api, CASE WHEN i % 2 = 0 THEN '' ELSE '_old' END) AS key, CAST(i AS BIGINT) AS count,
        CAST(NULL AS STRING) AS last_seen_file, CAST(NULL AS BIGINT) AS sample_size
-FROM {api_names} WHERE i % 2 = 0""",
+FROM {api_names}""",
     "families": """
 SELECT concat('fam', CAST(o_custkey AS STRING)) AS family, concat('file', CAST(o_orderkey AS STRING))
            AS file_name, o_orderkey * 10 AS file_size, o_orderkey AS seq FROM {orders}""",
@@ -437,9 +443,10 @@ SELECT concat('fam', CAST(o_custkey AS STRING)) AS family, concat('file', CAST(o
 SELECT file_id, func AS api FROM {{imports}}
 WHERE func IN ({', '.join(_q(*rules.ANTI_DEBUG_APIS))})""",
     "kb_entries": """
-SELECT 'mixed' AS category, concat('k', CAST(c_custkey AS STRING)) AS key,
+SELECT 'mixed' AS category,
+       concat('k', CAST(c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 10000000 END AS STRING)) AS key,
        CASE c_custkey % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'struct' ELSE 'scalar' END AS kind,
-       concat('old', CAST(c_custkey % 4 AS STRING)) AS value FROM {customer} WHERE c_custkey % 2 = 0""",
+       concat('old', CAST(c_custkey % 4 AS STRING)) AS value FROM {customer}""",
     "kb_new": """
 SELECT 'mixed' AS category, concat('k', CAST(o_custkey AS STRING)) AS key, o_orderkey AS seq,
        CASE o_custkey % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'struct' ELSE 'scalar' END AS kind,
