@@ -171,7 +171,7 @@ def similarity(idf: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = unpacked(idf)
         for whole in batches:
-            for batch in in_parts(iter([whole]), "left"):
+            for batch in in_parts(iter([whole]), "left", 1 << 20):
                 sides = []
                 for name in ("left", "right"):
                     data, offsets = column_bytes(batch.column(name))
