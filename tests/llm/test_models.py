@@ -176,3 +176,17 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     assert 0 < got.count() < 200
+
+
+def test_windows_cover_long_runs_between_characters():
+    assert toxicity.windows(b"word") == [b"word"]
+    run = ("日本語の長い文" * 30).encode()
+    found = toxicity.windows(run)
+    assert all(w.decode() and len(w) <= toxicity.WINDOW + 3 for w in found)
+    assert found[0] == run[:len(found[0])] and found[-1] == run[-len(found[-1]):]
+    at, covered = 0, 0
+    for w in found:  # every window begins inside the last one
+        at = run.index(w, at)
+        assert at <= covered
+        covered = max(covered, at + len(w))
+    assert covered == len(run)

@@ -34,7 +34,7 @@ _CODE = np.random.default_rng(3).integers(0, 256, (256, 4), dtype=np.uint8)
 #: Lengths told apart on each side, and thresholds on the log odds of a window.
 SIDE = 20
 LIMITS = (0.5, 1.0, 2.0, 3.0)
-#: Longest run of bytes taken as one window; longer ones are cut into such windows.
+#: Longest run of bytes taken as one window; longer ones give overlapping windows of this size.
 WINDOW = 64
 KEPT = 1_000_000
 
@@ -62,34 +62,50 @@ def compressor(words: list[bytes], level: int) -> zstandard.ZstdCompressor:
                                     write_checksum=False, write_dict_id=False)
 
 
+def windows(run: bytes) -> list[bytes]:
+    """A run of word bytes, or windows over all of it, each half over the next, between characters."""
+    if len(run) <= WINDOW:
+        return [run]
+    def place(i: int) -> int:
+        while 0 < i < len(run) and 0x80 <= run[i] < 0xC0:
+            i -= 1
+        return i
+    starts = range(0, len(run) - WINDOW // 2, WINDOW // 2)
+    return [run[place(i):place(min(i + WINDOW, len(run)))] for i in starts]
+
+
 class Scorer:
     """Cells of words (kept, up to a bound): the two compressed lengths above those of the carrier."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes], level: int):
         self.toxic, self.ordinary = compressor(toxic, level), compressor(ordinary, level)
         self.base = len(self.toxic.compress(CARRIER)), len(self.ordinary.compress(CARRIER))
-        self.known: dict[bytes, int] = {}
-
-    def cell(self, word: bytes) -> int:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            frame = CARRIER + wide(b" " + word + b" ")
-            near, far = len(self.toxic.compress(frame)) - self.base[0], len(self.ordinary.compress(frame)) - self.base[1]
-            got = self.known[word] = min(max(near, 0), SIDE - 1) * SIDE + min(max(far, 0), SIDE - 1)
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def cell(self, window: bytes) -> int:
+        frame = CARRIER + wide(b" " + window + b" ")
+        near, far = len(self.toxic.compress(frame)) - self.base[0], len(self.ordinary.compress(frame)) - self.base[1]
+        return min(max(near, 0), SIDE - 1) * SIDE + min(max(far, 0), SIDE - 1)
+
+    def learn(self, run: bytes) -> tuple[int, ...]:
+        if len(self.known) >= KEPT:
+            self.known.clear()
+        got = tuple(self.cell(w) for w in windows(run))
+        if len(run) <= WINDOW:  # longer runs hardly come again
+            self.known[run] = got
         return got
 
-    def cells(self, text: bytes) -> Counter:
+    def cells(self, text: bytes) -> dict[int, int]:
         """How many windows of a text lie in each cell."""
-        counts = Counter()
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            for i in range(0, len(word), WINDOW):
-                counts[self.cell(word[i:i + WINDOW])] += n
+        counts: dict[int, int] = {}
+        known, have = self.known.get, counts.get
+        for run, n in Counter(WORD.findall(text.lower())).items():
+            for cell in known(run) or self.learn(run):
+                counts[cell] = have(cell, 0) + n
         return counts
 
 
-def features(counts: Counter, odds: np.ndarray) -> list[float]:
+def features(counts: dict[int, int], odds: np.ndarray) -> list[float]:
     """The strongest windows, how many pass each threshold, and the size of the text."""
     total = sum(counts.values())
     ranked = sorted(((float(odds[c]), n) for c, n in counts.items()), reverse=True)
@@ -105,7 +121,7 @@ def text_words(batches):
     for batch in batches:
         counts = {0: Counter(), 1: Counter()}
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            counts[label].update({w[:WINDOW] for w in WORD.findall(text.lower())})
+            counts[label].update({w for run in set(WORD.findall(text.lower())) for w in windows(run)})
         words = [*{*counts[0], *counts[1]}]
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.binary()), pa.array([counts[1][w] for w in words], pa.int64()),
