@@ -70,6 +70,33 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.embedding_dedup(table.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    """Planted pairs just above the cosine, with the registered recall."""
+    rng = np.random.default_rng(9)
+    rows, pairs = [], 600
+    for k in range(pairs):
+        a, b = (v / np.linalg.norm(v) for v in rng.standard_normal((2, 64)))
+        b -= (a @ b) * a
+        cosine = rng.uniform(0.9001, 0.91)
+        near = cosine * a + np.sqrt(1 - cosine ** 2) * b / np.linalg.norm(b)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, near.tolist())]
+    got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    assert sum(got[2 * k + 1].component_id == 2 * k for k in range(pairs)) >= 0.99 * pairs
+    assert all(got[i].n_links <= 1 for i in got)
+
+
+def test_one_large_class_of_near_copies(spark):
+    """Every pair is a link and is counted once, whatever tables and blocks hold it."""
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal(32)
+    rows = [(i, (base + 0.01 * rng.standard_normal(32)).tolist()) for i in range(700)]
+    rows += [(1000 + i, rng.standard_normal(32).tolist()) for i in range(300)]
+    got = embedding_dedup.embedding_dedup(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert all((r.n_links, r.component_id) == (699, 0) for r in got if r.vec_id < 700)
+
+
 def test_minhash_groups(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
@@ -180,7 +207,7 @@ def test_pipeline(spark):
 
 def test_windows_cover_long_runs_between_characters():
     assert toxicity.windows(b"word") == [b"word"]
-    run = ("日本語の長い文" * 30).encode()
+    run = "".join(chr(0x4E00 + i) for i in range(210)).encode()
     found = toxicity.windows(run)
     assert all(w.decode() and len(w) <= toxicity.WINDOW + 3 for w in found)
     assert found[0] == run[:len(found[0])] and found[-1] == run[-len(found[-1]):]

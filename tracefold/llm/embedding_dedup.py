@@ -114,17 +114,26 @@ def entry(t):
     return F.shiftleft(F.col("dim").cast("long"), 48) + F.shiftleft(t.cast("long"), 32) + F.col("code").cast("long")
 
 
-class Found:
-    """Link sums and local components of one entry (or of two of its blocks)."""
-
-    def __init__(self, size: int):
-        self.sums, self.root = np.zeros(size, np.int64), np.arange(size)
-
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
+def hooked(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest reachable index of every element after linking ``x`` and ``y``: hook, compress, repeat."""
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low != high
+        x, y, low, high = x[apart], y[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    return root
+
+
+def handled(codes: np.ndarray, t: int) -> np.ndarray | None:
+    """Codes of the earlier table that holds most pairs of this entry together."""
+    best, most = None, 0
+    for earlier in range(min(t, 8)):
+        together = (np.unique(codes[:, earlier], return_counts=True)[1].astype(np.int64) ** 2).sum()
+        if together > most:
+            best, most = codes[:, earlier], together
+    return best
 
 
 def pairs_of(window: float, need: int, cosine: float):
@@ -132,44 +141,50 @@ def pairs_of(window: float, need: int, cosine: float):
     def solve(t: int, node, n, codes, vec, side) -> pa.RecordBatch | None:
         size, dim = len(node), vec.shape[1]
         shadow = (vec @ directions(dim, COUNTED, 2)).astype(np.float32)
-        found = Found(size)
+        sums, root = np.zeros(size, np.int64), np.arange(size)
         # side 0: the entry is whole, all pairs; sides 1 and 2: pairs across the two blocks
-        left = np.flatnonzero(side != 2) if (side != 0).any() else np.arange(size)
-        right = np.flatnonzero(side == 2) if (side != 0).any() else np.arange(size)
+        whole = (side == 0).all()
+        left = np.arange(size) if whole else np.flatnonzero(side != 2)
+        right = left if whole else np.flatnonzero(side == 2)
+        # Pairs that an earlier table holds were counted there: whole groups of them are passed over.
+        group = handled(codes, t)
+        if group is not None:
+            left = left[np.argsort(group[left], kind="stable")]
+            right = left if whole else right
+        place = np.empty(size, np.int64)
+        place[left] = np.arange(len(left))
         for s in range(0, len(left), 128):
             a = left[s:s + 128]
-            hits = np.zeros((len(a), len(right)), np.int16)
-            if len(right) <= 64:
-                hits = (np.abs(shadow[a][:, None, :] - shadow[right][None, :, :]) <= window).sum(axis=2)
+            r = right[s:] if whole else right
+            if group is not None and group[a[0]] == group[a[-1]]:
+                r = r[group[r] != group[a[0]]]
+            hits = np.zeros((len(a), len(r)), np.int16)
+            if len(r) <= 64:
+                hits = (np.abs(shadow[a][:, None, :] - shadow[r][None, :, :]) <= window).sum(axis=2)
             else:
                 for k in range(COUNTED):
-                    hits += np.abs(shadow[a, k][:, None] - shadow[right, k][None, :]) <= window
+                    hits += np.abs(shadow[a, k][:, None] - shadow[r, k][None, :]) <= window
             i, j = np.nonzero(hits >= need)
-            i, j = a[i], right[j]
-            keep = i < j if (side == 0).all() else np.ones(len(i), bool)
-            i, j = i[keep], j[keep]
+            i, j = a[i], r[j]
+            if whole:
+                once = place[i] < place[j]
+                i, j = i[once], j[once]
             for q in range(0, len(i), 65536):
                 x, y = i[q:q + 65536], j[q:q + 65536]
                 good = np.einsum("ij,ij->i", vec[x], vec[y]) >= cosine
                 x, y = x[good], y[good]
+                root = hooked(root, x, y)
                 if t:  # counted in the first table that holds both
                     first = ~(codes[x, :t] == codes[y, :t]).any(axis=1)
-                    np.add.at(found.sums, x[first], n[y[first]])
-                    np.add.at(found.sums, y[first], n[x[first]])
-                else:
-                    np.add.at(found.sums, x, n[y])
-                    np.add.at(found.sums, y, n[x])
-                for u, v in zip(x.tolist(), y.tolist()):
-                    u, v = found.find(u), found.find(v)
-                    if u != v:
-                        found.root[max(u, v)] = min(u, v)
-        roots = np.array([found.find(i) for i in range(size)])
-        keep = np.flatnonzero((found.sums > 0) | (roots != np.arange(size)))
+                    x, y = x[first], y[first]
+                np.add.at(sums, x, n[y])
+                np.add.at(sums, y, n[x])
+        keep = np.flatnonzero((sums > 0) | (root != np.arange(size)))
         if not len(keep):
             return None
         return pa.RecordBatch.from_arrays(
-            [pa.array(node[keep], pa.int64()), pa.array(found.sums[keep], pa.int64()),
-             pa.array(node[roots[keep]], pa.int64())], names=["node", "links", "root"])
+            [pa.array(node[keep], pa.int64()), pa.array(sums[keep], pa.int64()),
+             pa.array(node[root[keep]], pa.int64())], names=["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
