@@ -265,7 +265,12 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Number and SHA-256 of the ids of each text, and SHA-256 of what they decode to."""
+    """Number and SHA-256 of the ids of each text, and SHA-256 of what they decode to.
+
+    Null and empty texts have no ids and the digests of nothing; a null ``doc_id`` stays null;
+    very long texts are encoded in stretches and decoded in blocks; repeated rows are answered
+    each, an empty table gives no rows, columns other than ``doc_id`` and ``text`` are ignored.
+    """
     file = path or token_path(TOKENIZER)
 
     def run(batches):

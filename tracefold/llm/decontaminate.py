@@ -178,7 +178,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     """Per document the words hit and the items found; see :func:`benchmark_hits`.
 
     As in the SQL, null item ids together count as one item in ``n_items`` and add nothing
-    to the list behind ``items_sha256``.
+    to the list behind ``items_sha256``.  Null and empty texts have no words; very long texts are
+    read in whole; repeated rows are answered each; empty tables give no rows or no hits; columns
+    other than ids and texts are ignored.
     """
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return benchmark_hits(docs, benchmark, span, k).select(

@@ -231,7 +231,11 @@ def with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 
 
 def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Counts and SHA-256 of the kept text per document, as :func:`line_dedup` leaves it."""
+    """Counts and SHA-256 of the kept text per document, as :func:`line_dedup` leaves it.
+
+    Null and empty texts are one empty line; a null ``doc_id`` counts as the smallest id; very
+    long texts are one row; repeated rows are answered each; an empty table gives no rows.
+    """
     def answer(batches):
         for batch in batches:
             got = [kept_text(t, b) for t, b in zip(batch.column("text").to_pylist(),

@@ -82,7 +82,12 @@ def read_tokens(spark, folder: str) -> DataFrame:
 
 
 def token_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) read back from written files."""
+    """(doc_id, start, n_tokens, ids_crc32) read back from written files.
+
+    Null and empty texts hold the end id alone; null ids come first, rows sharing an id next to
+    each other in the order of their text's hash; very long texts are encoded in stretches; an
+    empty table gives no rows, columns other than ``doc_id`` and ``text`` are ignored.
+    """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
