@@ -43,11 +43,11 @@ PASS = PIECE // 2
 WHOLE, ASK, WINDOW = 0, 1, 2  # entry removed whole; entry to look into; window removed
 
 SENT = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("kind", pa.int8()),
-                  ("id", pa.int64()), ("tag", pa.int32()), ("places", pa.list_(pa.int32()))])
-SENT_DDL = "bucket int, block binary, kind byte, id long, tag int, places array<int>"
-FOUND = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("tag", pa.int32()),
+                  ("id", pa.int64()), ("tag", pa.int64()), ("places", pa.list_(pa.int32()))])
+SENT_DDL = "bucket int, block binary, kind byte, id long, tag long, places array<int>"
+FOUND = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("tag", pa.int64()),
                    ("places", pa.list_(pa.int32()))])
-FOUND_DDL = "kind byte, id long, tag int, places array<int>"
+FOUND_DDL = "kind byte, id long, tag long, places array<int>"
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
@@ -139,12 +139,7 @@ def encode(key, entry, ids, tags, places) -> bytes:
     packed = zstandard.ZstdCompressor(level=1).compress(
         np.diff(ids[heads], prepend=0).tobytes() + tags[heads].tobytes()
         + np.ascontiguousarray(small.view(np.uint8).reshape(-1, 4).T).tobytes())
-    wide = np.ascontiguousarray(key[order]).view(np.uint8).reshape(-1, 8)
-    if entry is None:
-        hashes = wide.tobytes()
-    else:  # the bucket holds the upper bits of the trigger
-        hashes = (np.ascontiguousarray(wide[:, :6]).tobytes()
-                  + np.ascontiguousarray(entry[order].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
+    hashes = key[order].tobytes() + (b"" if entry is None else entry[order].tobytes())
     return struct.pack("<III", len(ids), len(heads), len(packed)) + packed + hashes
 
 
@@ -152,20 +147,13 @@ def decode(block: bytes, entries: bool):
     n, docs, size = struct.unpack_from("<III", block)
     raw = zstandard.ZstdDecompressor().decompress(block[12:12 + size])
     ids = np.cumsum(np.frombuffer(raw, np.int64, docs))
-    tags = np.frombuffer(raw, np.int32, docs, 8 * docs)
-    small = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=12 * docs).reshape(4, -1).T)
+    tags = np.frombuffer(raw, np.int64, docs, 8 * docs)
+    small = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=16 * docs).reshape(4, -1).T)
     small = small.view(np.uint32).ravel()
     counts = small[:docs]
     places = np.cumsum(small[docs:].astype(np.int32), dtype=np.int64)
-    body = np.frombuffer(block, np.uint8, offset=12 + size)
-    key = np.zeros((n, 8), np.uint8)
-    entry = np.zeros((n, 8), np.uint8)
-    if entries:
-        key[:, :6] = body[:6 * n].reshape(n, 6)
-        entry[:, :5] = body[6 * n:].reshape(n, 5)
-    else:
-        key[:] = body.reshape(n, 8)
-    return (key.view(np.uint64).ravel(), entry.view(np.uint64).ravel(),
+    body = np.frombuffer(bytes(block[12 + size:]), np.uint64)
+    return (body[:n], body[n:] if entries else np.zeros(n, np.uint64),
             np.repeat(ids, counts), np.repeat(tags, counts), places)
 
 
@@ -199,7 +187,7 @@ def send(batch: pa.RecordBatch, key, entry, row, places, labels: np.ndarray,
     n = len(blocks)
     if n:
         yield batch_of(SENT, bucket=np.array(names, np.int32), block=pa.array(blocks, pa.binary()),
-                       kind=np.zeros(n, np.int8), id=np.zeros(n, np.int64), tag=np.zeros(n, np.int32),
+                       kind=np.zeros(n, np.int8), id=np.zeros(n, np.int64), tag=np.zeros(n, np.int64),
                        places=pa.nulls(n, pa.list_(pa.int32())))
 
 
@@ -215,10 +203,9 @@ def settle(entries: bool):
             known = batch.filter(batch.column("block").is_null())
             if known.num_rows:
                 yield known.select(["kind", "id", "tag", "places"])
-            for label, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+            for block in batch.column("block").to_pylist():
                 if block is not None:
-                    key, *rest = decode(block, entries)
-                    got.append((key | U64((label & 0xFFFF) << 48) if entries else key, *rest))
+                    got.append(decode(block, entries))
         if not got:
             return
         key, entry, ids, tags, places = (np.concatenate(x) for x in zip(*got))
@@ -277,7 +264,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_places(docs: DataFrame) -> DataFrame:
     """(id, tag, whole, window): triggers and windows to remove in each document that has any."""
-    text = keyed(docs).select("id", F.shiftright("tag", 32).cast("int").alias("tag"), "text")
+    text = keyed(docs).select("id", "tag", "text")
     count = partitions(docs)
     labels = exchange_labels(docs, count)
 
@@ -349,6 +336,6 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
                  pa.array([g[3] for g in got], pa.string() if digest else pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0]])
 
-    text = keyed(docs).withColumn("tag", F.shiftright("tag", 32).cast("int"))
+    text = keyed(docs)
     return (packed(text).join(repeated_places(docs).hint("shuffle_hash"), ["id", "tag"], "left")
             .mapInArrow(answer, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}"))
