@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ LIMITS = (0.5, 1.0, 2.0, 3.0)
 #: Longest run of bytes taken as one window; longer ones give overlapping windows of this size.
 WINDOW = 64
 KEPT = 1_000_000
+ONE_CELL = [(cell,) for cell in range(SIDE * SIDE)]
 
 
 @dataclass(frozen=True)
@@ -90,9 +92,9 @@ class Scorer:
     def learn(self, run: bytes) -> tuple[int, ...]:
         if len(self.known) >= KEPT:
             self.known.clear()
-        got = tuple(self.cell(w) for w in windows(run))
-        if len(run) <= WINDOW:  # longer runs hardly come again
-            self.known[run] = got
+        if len(run) > WINDOW:  # these hardly come again
+            return tuple(self.cell(w) for w in windows(run))
+        got = self.known[run] = ONE_CELL[self.cell(run)]
         return got
 
     def cells(self, text: bytes) -> dict[int, int]:
@@ -137,7 +139,13 @@ class Model:
     weights: np.ndarray | None = None  # None without labels of both kinds: every score is 0
 
     def scorer(self) -> Scorer:
-        return Scorer(self.toxic, self.ordinary, self.level)
+        """The scorer of this worker: its known words outlive a task."""
+        return scorer_of(tuple(self.toxic), tuple(self.ordinary), self.level)
+
+
+@lru_cache(maxsize=1)
+def scorer_of(toxic: tuple[bytes, ...], ordinary: tuple[bytes, ...], level: int) -> Scorer:
+    return Scorer([*toxic], [*ordinary], level)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
