@@ -14,7 +14,7 @@ from tracefold import rules
 from tracefold.functions.literals import first_match
 from tracefold.operators.ordering import number_rows, running_total, text_pieces
 from tracefold.operators.reaching import reaching_definitions  # noqa: F401
-from tracefold.session import cut, cut_bucketed, without
+from tracefold.session import cut, cut_bucketed, shuffle_partitions, without
 
 KEEP_PIECES = 8           # visited tables are compacted after this many rounds
 
@@ -48,14 +48,26 @@ def node_ids(functions: DataFrame, blocks: DataFrame) -> DataFrame:
         "graph_id", "func", "block_id", "type", "func_seq", "block_seq"))
 
 
-def build_nodes(functions: DataFrame, blocks: DataFrame, instructions: DataFrame) -> DataFrame:
-    """METHOD and BLOCK nodes with their facts; the texts of blocks are in :func:`block_code`."""
+def build_nodes(functions: DataFrame, blocks: DataFrame, instructions: DataFrame, texts: bool = False) -> DataFrame:
+    """METHOD and BLOCK nodes with their facts; with ``texts`` the code of a block is its instruction texts.
+
+    Instructions are shuffled once by block, into all shuffle partitions, and meet the nodes there.
+    A text is one cell here; :func:`block_code` has it in pieces.
+    """
     key = ["graph_id", "func", "block_id"]
-    facts = (instructions.groupBy(*key, "inst_type").agg(F.count(F.lit(1)).alias("n")).groupBy(*key)
+    count = shuffle_partitions(instructions.sparkSession)
+    text = F.when(F.coalesce("raw_text", F.lit("")) != "", F.struct("idx", "raw_text"))
+    known = instructions.select(*key, "inst_type", "idx", "raw_text").dropna(subset=key)  # others meet no node
+    facts = (known.repartition(count, *key).groupBy(*key, "inst_type")
+             .agg(F.count(F.lit(1)).alias("n"), *[F.collect_list(text).alias("texts")] * texts).groupBy(*key)
              .agg(F.sum("n").alias("num_instructions"),  # a few instruction types per block
-                  F.map_from_entries(F.collect_list(F.struct("inst_type", "n"))).alias("inst_counts")))
-    return (number_nodes(node_rows(functions, blocks)).join(facts, key, "left")
-            .withColumn("num_instructions", F.coalesce("num_instructions", F.lit(0))))
+                  F.map_from_entries(F.collect_list(F.struct("inst_type", "n"))).alias("inst_counts"),
+                  *[F.array_sort(F.flatten(F.collect_list("texts"))).alias("texts")] * texts))
+    code = F.array_join(F.transform("texts", lambda e: e["raw_text"]), "\n")
+    nodes = (number_nodes(node_rows(functions, blocks)).repartition(count, *key).join(facts, key, "left")
+             .withColumn("num_instructions", F.coalesce("num_instructions", F.lit(0))))
+    return nodes if not texts else nodes.withColumn("code", F.when(
+        F.col("type") == "BLOCK", F.coalesce(code, F.lit(""))).otherwise(F.col("code"))).drop("texts")
 
 
 def block_code(nodes: DataFrame, instructions: DataFrame, rows: int = 1024) -> DataFrame:
