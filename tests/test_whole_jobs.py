@@ -19,3 +19,16 @@ def test_nodes_hold_the_texts_of_their_blocks(spark):
     got = {r.name: (r.code, r.num_instructions) for r in graph.build_nodes(functions, blocks, code, texts=True).collect()}
     assert got == {"f": ("sig", 0), "x": ("x", 0), "block_6": ("", 0),
                    "block_5": ("\n".join(f"t{i}" for i in range(12) if i != 1), 12)}
+
+
+def test_verdicts_hold_their_reports(spark):
+    parts = spark.createDataFrame(
+        [("a", i, "pe" if i % 2 else "script", f"f{i}", "BENIGN", 1.0, 2.0, f"r{i}") for i in range(5)]
+        + [(None, 0, "pe", "f", "MALWARE", 9.0, 9.0, "r")],
+        "analysis_id string, part_seq int, kind string, file_name string, verdict string, risk_score double, "
+        "confidence double, report_markdown string")
+    ids = spark.createDataFrame([("a",), ("b",)], "analysis_id string")
+    got = {r.analysis_id: (r.verdict, r.report_markdown) for r in intel.aggregate_verdict(ids, parts).collect()}
+    assert got["a"] == ("BENIGN", "".join(
+        f"\n\n# {'PE' if i % 2 else 'Script'} Analysis: f{i}\nr{i}" for i in [1, 3, 0, 2, 4]))
+    assert got["b"][1]

@@ -11,20 +11,34 @@ from tracefold.operators.text_rules import url_domain
 
 
 def aggregate_verdict(analyses: DataFrame, parts: DataFrame) -> DataFrame:
-    """Verdict of each analysis from its parts.
+    """Verdict and report of each analysis from its parts (executables before scripts).
 
     Any MALWARE part decides; risk and confidence are maxima.  An analysis without parts is
-    BENIGN.  The text is in :func:`verdict_reports`.
+    BENIGN with fixed text.  A report is one cell here; :func:`verdict_reports` has it in pieces.
     """
-    facts = parts.groupBy("analysis_id").agg(
+    entry = F.struct(scripts_last().alias("after"), "part_seq", part_report().alias("text"))
+    facts = parts.where(F.col("analysis_id").isNotNull()).groupBy("analysis_id").agg(
         F.bool_or(F.col("verdict") == "MALWARE").alias("_bad"),
-        F.max("risk_score").alias("_risk"), F.max("confidence").alias("_conf"))
+        F.max("risk_score").alias("_risk"), F.max("confidence").alias("_conf"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), "")
+        .alias("_report"))
     return analyses.select("analysis_id").join(facts, "analysis_id", "left").select(
         "analysis_id",
         F.when(F.col("_bad"), "MALWARE").otherwise("BENIGN").alias("verdict"),
         F.greatest(F.coalesce("_risk", F.lit(0.0)), F.lit(0.0)).alias("risk_score"),
         F.when(F.col("_bad").isNull(), 100.0)
-        .otherwise(F.greatest(F.col("_conf"), F.lit(0.0))).alias("confidence"))
+        .otherwise(F.greatest(F.col("_conf"), F.lit(0.0))).alias("confidence"),
+        F.coalesce("_report", F.lit(rules.EMPTY_REPORT)).alias("report_markdown"))
+
+
+def part_report() -> Column:
+    return F.concat(F.lit("\n\n# "), F.when(F.col("kind") == "pe", "PE").otherwise("Script"),
+                    F.lit(" Analysis: "), "file_name", F.lit("\n"),
+                    F.coalesce("report_markdown", F.lit("")))
+
+
+def scripts_last() -> Column:
+    return F.coalesce(F.col("kind") != "pe", F.lit(True))
 
 
 def verdict_reports(analyses: DataFrame, parts: DataFrame, rows: int = 1024) -> DataFrame:
@@ -33,11 +47,8 @@ def verdict_reports(analyses: DataFrame, parts: DataFrame, rows: int = 1024) ->
     Executables come before scripts; pieces of bounded size follow each other without a
     separator.  An analysis without parts has one piece of fixed text.
     """
-    title = F.concat(F.lit("\n\n# "), F.when(F.col("kind") == "pe", "PE").otherwise("Script"),
-                     F.lit(" Analysis: "), "file_name", F.lit("\n"),
-                     F.coalesce("report_markdown", F.lit("")))
-    pieces = text_pieces(parts.withColumn("scripts", F.coalesce(F.col("kind") != "pe", F.lit(True))),
-                         ["analysis_id", "scripts"], "part_seq", title, "", rows)
+    pieces = text_pieces(parts.withColumn("scripts", scripts_last()), ["analysis_id", "scripts"], "part_seq",
+                         part_report(), "", rows)
     return (analyses.select("analysis_id").join(pieces, "analysis_id", "left")
             .select("analysis_id", F.coalesce("scripts", F.lit(False)).alias("scripts"),
                     F.coalesce("piece", F.lit(0)).cast("bigint").alias("piece"),
