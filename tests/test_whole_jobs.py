@@ -32,3 +32,15 @@ def test_verdicts_hold_their_reports(spark):
     assert got["a"] == ("BENIGN", "".join(
         f"\n\n# {'PE' if i % 2 else 'Script'} Analysis: f{i}\nr{i}" for i in [1, 3, 0, 2, 4]))
     assert got["b"][1]
+
+
+def test_pooling_shuffles_vectors_whole(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, None]), (3, None), (4, [])],
+                                    "token_id int, vector array<float>")
+    texts = spark.createDataFrame([(1, [1, 2]), (2, [3, 4]), (3, []), (4, [2]), (None, [1]), (5, [1]), (5, [2])],
+                                  "text_id long, token_ids array<int>")
+    pooled = tokens.pooled_name_vector(texts, vectors, 2)
+    assert sorted(((r.text_id, r.vector) for r in pooled.collect()), key=repr) == sorted([
+        (1, [2.0, 2.0]), (2, [0.0, 0.0]), (3, [0.0, 0.0]), (4, [3.0, None]), (None, [0.0, 0.0]),
+        (5, [2.0, 2.0]), (5, [2.0, 2.0])], key=repr)
+    assert "posexplode" not in pooled._jdf.queryExecution().optimizedPlan().toString()

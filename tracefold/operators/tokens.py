@@ -12,6 +12,7 @@ from tracefold.functions.literals import any_of, first_match
 from tracefold.operators.ordering import number_rows
 from tracefold.operators.subwords import (bpe_decode, bpe_encode, bpe_train, bpe_vocab,  # noqa: F401
                                           spaced, split_identifier, word_counts)
+from tracefold.session import shuffle_partitions
 
 
 def abstract_number(value: Column) -> Column:
@@ -96,17 +97,20 @@ def semantic_id(nodes: DataFrame, repair_operators: bool = False) -> DataFrame:
 # --- sub-words --------------------------------------------------------------------------
 
 def pooled_name_vector(encoded: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Mean of the vectors of all sub-words; zeros when none."""
+    """Mean of the vectors of all sub-words; zeros when none.
+
+    Vectors have up to ``dim`` values and go to their texts whole, as they are stored: a row per
+    value, or a sum and a count for each before the shuffle, would be several times larger.
+    """
+    held = vectors.select("token_id", "vector").where(F.size("vector") > 0)
+    means = [F.avg(F.get("vector", F.lit(i))) for i in range(dim)]
     parts = (encoded.select("text_id", F.explode("token_ids").alias("token_id"))
-             .join(vectors.select("token_id", "vector"), "token_id")
-             .select("text_id", F.posexplode("vector").alias("dim", "value"))
-             .groupBy("text_id", "dim").agg(F.avg("value").alias("value"))
-             .groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value")))
-                                     .alias("parts")))
+             .where(F.col("text_id").isNotNull()).join(held, "token_id").select("text_id", "vector")
+             .repartition(shuffle_partitions(encoded.sparkSession), "text_id")
+             .groupBy("text_id").agg(F.slice(F.array(*means), F.lit(1), F.max(F.size("vector"))).alias("parts")))
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (encoded.select("text_id").join(parts, "text_id", "left")
-            .select("text_id", F.coalesce(F.transform("parts", lambda e: e["value"]), zeros)
-                    .alias("vector")))
+            .select("text_id", F.coalesce("parts", zeros).alias("vector")))
 
 
 def hash_api_tokens(imports: DataFrame) -> DataFrame:
