@@ -44,3 +44,17 @@ def test_pooling_shuffles_vectors_whole(spark):
         (1, [2.0, 2.0]), (2, [0.0, 0.0]), (3, [0.0, 0.0]), (4, [3.0, None]), (None, [0.0, 0.0]),
         (5, [2.0, 2.0]), (5, [2.0, 2.0])], key=repr)
     assert "posexplode" not in pooled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_are_counted_in_bounded_pieces(spark):
+    sections = spark.createDataFrame([(1, i, i % 50, 1 + i % 7) for i in range(3 * byte_functions.RANGES)],
+                                     "file_id long, seq int, raw_ptr int, raw_size int")
+    data = bytes(range(60))
+    chunks = spark.createDataFrame([(1, 0, 0, 60, bytearray(data))],
+                                   "file_id long, chunk long, offset long, n long, bytes binary")
+    got = {r.seq: r.entropy for r in content.section_entropy(chunks, sections).collect()}
+    assert got == {i: round(float(np.log2(len(data[i % 50:i % 50 + 1 + i % 7]))), 4) for i in range(len(got))}
+    spans = F.array(F.struct(F.lit(0).alias("seq"), F.lit(0).alias("low"), F.lit(3).alias("high")))
+    batch = chunks.select("file_id", "bytes", F.array_repeat(spans[0], 5000).alias("spans"))
+    sizes = byte_functions.range_counts(batch).groupBy("file_id").count().first()["count"]
+    assert sizes == 5000
