@@ -130,6 +130,39 @@ def test_minhash_links_that_miss_the_leader(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_minhash_large_group_just_below_the_threshold(spark, monkeypatch):
+    """Members that link with few others are not paired with all of their bands; blocks lose no link."""
+    rng = random.Random(8)
+    text = ["w%d" % rng.randrange(10 ** 6) for _ in range(120)]
+    rows = []
+    for i in range(500):
+        near = list(text)
+        for _ in range(3):
+            near[rng.randrange(120)] = "x%d" % rng.randrange(10 ** 6)
+        rows.append((i, " ".join(near), "en", "s", 5))
+    sets = [{" ".join(w[k:k + 5]) for k in range(116)} for w in (r[1].split() for r in rows)]
+    class_of = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and class_of[i] != class_of[j]:
+                low, high = sorted((class_of[i], class_of[j]))
+                class_of = [low if c == high else c for c in class_of]
+    assert 10 < len(set(class_of)) < 490
+    compared, seen = minhash_dedup.compared, []
+
+    def counted(pairs, texts, idf):
+        seen.append(pairs.count())
+        return compared(pairs, texts, idf)
+
+    monkeypatch.setattr(minhash_dedup, "compared", counted)
+    monkeypatch.setattr(minhash_dedup, "IDF", 0)  # plain sets of shingles
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 100, raising=False)
+    got = {r.doc_id: r.class_id for r in minhash_dedup.minhash_dedup(docs_of(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == class_of
+    # all pairs are 124,750; a round compares a member with a few leaders of its bands
+    assert sum(seen) < 40_000, seen
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}

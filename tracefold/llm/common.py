@@ -62,5 +62,24 @@ def in_parts(batches: Iterator[pa.RecordBatch], column: str,
             yield batch.slice(first, last - first)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal keys together; the rows come sorted by numeric keys without nulls."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        named = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if held and last != tuple(named[s]):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            last = tuple(named[s])
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -10,10 +10,11 @@ ICWS draws ``BANDS * ROWS`` samples per document; two documents agree on one wit
 probability of their weighted Jaccard similarity.  Documents that share a band are compared
 by their exact weighted Jaccard with a few leaders of the band; in each round those that are
 not in one component yet meet new leaders, so a group of any size costs a few comparisons
-per member.  When rounds stop joining members, what is left is compared with the whole band,
-except where the metric excludes a link (1 - similarity is one: two members whose distances
-to a leader differ by more than the limit are too far apart).  No link between documents
-that share a band is lost, and no group is paired with itself.
+per member.  When rounds stop joining members, the bands of those left over are held in blocks
+of bounded size: a task bounds the similarity of each of them to all members by one matrix
+product, computes it exactly where the bound reaches the threshold, and returns the links
+that join groups.  No link between documents that share a band is lost, no pair becomes a
+row, and a band of several blocks sends a text once per block of it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tracefold.llm.common import cut, in_parts, keyed, signed
+from tracefold.llm.common import cut, in_parts, keyed, partitions, runs_of, signed
 from tracefold.llm.components import components
 from tracefold.llm.textcore import U64, column_bytes, grams, lists, mix, pieces, row_of, words
 
@@ -35,6 +36,10 @@ LEADERS = 4
 BANDS, ROWS = 16, 4
 CELLS, RARE, IDF = 20, 1e-3, 0.25
 CELL_BLOCK = 1 << 12
+#: Members and bytes of text of a band held together; above either it is split into blocks.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Columns of a matrix product; what its single precision may lack.
+COLUMNS, SLACK = 1 << 12, 1e-4
 _rng = np.random.default_rng(91)
 _POOL = 1 << 16
 _R = _rng.gamma(2, 1, _POOL).astype(np.float32)
@@ -166,6 +171,18 @@ def signatures(idf: bytes):
     return run
 
 
+def jaccard(sides: list, n: int) -> np.ndarray:
+    """Exact weighted Jaccard of ``n`` pairs; a side is (pair, shingle, weight) of its texts."""
+    row, h, w = (np.concatenate([side[k] for side in sides]) for k in range(3))
+    w = w.astype(np.float64)
+    total = np.bincount(row, w, minlength=n)
+    order = np.lexsort((h, row))
+    row, h, w = row[order], h[order], w[order]
+    both = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
+    shared = np.bincount(row[1:][both], np.minimum(w[1:], w[:-1])[both], minlength=n)
+    return np.divide(shared, total - shared, out=np.zeros(n), where=total > shared)
+
+
 def similarity(idf: bytes):
     """(a, b, similarity): exact weighted Jaccard of the two texts of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,20 +194,104 @@ def similarity(idf: bytes):
                     data, offsets = column_bytes(batch.column(name))
                     h, tf, bounds, _ = shingles(data, offsets)
                     sides.append((row_of(bounds), h, weights(h, tf, table)))
-                row = np.concatenate([sides[0][0], sides[1][0]])
-                h = np.concatenate([sides[0][1], sides[1][1]])
-                w = np.concatenate([sides[0][2], sides[1][2]]).astype(np.float64)
-                total = np.bincount(row, w, minlength=batch.num_rows)
-                order = np.lexsort((h, row))
-                row, h, w = row[order], h[order], w[order]
-                both = (row[1:] == row[:-1]) & (h[1:] == h[:-1])
-                shared = np.bincount(row[1:][both], np.minimum(w[1:], w[:-1])[both], minlength=batch.num_rows)
-                score = np.divide(shared, total - shared, out=np.zeros(batch.num_rows), where=total > shared)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score)],
-                                                 names=["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a"), batch.column("b"), pa.array(jaccard(sides, batch.num_rows))],
+                    names=["a", "b", "similarity"])
     return run
 
 
+def highest(h: np.ndarray, w: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Upper bounds of the similarity of texts ``left`` × ``right``: roots of products are no less than minima."""
+    names, column, count = np.unique(h, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count > 1)  # a shingle of one text is in no intersection
+    to = np.full(len(names), -1)
+    to[common] = np.arange(len(common))
+    column, row, root = to[column], row_of(bounds), np.sqrt(w)
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0):]
+    column, row, root = column[order], row[order], root[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(common), COLUMNS):
+        s, e = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((len(bounds) - 1, min(COLUMNS, len(common) - first)), np.float32)
+        part[row[s:e], column[s:e] - first] = root[s:e]
+        shared += part[left] @ part[right].T
+    total = np.bincount(row_of(bounds), w, minlength=len(bounds) - 1).astype(np.float32)
+    total = total[left][:, None] + total[right][None, :]
+    shared = np.minimum(shared, total / 2)
+    return shared / (total - shared)
+
+
+def joining(idf: bytes, threshold: float):
+    """Rows sorted by (band, first block, second block) → links (a, b) that join their groups.
+
+    A pair is of interest when one of the two is open and their roots differ; of the links
+    between the same groups one is enough.
+    """
+    def solve(table, node, root, is_open, side, data, offsets) -> tuple[list[int], list[int]]:
+        parts = [shingles(data[o[0]:o[-1]], o - o[0]) for s, e in pieces(offsets) for o in [offsets[s:e + 1]]]
+        h = np.concatenate([p[0] for p in parts])
+        w = weights(h, np.concatenate([p[1] for p in parts]), table)
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+        _, root = np.unique(root, return_inverse=True)
+        parent = np.arange(root.max() + 1)
+        # side 0: the band is whole or a block meets itself; sides 1 and 2: pairs across two blocks
+        one, two = (np.flatnonzero(side != 2), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(node)),) * 2
+        found: tuple[list[int], list[int]] = ([], [])
+        met = [(one[is_open[one]], two)]
+        if side.any():
+            met.append((two[is_open[two]], one))
+        for left, right in met:
+            if not len(left) or not len(right):
+                continue
+            x, y = np.nonzero(highest(h, w, bounds, left, right) >= threshold - SLACK)
+            x, y = left[x], right[y]
+            # Groups are joined batch by batch, so later pairs inside one need no exact similarity.
+            while len(x):
+                apart = parent[root[x]] != parent[root[y]]
+                x, y = x[apart], y[apart]
+                i, j = x[:256], y[:256]
+                if not len(i):
+                    break
+                sides = []
+                for k in (i, j):
+                    at = np.concatenate([np.arange(bounds[m], bounds[m + 1]) for m in k])
+                    sides.append((np.repeat(np.arange(len(k)), np.diff(bounds)[k]), h[at], w[at]))
+                for m in np.flatnonzero(jaccard(sides, len(i)) >= threshold):
+                    p, q = parent[root[i[m]]], parent[root[j[m]]]
+                    if p != q:
+                        parent[parent == max(p, q)] = min(p, q)
+                        found[0].append(max(node[i[m]], node[j[m]]))
+                        found[1].append(min(node[i[m]], node[j[m]]))
+                x, y = x[256:], y[256:]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = unpacked(idf)
+        for rows in runs_of(batches, ["band", "one", "two"]):
+            if rows.num_rows > 1:
+                column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+                a, b = solve(table, column("node"), column("root"), column("open"), column("side"),
+                             *column_bytes(rows.column("text")))
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return run
+
+
+def joined(members: DataFrame, texts: DataFrame, idf: bytes, threshold: float) -> DataFrame:
+    """Links (a, b) between groups of ``members`` (band, node, root, open) that share a band."""
+    sized = members.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    blocks = sized.groupBy("band").agg(F.ceil(F.greatest(
+        F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least("block", o).alias("one"), F.greatest("block", o).alias("two"),
+        F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side")))
+    dealt = (members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+             .withColumn("m", F.explode(others)).select("band", "node", "root", "open", "m.*"))
+    return cut(dealt.join(texts, "node").repartition(partitions(texts), "band", "one", "two")
+               .sortWithinPartitions("band", "one", "two").mapInArrow(joining(idf, threshold), "a long, b long"))
+
+
 def compared(pairs: DataFrame, texts: DataFrame, idf: bytes) -> DataFrame:
     """Exact similarity of node pairs (a, b); texts of other nodes are not moved on."""
     return cut(pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
@@ -248,21 +349,11 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
             break
         before = left
     if left:
-        members = placed.join(open_rows.select("band").distinct(), "band")
-        limit = 1 - threshold
-        x = open_rows.select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
-        y = members.select("band", F.col("node").alias("y"), F.col("root").alias("ry"))
-        pairs = (x.join(y, "band").where("rx <> ry")
-                 .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-                 .join(scores, ["a", "b"], "left_anti"))
-        # A leader that both were compared with can exclude the pair.
-        far = scores.select(F.col("a").alias("m"), F.col("b").alias("p"), (1 - F.col("similarity")).alias("d")).unionByName(
-            scores.select(F.col("b").alias("m"), F.col("a").alias("p"), (1 - F.col("similarity")).alias("d")))
-        apart = (pairs.join(far.select(F.col("m").alias("a"), "p", F.col("d").alias("da")), "a")
-                 .join(far.select(F.col("m").alias("b"), "p", F.col("d").alias("db")), ["b", "p"])
-                 .where(F.abs(F.col("da") - F.col("db")) > limit + 1e-9).select("a", "b").distinct())
-        found = compared(cut(pairs.join(apart, ["a", "b"], "left_anti")), texts, idf)
-        roots = components(scores.unionByName(found).where(F.col("similarity") >= threshold).select("a", "b"))
+        marked = open_rows.select("band", "node", F.lit(True).alias("open"))
+        members = cut(placed.join(open_rows.select("band").distinct(), "band").join(marked, ["band", "node"], "left")
+                      .select("band", "node", "root", F.coalesce("open", F.lit(False)).alias("open")))
+        found = joined(members, texts, idf, threshold)
+        roots = components(scores.where(F.col("similarity") >= threshold).select("a", "b").unionByName(found))
     return (signed_docs.where(F.size("bands") > 0).select("id", "tag", "node")
             .join(roots, "node", "left").select("id", "tag", F.coalesce("root", "node").alias("group")))
 
