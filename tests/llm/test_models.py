@@ -97,6 +97,30 @@ def test_one_large_class_of_near_copies(spark):
     assert all((r.n_links, r.component_id) == (699, 0) for r in got if r.vec_id < 700)
 
 
+def test_small_entries_are_counted_together(monkeypatch):
+    """Entries of a few vectors share their passes; pairs of two entries stay apart."""
+    import pyarrow as pa
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((200, 16)).repeat(4, axis=0)
+    vec = base + rng.choice([0.02, 0.6], (800, 1)) * rng.standard_normal((800, 16))
+    entries = np.arange(200).repeat(4)
+    columns = {"entry": entries, "dim": np.full(800, 16, np.int32), "t": np.zeros(800, np.int32), "node": np.arange(800),
+               "n": np.ones(800, np.int64), "codes": pa.array(list(entries.astype(np.int32)[:, None]), pa.list_(pa.int32())),
+               "vec": pa.array([v.tobytes() for v in vec], pa.binary()), "one": np.zeros(800, np.int32),
+               "two": np.zeros(800, np.int32), "side": np.zeros(800, np.int32)}
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+    calls, plain = [], embedding_dedup.directions
+    monkeypatch.setattr(embedding_dedup, "directions", lambda *a: calls.append(a) or plain(*a))
+    solve = embedding_dedup.pairs_of(*embedding_dedup.needed_count(0.9, 0.99999), 0.9)
+    links = np.zeros(800, np.int64)
+    for out in solve(iter([whole.slice(0, 330), whole.slice(330)])):  # an entry lies in both batches
+        np.add.at(links, out.column("node").to_numpy(), out.column("links").to_numpy())
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.9) & (entries[:, None] == entries)).sum(axis=1) - 1
+    assert links.tolist() == want.tolist() and links.any()
+    assert len(calls) < 10
+
+
 def test_minhash_groups(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]

@@ -9,7 +9,7 @@ count, calibrated for the same recall, are verified by their cosine in double pr
 A pair is counted where it first meets, so no pairs are shuffled: entries give partial link
 sums and, for the components, one link per vector to a member of its part of the entry.
 Equal vectors are one class with a multiplicity.  A large entry is split into blocks and
-every two blocks meet in a task of their own.
+every two blocks meet in a task of their own; small entries are counted many at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ RECALL = 0.998
 COUNTED, WINDOW = 48, 1.5
 #: Members of a table entry handled together; above it the entry is split into blocks.
 BLOCK = 1024
+#: Entries of up to so many members are counted together, so many pairs in one numpy pass.
+SMALL, PAIRS = 64, 1 << 16
 
 
 def normal_cdf(x: float) -> float:
@@ -136,6 +138,18 @@ def handled(codes: np.ndarray, t: int) -> np.ndarray | None:
     return best
 
 
+def code_block(codes: pa.Array, size: int) -> np.ndarray:
+    return codes.flatten().to_numpy().reshape(size, -1)
+
+
+def pairs_inside(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every two places of the same group, for groups of the given sizes one after the other."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    later = ends - np.arange(len(ends)) - 1
+    x = np.repeat(np.arange(len(ends)), later)
+    return x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+
+
 def pairs_of(window: float, need: int, cosine: float):
     """Rows sorted by (entry, first block, second block) → partial sums per vector."""
     def solve(t: int, node, n, codes, vec, side) -> pa.RecordBatch | None:
@@ -186,6 +200,34 @@ def pairs_of(window: float, need: int, cosine: float):
             [pa.array(node[keep], pa.int64()), pa.array(sums[keep], pa.int64()),
              pa.array(node[root[keep]], pa.int64())], names=["node", "links", "root"])
 
+    def solve_small(rows: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch | None:
+        """Whole entries of vectors of one length, one after the other."""
+        node, n, t = (rows.column(c).to_numpy() for c in ("node", "n", "t"))
+        codes = code_block(rows.column("codes"), rows.num_rows)
+        vec = unit(rows.column("vec").to_pylist(), int(rows.column("dim")[0].as_py()))
+        shadow = (vec @ directions(vec.shape[1], COUNTED, 2)).astype(np.float32)
+        sums, root = np.zeros(len(node), np.int64), np.arange(len(node))
+        tables = np.arange(codes.shape[1])
+        i, j = pairs_inside(sizes)
+        for q in range(0, len(i), PAIRS):
+            x, y = i[q:q + PAIRS], j[q:q + PAIRS]
+            # counted in the first table that holds both
+            first = ~((codes[x] == codes[y]) & (tables < t[x][:, None])).any(axis=1)
+            x, y = x[first], y[first]
+            near = (np.abs(shadow[x] - shadow[y]) <= window).sum(axis=1) >= need
+            x, y = x[near], y[near]
+            good = np.einsum("ij,ij->i", vec[x], vec[y]) >= cosine
+            x, y = x[good], y[good]
+            root = hooked(root, x, y)
+            np.add.at(sums, x, n[y])
+            np.add.at(sums, y, n[x])
+        keep = np.flatnonzero((sums > 0) | (root != np.arange(len(node))))
+        if not len(keep):
+            return None
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node[keep], pa.int64()), pa.array(sums[keep], pa.int64()),
+             pa.array(node[root[keep]], pa.int64())], names=["node", "links", "root"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -195,7 +237,7 @@ def pairs_of(window: float, need: int, cosine: float):
             size = rows.num_rows
             if size > 1:
                 column = lambda c: rows.column(c).combine_chunks()
-                codes = np.array(column("codes").to_pylist(), np.int32).reshape(size, -1)
+                codes = code_block(column("codes"), size)
                 out = solve(int(rows.column("t")[0].as_py()), rows.column("node").to_numpy(),
                             rows.column("n").to_numpy(), codes,
                             unit(column("vec").to_pylist(), int(rows.column("dim")[0].as_py())),
@@ -208,8 +250,21 @@ def pairs_of(window: float, need: int, cosine: float):
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy() for c in ("entry", "one", "two")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            for s, e in zip(cuts[:-1], cuts[1:]):
+            cuts = np.array([0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows])
+            # The first and last entry of a batch may go on in others; whole small ones between them go together.
+            sizes = np.diff(cuts)
+            across = np.add.reduceat(batch.column("side").to_numpy() != 0, cuts[:-1]) > 0
+            small = (sizes <= SMALL) & ~across
+            small[[0, -1]] = False
+            several = small & (sizes > 1)
+            dims = batch.column("dim").to_numpy()[cuts[:-1]]
+            for dim in np.unique(dims[several]):
+                chosen = np.repeat(several & (dims == dim), sizes)
+                out = solve_small(batch.filter(pa.array(chosen)), sizes[several & (dims == dim)])
+                if out is not None:
+                    yield out
+            for k in np.flatnonzero(~small):
+                s, e = int(cuts[k]), int(cuts[k + 1])
                 if held and key != tuple(keys[s]):
                     yield from flush()
                 key = tuple(keys[s])
