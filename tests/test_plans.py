@@ -84,3 +84,30 @@ def test_deep_report_keeps_the_other_parts_of_one_that_fails_in_running(spark):
         (i, f'{{"n":{i + 1}}}') for i in range(3)]
     bad = [r for r in report if r["part"] == "bad"]
     assert len(bad) == 3 and all(r["error"] and r["body"] is None for r in bad)
+
+
+def test_held_lines_run_their_window_once_and_give_the_same_rows(spark):
+    plain, held = Tables(spark, DATA), Tables(spark, DATA)
+    held.hold("lines")
+    plan = held("sections").groupBy("file_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    for name in ("lines", "imports"):
+        both = [sorted(map(str, tables(name).collect())) for tables in (plain, held)]
+        assert both[0] and both[0] == both[1]
+
+
+def test_deep_report_writes_no_findings_of_files_that_are_not_in_it(spark, monkeypatch):
+    written, cut = [], behavior.cut
+
+    def counted(df):
+        table = cut(df)
+        written.append((table.columns, table.count()))
+        return table
+
+    monkeypatch.setattr(behavior, "cut", counted)
+    files = spark.range(3).union(spark.range(1)).withColumnRenamed("id", "file_id")
+    report = behavior.deep_report(files, {
+        "twice": lambda: spark.range(40).selectExpr("nullif(id % 20, 19) AS file_id", "id AS n")}).collect()
+    assert [n for columns, n in written if "body" in columns] == [6]
+    assert sorted((r["file_id"], r["body"]) for r in report) == sorted(
+        (i, f'{{"n":{n}}}') for i in (0, 0, 1, 2) for n in (i, i + 20))
