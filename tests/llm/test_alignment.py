@@ -117,3 +117,18 @@ def test_composition_is_associative():
         (left, a), (right, b) = fold(parts[:k]), fold(parts[k:])
         whole, group = compose(left, right)
         assert (whole, sorted(a + b + ([group] if group else []))) == (lambda w, c: (w, sorted(c)))(*fold(parts))
+
+
+def test_texts_are_tokenised_in_passes_of_bounded_size(monkeypatch):
+    tool = align.Aligner(align.token_path(align.BYTE_LEVEL), align.token_path(align.PIECES))
+    raws = [f" {'ab c' * (i % 7)} word{i} é{i}\u0000"[:i % 40 + 1].encode() for i in range(400)] + [b"", b" x" * 900]
+    want = tool.aligned_pass(raws)
+    seen, one = [], tool.aligned_pass
+    monkeypatch.setattr(align, "PASS", 1000)
+    monkeypatch.setattr(tool, "aligned_pass", lambda some: seen.append(some) or one(some))
+    tool.encoder.kept = 50
+    got = tool.aligned(raws)
+    assert all(sum(map(len, some)) <= 1000 or len(some) == 1 for some in seen) and len(seen) > 5
+    assert len(tool.encoder.slot) < 400
+    for a, b in zip((got[0], *got[1], *got[2]), (want[0], *want[1], *want[2])):
+        assert a.tolist() == b.tolist()

@@ -36,6 +36,9 @@ PIECES = "piece_bpe_32k.model"
 #: Bytes of a chunk of a long text, and of the texts of one block.
 CHUNK = 1 << 16
 BLOCK = 1 << 20
+#: Bytes tokenised in one pass, and pre-tokens kept per worker: a worker holds little beside the two tokenizers.
+PASS = 1 << 18
+KEPT = 200_000
 #: Fragments composed by one node of the tree.
 FAN = 16
 
@@ -77,7 +80,8 @@ class Aligner:
         library.no_padding()
         library.encode_special_tokens = True
         self.encoder = Encoder(
-            lambda found: [e.ids for e in library.encode_batch_fast(found, add_special_tokens=False)], spaced=True)
+            lambda found: [e.ids for e in library.encode_batch_fast(found, add_special_tokens=False)], spaced=True,
+            kept=KEPT)
         back = {c: b for b, c in enumerate(byte_chars())}
         names = {i: s for s, i in library.get_vocab(with_added_tokens=False).items()}
         self.a = Vocabulary([bytes(back[c] for c in names.get(i, "")) for i in range(max(names) + 1)])
@@ -104,6 +108,17 @@ class Aligner:
 
         Texts whose tokens do not give back their bytes are not ok and have no tokens.
         """
+        oks, parts, base = [], ([], []), 0
+        for low, high in pieces(np.append(0, np.cumsum([len(r) for r in raws])), PASS):
+            ok, *sides = self.aligned_pass(raws[low:high])
+            for side, (ids, row, end, common) in zip(parts, sides):
+                side.append((ids, row + low, end + base, common))
+            oks.append(ok)
+            base += sum(len(r) for r, good in zip(raws[low:high], ok.tolist()) if good)
+        return np.concatenate(oks), *([np.concatenate(x) for x in zip(*side)] for side in parts)
+
+    def aligned_pass(self, raws: list[bytes]):
+        """:meth:`aligned` of texts that are looked at together."""
         ids_a, n_a, ids_b, n_b = self.tokens(raws)
         length = np.array([len(r) for r in raws], np.int64)
         same = []
