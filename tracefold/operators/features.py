@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracefold import rules
 from tracefold.functions.hashing import bucket_columns, buckets_of, clean_api, name_ngrams
-from tracefold.functions.literals import first_match, let, lookup
+from tracefold.functions.literals import first_match, lookup
 from tracefold.operators import content
 from tracefold.sources.chunks import chunked
 
@@ -17,32 +17,54 @@ def log_scaled(count: Column, scale: float = SCALE) -> Column:
     return F.log1p(count) / scale
 
 
-def collect_buckets(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """Distinct hash buckets of a text over each key.
+#: First bucket of each number that holds 64 buckets as bits.
+LOWS = range(0, rules.HASH_BUCKETS, 64)
+
+
+def bucket_bit(bucket: Column, low: int) -> Column:
+    """The bit of a bucket in the number that starts at ``low``; 0 when it lies in another."""
+    return F.when(bucket.between(low, low + 63), F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), (bucket - low).cast("int"))).otherwise(0)
 
-    The 68 buckets are bits of two numbers that are combined before the shuffle,
-    so a hot key costs no more than another.
+
+def bucket_masks(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """Hash buckets of a text over each key, as bits of the numbers ``_m0`` and ``_m64``.
+
+    They are combined before the shuffle, so a hot key costs no more than another.
     """
     def mask(low: int) -> Column:
-        bits = [F.when(F.col(b).between(low, low + 63), F.expr(
-            f"shiftleft(1L, cast({b} - {low} as int))")).otherwise(0) for b in ("_b0", "_b1", "_b2")]
+        bits = [bucket_bit(F.col(b), low) for b in ("_b0", "_b1", "_b2")]
         return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
-    lows = range(0, rules.HASH_BUCKETS, 64)
     masks = bucket_columns(df, keys, text).select(
-        *keys, *[mask(low).alias(f"_m{low}") for low in lows])
-    merged = masks.groupBy(*keys).agg(*[F.bit_or(f"_m{low}").alias(f"_m{low}") for low in lows])
-    held = F.concat(*[F.filter(
+        *keys, *[mask(low).alias(f"_m{low}") for low in LOWS])
+    return masks.groupBy(*keys).agg(*[F.bit_or(f"_m{low}").alias(f"_m{low}") for low in LOWS])
+
+
+def mask_buckets(prefix: str) -> Column:
+    """Sorted list of the buckets held as bits; missing numbers have none."""
+    return F.concat(*[F.filter(
         F.sequence(F.lit(low).cast("bigint"),
                    F.lit(min(low + 63, rules.HASH_BUCKETS - 1)).cast("bigint")),
-        lambda i: F.getbit(F.col(f"_m{low}"), (i - low).cast("int")) == 1) for low in lows])
-    return merged.select(*keys, held.alias("buckets"))
+        lambda i: F.getbit(F.col(f"{prefix}{low}"), (i - low).cast("int")) == 1) for low in LOWS])
+
+
+def collect_buckets(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """Distinct hash buckets of a text over each key."""
+    return bucket_masks(df, keys, text).select(*keys, mask_buckets("_m").alias("buckets"))
+
 
+def mask_columns(buckets: Column, prefix: str) -> list[Column]:
+    """A list of buckets as the numbers ``prefix0`` and ``prefix64``."""
+    return [F.aggregate(buckets, F.lit(0).cast("bigint"),
+                        lambda held, b: held.bitwiseOR(bucket_bit(b, low))).alias(f"{prefix}{low}")
+            for low in LOWS]
 
-def multi_hot(buckets: Column, size: int = rules.HASH_BUCKETS) -> Column:
-    places = F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))
-    return let(F.coalesce(buckets, F.array().cast("array<bigint>")), lambda held: F.transform(
-        places, lambda i: F.array_contains(held, i).cast("double")))
+
+def mask_slots(prefix: str) -> list[Column]:
+    """0 or 1 for each of the 68 buckets held as bits; missing numbers have none."""
+    return [F.coalesce(F.getbit(F.col(f"{prefix}{i // 64 * 64}"), F.lit(i % 64)), F.lit(0))
+            for i in range(rules.HASH_BUCKETS)]
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -155,8 +177,8 @@ def is_suspicious_api(name: Column) -> Column:
     return F.coalesce(clean_api(name).isin(rules.SUSPICIOUS_API_NAMES), F.lit(False))
 
 
-def suspicious_api_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Buckets of suspicious external APIs, at the caller and at the API itself."""
+def suspicious_apis(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, id, api) of suspicious external APIs, at the caller and at the API itself."""
     bad = nodes.where((F.col("type") == "METHOD") & F.col("is_external")
                       & is_suspicious_api(F.col("name"))).select(
         "graph_id", F.col("id").alias("dst"), clean_api(F.col("name")).alias("api"))
@@ -165,19 +187,27 @@ def suspicious_api_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                      .select("graph_id", F.col("id").alias("src")), ["graph_id", "src"])
                .select("graph_id", F.col("src").alias("id"), "api"))
     own = bad.select("graph_id", F.col("dst").alias("id"), "api")
-    return collect_buckets(callers.unionByName(own).distinct().where(F.col("api") != ""),
-                           ["graph_id", "id"], F.col("api"))
+    return callers.unionByName(own).distinct().where(F.col("api") != "")
+
+
+def suspicious_api_fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Buckets of suspicious external APIs, at the caller and at the API itself."""
+    return collect_buckets(suspicious_apis(nodes, edges), ["graph_id", "id"], F.col("api"))
+
+
+IMPORT_BITS = [f"import_bits{low}" for low in LOWS]
 
 
 def global_features(files: DataFrame, items: DataFrame) -> DataFrame:
     """Import bag and metadata scalars per file.
 
     ``files`` has arch, subsystem, file_type and timestamp; ``items`` holds the
-    capped imports, exports and strings as (file_id, kind, pos, value).
+    capped imports, exports and strings as (file_id, kind, pos, value).  The bag is
+    given as a list and as the bits it is made of.
     """
     clean = clean_api(F.col("value"))
-    bag = collect_buckets(items.where((F.col("kind") == "imports") & (clean != "")),
-                          ["file_id"], clean)
+    bag = bucket_masks(items.where((F.col("kind") == "imports") & (clean != "")),
+                       ["file_id"], clean)
     counts = items.groupBy("file_id").agg(*[
         F.count_if(F.col("kind") == kind).alias(f"_{kind}") for kind in rules.METADATA_KINDS])
     arch = F.lower(F.coalesce("arch", F.lit("")))
@@ -189,7 +219,7 @@ def global_features(files: DataFrame, items: DataFrame) -> DataFrame:
     n = lambda kind: F.coalesce(F.col(f"_{kind}"), F.lit(0))
     return (files.join(counts, "file_id", "left").join(bag, "file_id", "left").select(
         "file_id",
-        F.coalesce("buckets", F.array().cast("array<bigint>")).alias("import_buckets"),
+        mask_buckets("_m").alias("import_buckets"), *[F.col(f"_m{low}").alias(m) for low, m in zip(LOWS, IMPORT_BITS)],
         arch_code.alias("arch_code"),
         F.least(F.coalesce("subsystem", F.lit(0)) / 10.0, F.lit(1.0)).alias("subsystem_code"),
         F.coalesce(lookup(F.lower(F.coalesce("file_type", F.lit(""))), rules.FILE_TYPE_CODES),
@@ -210,17 +240,22 @@ def node_features(nodes: DataFrame, edges: DataFrame, graph_facts: DataFrame) ->
     Slots are built as pieces of one array per node row; only the aggregates by
     node and by graph are shuffled.  ``graph_facts`` comes from
     :func:`global_features` with ``graph_id`` as the key.
+
+    Buckets travel as bits.  Names and graphs are joined first and nodes last, so the
+    slots of a frequent name or a large graph are not built in one task.
     """
     key = ["graph_id", "id"]
     flow = edges.where(F.col("etype").isin(rules.EDGE_CFG, rules.EDGE_CALLS, rules.EDGE_DATA))
     metrics = method_metrics(nodes, flow).select(
         *key, "cyclomatic", "api_calls", "instructions", "blocks")
-    print_ = suspicious_api_fingerprint(nodes, flow).withColumnRenamed("buckets", "_bad")
+    print_ = bucket_masks(suspicious_apis(nodes, flow), key, F.col("api")).select(
+        *key, *[F.col(f"_m{low}").alias(f"_bad{low}") for low in LOWS])
     # Names repeat across graphs, so every distinct name is hashed once.
-    names = nodes.select("name").distinct().withColumn("_name", name_buckets(F.col("name")))
-    wide = (nodes.join(degrees(flow), key, "left").join(metrics, key, "left")
-            .join(print_, key, "left").join(names, "name", "left")
-            .join(graph_facts, "graph_id", "left"))
+    names = nodes.select("name").distinct().withColumn("_name", name_buckets(F.col("name"))).select(
+        "name", *mask_columns(F.col("_name"), "_name"))
+    facts = graph_facts.select("graph_id", *GLOBAL_SCALARS, *IMPORT_BITS)
+    wide = (nodes.join(names, "name", "left").join(facts, "graph_id", "left")
+            .join(degrees(flow), key, "left").join(metrics, key, "left").join(print_, key, "left"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     is_block, is_method = F.col("type") == "BLOCK", F.col("type") == "METHOD"
     counts = F.coalesce("inst_counts", F.create_map().cast("map<string,bigint>"))
@@ -235,10 +270,9 @@ def node_features(nodes: DataFrame, edges: DataFrame, graph_facts: DataFrame) ->
     # Slots 132–135 of a block keep spilled composition values, 136–141 are metrics
     # and the last two spilled values lie under the API fingerprint.
     block_slots = composition[32:36] + [call_out] + list(block.values())
-    bad = multi_hot(F.col("_bad"))
-    spill = F.array(*composition[42:44])
-    bad_slots = F.when(is_block, F.concat(spill, F.slice(bad, 3, 66))).otherwise(bad)
+    bad = mask_slots("_bad")
     piece = lambda columns: F.array(*[c.cast("double") for c in columns])
+    bad_slots = F.when(is_block, piece(composition[42:44] + bad[2:])).otherwise(piece(bad))
     vector = F.concat(
         piece([(F.col("type") == t) for t in rules.NODE_TYPES]),
         piece([log_scaled(zero("in_degree")), log_scaled(zero("out_degree")),
@@ -248,11 +282,11 @@ def node_features(nodes: DataFrame, edges: DataFrame, graph_facts: DataFrame) ->
         piece([F.coalesce("is_external", F.lit(False)),
                F.when(zero("line") > 0, F.least(F.col("line") / 1000.0, F.lit(1.0)))
                .otherwise(0.0)]),
-        multi_hot(F.col("_name")),
+        piece(mask_slots("_name")),
         F.when(is_block, piece(composition[:32])).otherwise(piece([F.lit(0.0)] * 32)),
         F.when(is_method, piece(method_slots)).when(is_block, piece(block_slots))
         .otherwise(piece([F.lit(0.0)] * 10)),
-        bad_slots, multi_hot(F.col("import_buckets")),
+        bad_slots, piece(mask_slots("import_bits")),
         piece([zero(c) for c in GLOBAL_SCALARS]), piece([F.lit(0.0)] * 35))
     return wide.select("graph_id", "id", "type", vector.alias("features"))
 
