@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import bytes as byte_functions
 from tracefold.operators import content, features, graph, intel, tokens
+from tracefold.plans.views import Tables
+from tracefold.session import among
 
 
 def test_nodes_hold_the_texts_of_their_blocks(spark):
@@ -58,3 +60,35 @@ def test_ranges_are_counted_in_bounded_pieces(spark):
     batch = chunks.select("file_id", "bytes", F.array_repeat(spans[0], 5000).alias("spans"))
     sizes = byte_functions.range_counts(batch).groupBy("file_id").count().first()["count"]
     assert sizes == 5000
+
+
+def below_window(df):
+    """Whether the keys are met before the rows are put in order."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return 0 <= plan.index("Window") < plan.rindex("LeftSemi")
+
+
+def test_sections_of_other_files_are_not_put_in_order(spark, tmp_path):
+    lines = [(k, p, s, n, 5.0, 1.0, 0.0, 0.0, "R", "F") for k in (None, 1, 2, 2, 3, 9)
+             for p, s, n in ((61, 4, 2), (62, 4, 1), (62, 5, 1), (None, 6, None))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                          "l_linestatus string").withColumn("l_shipdate", F.lit("2020-01-01").cast("timestamp")) \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    keys = spark.createDataFrame([(2,), (2,), (3,), (7,), (None,)], "file_id long")
+    sections = Tables(spark, str(tmp_path))("overlay_sections")
+    some = among(sections, keys)
+    assert below_window(some) and below_window(some.where("raw_ptr + raw_size > greatest(raw_ptr, 0)"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(some) == rows(sections.join(keys, "file_id", "left_semi")) and some.count() == 12
+
+
+def test_entropy_moves_only_bytes_that_occur(spark):
+    counts = lambda **seen: [seen.get(f"b{i}", 0) for i in range(256)]
+    counted = spark.createDataFrame([(1, counts(b0=1, b7=2)), (1, counts(b7=1)), (2, counts()), (None, counts(b9=4)),
+                                     (3, counts(b255=2, b1=2))], "k long, counts array<long>")
+    merged = content.merged_entropy(counted, ["k"])
+    got = {r.k: (r.bytes, round(r.entropy, 9)) for r in merged.collect()}
+    assert got == {1: (4, round(0.75 * np.log2(4 / 3) + 0.5, 9)), 2: (0, 0.0), None: (4, 0.0), 3: (4, 1.0)}
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan[:plan.index("Generate posexplode")]
