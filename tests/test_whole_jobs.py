@@ -1,10 +1,11 @@
 """Whole results and bounded tasks of queries that had lost some of either."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracefold.functions import bytes as byte_functions
-from tracefold.operators import content, features, graph, intel, tokens
+from tracefold.operators import behavior, content, features, graph, intel, tokens
 from tracefold.plans.views import Tables
 from tracefold.session import among
 
@@ -68,18 +69,30 @@ def below_window(df):
     return 0 <= plan.index("Window") < plan.rindex("LeftSemi")
 
 
-def test_sections_of_other_files_are_not_put_in_order(spark, tmp_path):
+@pytest.fixture
+def tables(spark, tmp_path):
     lines = [(k, p, s, n, 5.0, 1.0, 0.0, 0.0, "R", "F") for k in (None, 1, 2, 2, 3, 9)
              for p, s, n in ((61, 4, 2), (62, 4, 1), (62, 5, 1), (None, 6, None))]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
                           "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
                           "l_linestatus string").withColumn("l_shipdate", F.lit("2020-01-01").cast("timestamp")) \
         .write.parquet(f"{tmp_path}/lineitem.parquet")
-    keys = spark.createDataFrame([(2,), (2,), (3,), (7,), (None,)], "file_id long")
-    sections = Tables(spark, str(tmp_path))("overlay_sections")
+    return Tables(spark, str(tmp_path))
+
+
+@pytest.fixture
+def keys(spark):
+    return spark.createDataFrame([(2,), (2,), (3,), (7,), (None,)], "file_id long")
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_sections_of_other_files_are_not_put_in_order(tables, keys):
+    sections = tables("overlay_sections")
     some = among(sections, keys)
     assert below_window(some) and below_window(some.where("raw_ptr + raw_size > greatest(raw_ptr, 0)"))
-    rows = lambda df: sorted(map(str, df.collect()))
     assert rows(some) == rows(sections.join(keys, "file_id", "left_semi")) and some.count() == 12
 
 
@@ -92,3 +105,29 @@ def test_entropy_moves_only_bytes_that_occur(spark):
     assert got == {1: (4, round(0.75 * np.log2(4 / 3) + 0.5, 9)), 2: (0, 0.0), None: (4, 0.0), 3: (4, 1.0)}
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan[:plan.index("Generate posexplode")]
+
+
+def test_parts_of_a_report_order_only_its_files(tables, keys, monkeypatch):
+    written, cut = [], behavior.cut
+    monkeypatch.setattr(behavior, "cut", lambda df: written.append(df) or cut(df))
+    report = behavior.deep_report(keys, {
+        "rows": lambda: tables("tls_pointers"),
+        "counts": lambda: tables("overlay_sections").groupBy("file_id").agg(F.sum("raw_ptr").alias("n"))}).collect()
+    assert len(written) == 3 and all(below_window(df) for df in written[1:])
+    assert sorted((str(r.file_id), r.body) for r in report if r.part == "counts") == [
+        ("2", '{"n":1440}'), ("2", '{"n":1440}'), ("3", '{"n":400}'), ("7", None), ("None", None)]
+
+
+def test_kept_tables_have_the_rows_of_the_files_and_no_window(spark, tables, keys):
+    whole = {name: tables(name) for name in ("imports", "overlay_sections")}
+    for name, view in whole.items():
+        tables.keep(name, keys)
+        assert "Window" not in tables(name)._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(tables(name)) == rows(view.join(keys, "file_id", "left_semi")) and tables(name).count() > 3
+    files = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "file_id long, content string")
+    tables._loaded["files"] = files
+    tables.keep("files")
+    assert rows(tables("files")) == rows(files)
+    tables._loaded["broken"] = broken = keys.selectExpr("file_id", "raise_error('bad row') AS n", "1 AS m")
+    tables.keep("broken", keys)
+    assert tables("broken") is broken and broken.select("file_id", "m").count() == 5
